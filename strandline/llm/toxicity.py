@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import filled, materialise, strings
@@ -145,6 +145,14 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(min(0.9, max(0.1, (ranked[best] + below) / 2)))
 
 
+def _one_of_each(sample: DataFrame) -> DataFrame:
+    """Of copies and most near copies one row: those that agree in three minimum hashes of their
+    features. Else the chance words of a text copied often would pass for signs of its class."""
+    minima = [F.array_min(F.transform("f", lambda w, k=k: F.xxhash64(F.lit(k), w))).alias(f"__m{k}") for k in range(3)]
+    first = Window.partitionBy("__m0", "__m1", "__m2", "y").orderBy("h", "i")
+    return sample.select("*", *minima).withColumn("__rn", F.row_number().over(first)).where("__rn = 1").select(*sample.columns)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 4000, max_negative: int = 8000, max_features: int = 4000, least_chi2: float = 40.0, folds: int = 4) -> Chain | None:
     """The chain fitted on a sample of the labelled rows, or None without rows of both classes."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).alias("__y"))
@@ -160,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(insult), pa.array(feats, pa.list_(pa.string()))], ["i", "y", "h", "insult", "f"])
 
     sample = materialise(texts.mapInArrow(extract, "i string, y boolean, h long, insult boolean, f array<string>"), "toxicity-sample")
+    sample = materialise(_one_of_each(sample), "toxicity-distinct")
     n1, n0 = sample.agg(F.count_if("y"), F.count_if(~F.col("y"))).first()
     if not n1 or not n0:
         return None
