@@ -14,8 +14,8 @@ from strandline.llm import exact_dedup, mixing, sentencepiece_codec, simhash, to
 from strandline.llm.queries import MIX_EXPONENT, MIX_SEED, tokenizer_path
 from strandline.llm.shared import materialise
 
-#: Near copies: five-word shingles, fingerprints that differ in so many bits at most.
-NEAR_SHINGLE, NEAR_RADIUS = 5, 2
+#: Near copies: five-word shingles and this Jaccard similarity or more.
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 
 
 def _columns(docs: DataFrame) -> list:
@@ -35,7 +35,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest identifier stays."""
-    return simhash.near_distinct(docs, shingle=NEAR_SHINGLE, radius=NEAR_RADIUS)
+    return simhash.near_distinct(docs, similarity=NEAR_SIMILARITY, shingle=NEAR_SHINGLE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

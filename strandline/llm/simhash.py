@@ -37,25 +37,39 @@ SEED = 42
 BITS = 64
 
 
-def simhash(text: str, shingle: int = 3) -> int:
-    """Fingerprint, as an unsigned 64-bit integer: lower-cased ASCII, words between ASCII white
-    space, shingles joined by spaces with repeats; a bit is set if over half the hashes set it."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included: lower-cased ASCII, words between ASCII white space,
+    joined by spaces; fewer words than a shingle are one shingle, no words none."""
     words = text.encode().lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    n = len(words) - shingle + 1
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+    digest, n = xxhash.xxh64_intdigest, len(words) - shingle + 1
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """Eight bytes, most significant first: a bit is set if over half the hashes set it."""
     counts = np.zeros(BITS, np.int64)
-    for k in range(0, n, 1 << 15):  # the unpacked bits of a block at a time
+    for k in range(0, len(hashes), 1 << 15):  # the unpacked bits of a block at a time
         block = hashes[k : k + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(block, axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
+
+
+def simhash(text: str, shingle: int = 3) -> int:
+    """Fingerprint, as an unsigned 64-bit integer; zero for a text without words."""
+    return int.from_bytes(majority(shingle_hashes(text, shingle)), "big")
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of hash functions of the hashes (splitmix64's finaliser)."""
+    x = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,6 +86,25 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return map_rows(docs.select(docs[id_col], filled(text_col).alias("t")), make, f"__id {kind}, fp long").withColumnRenamed("__id", id_col)
 
 
+def sketches(docs: DataFrame, shingle: int = 5, words: int = 16, minima: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, fp (a fingerprint of ``words`` times 64 bits, binary) and keys (``minima`` minimum
+    hashes of the shingles), from one pass over the text."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            prints, keys = [], []
+            for text in strings(batch.column(1)):
+                hashes = np.unique(shingle_hashes(text, shingle))  # as a set, as the similarity is of sets
+                prints.append(b"".join(majority(mixed(hashes, k)) for k in range(words)))
+                keys.append(np.array([mixed(hashes, 100 + k).min() if len(hashes) else 0 for k in range(minima)], np.uint64).view(np.int64))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["__id", "fp", "keys"])
+
+        return one
+
+    return map_rows(docs.select(docs[id_col], filled(text_col).alias("t")), make, f"__id {kind}, fp binary, keys array<long>").withColumnRenamed("__id", id_col)
+
+
 class BKTree:
     """Burkhard-Keller tree of integers under the Hamming distance."""
 
@@ -167,36 +200,96 @@ def links(prints: DataFrame, radius: int = 2, shard_rows: int = 1000) -> DataFra
     """a > b pairs (fp values) whose components are those of all pairs within the radius.
 
     prints: a column fp of distinct longs."""
-    shards = _shards(prints, radius, shard_rows).repartition("__shard").sortWithinPartitions("__shard", "fp")
+    return _shard_links(_shards(prints, radius, shard_rows), radius)
+
 
-    def flush(values: list[int]) -> list[tuple[int, int]]:
-        return forest([v & 0xFFFFFFFFFFFFFFFF for v in values], radius) if len(values) > 1 else []
+def _shard_links(shards: DataFrame, radius: int) -> DataFrame:
+    """A spanning forest of each shard's links. shards: fp (long or binary), __shard."""
+    dealt = shards.select("fp", "__shard").repartition("__shard").sortWithinPartitions("__shard", "fp")
+    wide = dealt.schema["fp"].dataType.simpleString() == "binary"
+    kind = pa.binary() if wide else pa.int64()
+
+    def flush(values: list) -> list[tuple]:
+        if len(values) < 2:
+            return []
+        if not wide:
+            return [(_signed(a), _signed(b)) for a, b in forest([v & 0xFFFFFFFFFFFFFFFF for v in dict.fromkeys(values)], radius)]
+        size = len(values[0])
+        return [(a.to_bytes(size, "big"), b.to_bytes(size, "big")) for a, b in forest([int.from_bytes(v, "big") for v in dict.fromkeys(values)], radius)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, values = None, []
         for batch in batches:
-            names, prints = batch.column(1), batch.column(0).to_numpy()
-            codes = names.dictionary_encode()
-            ids, words = codes.indices.to_numpy(), codes.dictionary.to_pylist()
-            cuts = np.flatnonzero(np.diff(ids)) + 1
-            found = []
-            starts = [0, *cuts.tolist()]
+            prints, codes = batch.column(0).to_pylist(), batch.column(1).dictionary_encode()
+            ids, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+            found: list[tuple] = []
+            starts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist()] if len(ids) else []
             for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
-                if not b:
-                    continue
-                if (name := words[ids[a]]) != key:
+                if (name := names[ids[a]]) != key:
                     found += flush(values)
                     key, values = name, []
-                values += prints[a:b].tolist()
-            yield _pairs(found)
-        yield _pairs(flush(values))
-
-    return shards.select("fp", "__shard").mapInArrow(run, "a long, b long")
-
-
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                values += prints[a:b]
+            yield _pairs(found, kind)
+        yield _pairs(flush(values), kind)
+
+    return dealt.mapInArrow(run, "a binary, b binary" if wide else "a long, b long")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _pairs(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], kind), pa.array([x[1] for x in found], kind)], ["a", "b"])
+
+
+#: Rows of a shard's name from the start: two minimum hashes; one more each time it is dealt again.
+FIRST_KEYS, MORE_KEYS, DEALS = 2, 1, 3
+
+
+def similar_links(sketch: DataFrame, radius: int, words: int = 16, shard_rows: int = 1000, bands: int = 8) -> DataFrame:
+    """a > b pairs (fp values) of sketches within the radius that share a shard.
+
+    A shard is named by a band of two minimum hashes of the shingles: texts of Jaccard similarity j
+    share one of ``bands`` with probability 1 - (1 - j^2)^bands, 0.9997 at 0.8. A shard of over
+    ``shard_rows`` is thinned by its leader (the smallest fingerprint): those within the radius are
+    linked to it and leave, the others are dealt again by one more minimum hash, four ways, until no
+    shard is crowded or the hashes are used up; what is left is searched as it is. Unlike ``links``
+    this can miss a link, rarely; nothing that it links is beyond the radius.
+
+    sketch: fp (binary, distinct) and keys (bands * 2 + 8 minimum hashes)."""
+    first = F.explode(F.array(*[F.xxhash64(F.lit(k), *[F.col("keys")[FIRST_KEYS * k + i] for i in range(FIRST_KEYS)]) for k in range(bands)]))
+    dealt = sketch.select("fp", "keys", first.alias("__shard"))
+    done, made = None, None
+    for deal in range(DEALS):
+        crowd = dealt.groupBy("__shard").agg(F.count("*").alias("n"), F.min("fp").alias("leader")).where(F.col("n") > shard_rows).select("__shard", "leader")
+        crowd = materialise(crowd, "simhash-crowd")
+        if crowd.isEmpty():
+            break
+        small = dealt.join(crowd, "__shard", "left_anti").select("fp", "__shard")
+        done = small if done is None else done.unionByName(small)
+        rows = materialise(dealt.join(crowd, "__shard"), "simhash-led")
+        near = _distance("fp", "leader", words) <= radius
+        led = rows.where(near & (F.col("fp") != F.col("leader"))).select(F.col("fp").alias("a"), F.col("leader").alias("b"))
+        made = led if made is None else made.unionByName(led)
+        at = FIRST_KEYS * bands + 4 * MORE_KEYS * (deal % 2)
+        onward = F.explode(F.array(*[F.xxhash64("__shard", F.lit(k), F.col("keys")[at + k]) for k in range(4)]))
+        dealt = rows.where(~near).select("fp", "keys", onward.alias("__shard"))
+    rest = dealt.select("fp", "__shard")
+    out = _shard_links(rest if done is None else done.unionByName(rest), radius)
+    return out if made is None else out.unionByName(made.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+
+
+def _distance(a: str, b: str, words: int):
+    """Hamming distance of two binary columns of ``words`` times eight bytes."""
+    parts = []
+    for k in range(words):
+        x, y = (F.conv(F.hex(F.substring(F.col(c), 8 * k + 1, 8)), 16, -10).cast("long") for c in (a, b))
+        parts.append(F.bit_count(x.bitwiseXOR(y)))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total
 
 
 def stars(edges: DataFrame, label: str = "stars") -> DataFrame:
@@ -222,22 +315,45 @@ def stars(edges: DataFrame, label: str = "stars") -> DataFrame:
         seen = now
 
 
+def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """__fp and component_id (smallest __least of the component) for each class (fp, __least)."""
+    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
+    named = materialise(named, "simhash-named")
+    least = named.groupBy("__root").agg(F.min("__least").alias("component_id"))
+    return named.join(least, "__root").select(F.col("fp").alias("__fp"), "component_id")
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, shard_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, fp (signed long), component_id (smallest identifier that
-    links reach)."""
+    links reach). Exact: bands find every pair within the radius, which must be small."""
     prints = materialise(fingerprints(docs, shingle, id_col, text_col), "simhash-prints")
     classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("__least")), "simhash-classes")
-    roots = stars(links(classes.select("fp"), radius, shard_rows), "simhash-stars")
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
-    named = materialise(named, "simhash-named")
-    least = named.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    components = named.join(least, "__root").select(F.col("fp").alias("__fp"), "component_id")
+    components = _named(classes, stars(links(classes.select("fp"), radius, shard_rows), "simhash-stars"))
+    return prints.join(components, prints.fp == components["__fp"], "left").select(id_col, "fp", "component_id")
+
+
+def radius_of(similarity: float, bits: int, slack: float = 0.5) -> int:
+    """Bits in which fingerprints of two equally long texts with this Jaccard similarity differ on
+    average, and ``slack`` standard deviations more."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return round(bits * p + slack * float(np.sqrt(bits * p * (1 - p))))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 16, bands: int = 8, shard_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: id_col, fp (binary), component_id, for links of texts of about
+    the given Jaccard similarity of shingles or more, judged by the distance of wide fingerprints."""
+    prints = materialise(sketches(docs, shingle, words, FIRST_KEYS * bands + 8, id_col, text_col), "simhash-sketches")
+    classes = prints.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), "keys")).alias("s")).select("fp", F.col("s.i").alias("__least"), F.col("s.keys").alias("keys"))
+    classes = materialise(classes, "simhash-classes")
+    found = similar_links(classes.select("fp", "keys"), radius_of(similarity, BITS * words), words, shard_rows, bands)
+    components = _named(classes.select("fp", "__least"), stars(found, "simhash-stars"))
     return prints.join(components, prints.fp == components["__fp"], "left").select(id_col, "fp", "component_id")
 
 
-def near_distinct(docs: DataFrame, shingle: int = 5, radius: int = 2, shard_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that of the smallest identifier."""
-    groups = near_groups(docs, shingle, radius, shard_rows, id_col, text_col)
+def near_distinct(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 16, bands: int = 8, shard_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of similar ones, that of the smallest identifier. Rows
+    that share an identifier go or stay together; rows without one go if their group has one."""
+    groups = similar_groups(docs, similarity, shingle, words, bands, shard_rows, id_col, text_col)
     gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
 
