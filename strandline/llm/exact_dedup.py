@@ -46,13 +46,13 @@ def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, keep: str, normali
         rows = rows.join(F.broadcast(hot), "__hash", "left")
         slices = F.ceil(F.col("__copies") / F.lit(per)).cast("long")
         rows = rows.withColumn("__slice", F.when(F.col("__copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.lit("slice"), F.col(id_col)), slices)))
-    else:
-        rows = rows.withColumn("__slice", F.lit(0).cast("long"))
+    # a constant slice would be folded out of one of the two and cost a second exchange
+    dealt = ["__lead", "__hash", "__slice"] if crowded else ["__lead", "__hash"]
 
-    run = Window.partitionBy("__lead", "__hash", "__text", "__slice").orderBy(order)
+    run = Window.partitionBy(*dealt, "__text").orderBy(order)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = (
-        rows.repartitionByRange("__lead", "__hash", "__slice")
+        rows.repartitionByRange(*dealt)
         .withColumn("__first", F.first(id_col).over(whole))
         .withColumn("__size", F.count(F.lit(1)).over(whole))
         .withColumn("__rn", F.row_number().over(run))
