@@ -1,15 +1,48 @@
-"""Queries by name, and their SQL."""
+"""Queries by name, and their SQL. Modules of ``plans`` register theirs with ``query``."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("corpus", "metrics", "rewards", "compare", "tokens", "chat", "series", "connect", "helpers")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function (spark, sf_dir) under its own name; sql is the same for DuckDB."""
+
+    def add(f: Query) -> Query:
+        name = f.__name__
+        if name in _queries:
+            raise ValueError(f"two queries are named {name}")
+        _queries[name] = f
+        if sql is not None:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"strandline.plans.{m}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_sql)
