@@ -50,9 +50,23 @@ def filled(text: str):
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+#: Bytes of an Arrow batch, so that a task's memory is some such batches or the longest text.
+BATCH_BYTES = 4 << 20
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over small batches, after which the worker gives its pooled memory back."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with state made once a task: ``make()`` returns the function of a batch.
-    Batches are cut by Spark's row and byte limits, so memory is bounded by the longest text."""
+    """``arrow_map`` with state made once a task: ``make()`` returns the function of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
@@ -60,7 +74,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
             if batch.num_rows:
                 yield one(batch)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def strings(column: pa.Array) -> list[str]:

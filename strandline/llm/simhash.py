@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filled, map_rows, materialise, strings
+from .shared import arrow_map, filled, map_rows, materialise, strings
 
 SEED = 42
 BITS = 64
@@ -232,7 +232,7 @@ def _shard_links(shards: DataFrame, radius: int) -> DataFrame:
             yield _pairs(found, kind)
         yield _pairs(flush(values), kind)
 
-    return dealt.mapInArrow(run, "a binary, b binary" if wide else "a long, b long")
+    return arrow_map(dealt, run, "a binary, b binary" if wide else "a long, b long")
 
 
 def _signed(x: int) -> int:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Sink, filled, fresh_path, materialise, open_uri, partitions, strings
+from .shared import Sink, arrow_map, filled, fresh_path, materialise, open_uri, partitions, strings
 
 #: A file is closed after so many bytes.
 FILE_BYTES = 256 << 20
@@ -65,7 +65,7 @@ def write_tokens(docs: DataFrame, rank_file: str, pattern: str, eod: int, id_col
         if sink:
             sink.close()
 
-    manifest = docs.select(docs[id_col], filled(text_col).alias("t")).mapInArrow(run, f"path string, ordinal long, __id {kind}")
+    manifest = arrow_map(docs.select(docs[id_col], filled(text_col).alias("t")), run, f"path string, ordinal long, __id {kind}")
     return materialise(manifest.withColumnRenamed("__id", id_col), "token-manifest")
 
 
@@ -100,13 +100,14 @@ def count_tokens(files: DataFrame, eod: int, dtype: str = "<u2", block_tokens: i
                     ["path", "total", "block", "n", "last", "ends"],
                 )
 
-    blocks = (
-        files.select("path").distinct().mapInArrow(sizes, "path string, total long")
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / block_tokens)))).where("total > 0")
+    sized = arrow_map(files.select("path").distinct(), sizes, "path string, total long")
+    wanted = (
+        sized.where("total > 0")
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / block_tokens))))
         .select("path", "total", "block")
         .repartition(partitions(files.sparkSession), "path", "block")
-        .mapInArrow(scan, "path string, total long, block long, n long, last long, ends array<long>")
     )
+    blocks = arrow_map(wanted, scan, "path string, total long, block long, n long, last long, ends array<long>")
     blocks = materialise(blocks, "token-blocks")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit(-1).cast("long")).alias("carry"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import filled, materialise, strings
+from .shared import arrow_map, filled, materialise, strings
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Plain English insults that tell the category insult from veiled.
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             insult = [not INSULTS.isdisjoint(WORDS.findall(t.lower())) for t in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(insult), pa.array(feats, pa.list_(pa.string()))], ["i", "y", "h", "insult", "f"])
 
-    sample = materialise(texts.mapInArrow(extract, "i string, y boolean, h long, insult boolean, f array<string>"), "toxicity-sample")
+    sample = materialise(arrow_map(texts, extract, "i string, y boolean, h long, insult boolean, f array<string>"), "toxicity-sample")
     sample = materialise(_one_of_each(sample), "toxicity-distinct")
     n1, n0 = sample.agg(F.count_if("y"), F.count_if(~F.col("y"))).first()
     if not n1 or not n0:
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [[k for w in ws if (k := vocabulary.get(w)) is not None] for ws in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(found, pa.list_(pa.int32()))], ["i", "y", "h", "insult", "f"])
 
-    rows = sample.mapInArrow(project, "i string, y boolean, h long, insult boolean, f array<int>").toPandas().sort_values(["h", "i"], kind="stable")
+    rows = arrow_map(sample, project, "i string, y boolean, h long, insult boolean, f array<int>").toPandas().sort_values(["h", "i"], kind="stable")
     indices = [np.asarray(x, np.int64) for x in rows["f"]]
     y, insult = rows["y"].to_numpy(bool), rows["insult"].to_numpy(bool)
     targets = np.stack([y & insult, y & ~insult, y], 1)
@@ -215,4 +215,4 @@ def score(docs: DataFrame, chain: Chain | None, text_col: str = "text") -> DataF
     from pyspark.sql import types as T
 
     fields = [*docs.schema.fields, *[T.StructField(x, T.DoubleType()) for x in names], T.StructField("__toxic", T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType(fields))
+    return arrow_map(docs, run, T.StructType(fields))

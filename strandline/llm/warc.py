@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Sink, filled, fresh_path, materialise, open_uri, partitions
+from .shared import Sink, arrow_map, filled, fresh_path, materialise, open_uri, partitions
 
 #: A file is closed after so many bytes.
 FILE_BYTES = 1 << 30
@@ -103,7 +103,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if sink:
             sink.close()
 
-    return materialise(rows.mapInArrow(run, INDEX), "warc-index")
+    return materialise(arrow_map(rows, run, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame, stretch: int = 16 << 20, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
@@ -150,4 +150,4 @@ def read_records(index: DataFrame, stretch: int = 16 << 20, gap: int = 64 << 10,
                     out.append((fields["WARC-Record-ID"][10:-1], None if url is None else _unescape(url), fields["WARC-Type"], refers and refers[10:-1], int(fields["WARC-Payload-Length"]), digest, block))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return wanted.mapInArrow(run, "record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, block binary")
+    return arrow_map(wanted, run, "record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, block binary")
