@@ -8,7 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("corpus", "metrics", "rewards", "compare", "tokens", "chat", "series", "connect", "helpers")
+MODULES = ("corpus", "metrics", "rewards", "compare", "tokens", "chat", "series", "connect", "helpers", "extra")
+
+#: Names under which the inventory lists an operator a second time.
+ALIASES = {
+    "cascade_sv_tsd_dd_pv": "cascade_records", "filter_counts": "cascade_counts", "across_seed_clause": "across_seed", "combined": "combined_clause", "preregistration_diff": "prereg_diff", "rank_tokens": "vocab_counts",
+    "head_limit": "limit_rows", "pretrain_split": "random_split", "key_union_widen": "log_metrics", "looks_like_pselfies": "looks_like_tokens", "encode": "encode_bracket", "batch_encode": "pad_and_mask", "decode": "decode_tokens",
+    "pad_sequences": "pad_and_mask", "parse_intent": "intent_route", "safe_ratio": "safe_ratio_rows", "accuracy": "tg_reward", "validity": "validity_gate", "novelty": "novelty_reward", "synthesisability": "sa_pass",
+    "composite": "composite_reward", "constraint": "constraint_reward", "control": "control_reward", "lru_memo": "score_distinct_join_back", "augmented_row": "augment", "sweep_config_row": "sweep_grid", "reward_factory": "reward_arms",
+    "span_stage_stats": "corruption_stats", "default_vocab": "vocab_assemble", "injected_novelty_index": "member_semi_join", "index_self_check": "self_check", "injected_tokenizer": "tokenize_longest_match", "sweep_df": "sweep_md",
+}
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
@@ -39,10 +48,11 @@ def _load() -> None:
 
 
 def queries() -> dict[str, Query]:
+    """Every query under its name and its aliases."""
     _load()
-    return dict(_queries)
+    return dict(_queries) | {a: _queries[n] for a, n in ALIASES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_sql)
+    return dict(_sql) | {a: _sql[n] for a, n in ALIASES.items() if n in _sql}

@@ -53,7 +53,8 @@ def stalls(stream: DataFrame, key: str, time: str, limit_s: float) -> DataFrame:
                 gaps.append(t - last)
             last = t if last is None else max(last, t)
         state.update((last,))
-        yield pd.DataFrame({"key": [k[0]] * len(gaps), "gap": gaps})
+        if gaps:
+            yield pd.DataFrame({"key": [k[0]] * len(gaps), "gap": gaps})
 
     rows = stream.select(F.col(key).alias("key"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("t"))
     out = T.StructType([T.StructField("key", kind), T.StructField("gap", T.DoubleType())])

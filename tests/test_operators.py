@@ -184,3 +184,48 @@ def test_tanimoto_and_cosine(spark):
     df = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([], []), (None, [1])], "a array<int>, b array<int>")
     assert [r.x for r in df.select(M.tanimoto("a", "b").alias("x")).collect()] == [0.5, 0.0, 0.0]
     assert [r.x for r in df.select(M.cosine("a", "b").alias("x")).collect()][1:] == [0.0, 0.0]
+
+
+def test_asof_and_interval_joins(spark):
+    from strandline.operators import joins as J
+
+    left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9), ("a", 7)], "k string, t long")
+    right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 6, None), ("b", 10, "z")], "k string, t long, v string")
+    assert {(r.k, r.t): r.got for r in J.asof_join(left, right, "k", "t", "v", "got").collect()} == {("a", 5): "y", ("a", 1): None, ("b", 9): None, ("a", 7): "y"}
+    points = spark.range(-5, 40).withColumnRenamed("id", "p")
+    spans = spark.createDataFrame([(0, 7), (5, 23), (-3, -1)], "a long, b long")
+    got = sorted((r.p, r.a) for r in J.interval_join(points, spans, F.col("p"), F.col("a"), F.col("b"), 8).collect())
+    assert got == sorted((p, a) for p in range(-5, 40) for a, b in ((0, 7), (5, 23), (-3, -1)) if a <= p < b)
+
+
+def test_predictors(spark):
+    from strandline.operators import predictors as P
+
+    def load():
+        def predict(texts):
+            if "bad" in texts:
+                raise ValueError
+            return [len(t) for t in texts][: -1 if "short" in texts else None]
+
+        return predict
+
+    df = spark.createDataFrame([(1, "abc"), (2, "bad"), (3, "short"), (4, None)], "id long, s string")
+    got = {r.id: r.x for r in df.select("id", P.predictor(load, batch=1)("s").alias("x")).collect()}
+    assert got[1] == 3.0 and got[2] is None or got[2] != got[2] and got[4] == 0.0
+    twice = df.unionByName(df)
+    assert P.score_distinct(twice, "s", F.length, "n").count() == 8
+
+
+def test_chemistry_is_refused_without_its_libraries():
+    from strandline.functions import chemistry
+
+    if not chemistry.available()["rdkit"]:
+        with pytest.raises(chemistry.Unavailable):
+            chemistry.canonical_psmiles()
+
+
+def test_interleave(spark):
+    from strandline.operators.loaders import interleave
+
+    a, b = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "x long"), spark.createDataFrame([(10,), (20,)], "x long")
+    assert [(r.loader, r.item) for r in interleave(a, b, "x").collect()] == [("a", 1), ("b", 10), ("a", 2), ("b", 20), ("a", 3), ("b", 10), ("a", 4), ("b", 20), ("a", 5), ("b", 10)]

@@ -118,3 +118,20 @@ def test_packed_token_files(spark, tmp_path):
     for bad in ([[]], [[70_000]]):
         with pytest.raises(ValueError):
             P.write_packed(bad, prefix)
+
+
+def test_adopt_and_archive(tmp_path):
+    from strandline.sources import adopt as A
+
+    path = str(tmp_path / "f.csv")
+    with pytest.raises(A.ConfirmationNeeded):
+        A.adopt(path, "f", large=True)
+    with pytest.raises(FileNotFoundError):
+        A.adopt(path, "f")
+    first = A.adopt(path, "f", large=True, confirmed=True, fetch=lambda p: open(p, "w").write("x") and None)
+    assert first["bytes"] == 1 and A.adopt(path, "f") == first
+    open(path, "w").write("xy")
+    assert A.adopt(path, "f")["sha256"] != first["sha256"]
+    assert A.archive(path, "s").endswith("f.s.csv") and A.archive(path, "s") is None
+    open(path, "w").close()
+    assert A.archive(path, "s").endswith("f.s.1.csv")
