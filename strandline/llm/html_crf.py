@@ -138,12 +138,21 @@ def leaf_blocks(page: str) -> list[Block]:
 
 def path_features(path: tuple[str, ...]) -> list[str]:
     out = set()
+    inner = ""  # marks what stands within an article or a main element
     for step in path:
         tag, *words = step.split(".")
-        out.add(f"in:{tag}")
+        out.add(f"in:{tag}{inner}")
+        if tag in ("article", "main"):
+            inner = "'"
         out.update(f"w:{w}" for w in words)
+        out.update(f"w:{w[:n]}-" for w in words for n in (4, 6) if len(w) > n)
+    for step in path[-2:]:  # what is said near the text counts beside what is said far out
+        tag, *words = step.split(".")
+        out.add(f"near:{tag}")
+        out.update(f"near:{w[:6]}" for w in words)
     if path:
-        out.add(f"leaf:{path[-1].partition('.')[0]}")
+        out.add(f"leaf:{path[-1].partition('.')[0]}{inner}")
+    out.update(f"over:{a.partition('.')[0]}>{b.partition('.')[0]}{inner}" for a, b in zip(path[-2:], path[-1:]))
     return sorted(out)
 
 
@@ -281,7 +290,9 @@ def labelled_pages(n: int, seed: int = 0) -> list[tuple[str, str]]:
         inner = pick([lambda: "<ul>" + "".join(f"<li>{x}</li>" for x in links(3, 8)) + "</ul>", lambda: " | ".join(links(3, 8)), lambda: "".join(f"<div>{x}</div>" for x in links(2, 6))])()
         return f"<{tag}{cls}>{inner}</{tag}>"
 
-    def attr(*names: str) -> str:
+    def attr(*names: str, role: str = "") -> str:
+        if role and chance(0.15):
+            return f' role="{role}"'
         return f' {pick(["class", "class", "id"])}="{pick(names)}"'
 
     def aside() -> str:
@@ -290,21 +301,23 @@ def labelled_pages(n: int, seed: int = 0) -> list[tuple[str, str]]:
         if kind == 0:
             return menu("nav", "" if chance(0.6) else attr("main-nav", "menu", "breadcrumbs"))
         if kind == 1:
-            return menu("div", attr("menu", "nav", "navbar", "navigation", "breadcrumb", "toc", "pagination"))
+            return menu("div", attr("menu", "nav", "navbar", "navigation", "breadcrumb", "toc", "pagination", role="navigation"))
         if kind == 2:
             return f'<{(t := pick(["div", "div", "section", "ins"]))}{attr("ad", "ads", "advert", "advertisement", "sponsored", "banner", "promo", "ad-slot")}>{pick(["", "<p>"])}{text}</{t}>'
         if kind == 3:
             return f"<aside{pick(['', attr('sidebar', 'related', 'widget')])}><h3>{words(1, 3)}</h3><p>{text}</p>{menu('div', '') if chance(0.5) else ''}</aside>"
         if kind == 4:
-            return f'<div{attr("sidebar", "side", "related", "widget", "recommended", "share", "social")}><h4>{words(1, 3)}</h4>{"".join(f"<p>{sentence(3, 15)}</p>" for _ in range(rng.randint(0, 3)))}{menu("div", "")}</div>'
+            return f'<div{attr("sidebar", "side", "related", "widget", "recommended", "share", "social", role="complementary")}><h4>{words(1, 3)}</h4>{"".join(f"<p>{sentence(3, 15)}</p>" for _ in range(rng.randint(0, 3)))}{menu("div", "")}</div>'
         if kind == 5:
             return f'<div{attr("cookie", "cookie-notice", "cookie-banner", "notice", "consent", "alert", "newsletter", "popup", "gdpr", "modal")}><p>{text}</p><button>{words(1, 2)}</button></div>'
         if kind == 6:
             return f'<form action="/s"><label>{words(1, 3)}</label><input name="q"><p>{text}</p><button>{words(1, 1)}</button></form>'
         if kind == 7:
-            return f'<section{attr("comments", "comment-list", "responses", "disqus", "replies")}><h2>{words(1, 2)}</h2>' + "".join(f'<{(t := pick(["div", "article", "li"]))} class="comment"><b>{words(1, 2)}</b><p>{sentence(3, 25)}</p></{t}>' for _ in range(rng.randint(1, 5))) + "</section>"
+            return f'<section{attr("comments", "comment-list", "responses", "disqus_thread", "replies", "user-comments")}><h2>{words(1, 2)}</h2>' + "".join(f'<{(t := pick(["div", "article", "li"]))} class="comment"><b>{words(1, 2)}</b><p>{sentence(3, 25)}</p></{t}>' for _ in range(rng.randint(1, 5))) + "</section>"
+        if kind == 8 and chance(0.5):
+            return f'<{(t := pick(["ol", "ul"]))}{attr("commentlist", "comments", "comment-list")}>' + "".join(f"<li>{pick(['', words(1, 2) + ': '])}{sentence(3, 25)}</li>" for _ in range(rng.randint(1, 5))) + f"</{t}>"
         if kind == 8:
-            return f'<div{attr("comments", "comment", "reply", "reader-comments")}>' + "".join(f"<p>{sentence(3, 25)}</p>" for _ in range(rng.randint(1, 5))) + "</div>"
+            return f'<div{attr("comments", "comment", "reply", "reader-comments", "discussion")}>' + "".join(f"<p>{sentence(3, 25)}</p>" for _ in range(rng.randint(1, 5))) + "</div>"
         if kind == 9:
             return f'<p{attr("notice", "ad", "meta", "byline", "tags", "disclaimer", "share")}>{text}</p>'
         return f'<{(t := pick(["p", "div"]))}{attr("advert", "sponsored", "promo", "caption-ad", "subscribe")}>{text}</{t}>'
@@ -318,8 +331,8 @@ def labelled_pages(n: int, seed: int = 0) -> list[tuple[str, str]]:
             h = words(2, 8).capitalize()
             return f"<h2>{h}</h2><p>{s}</p>", [h, s]
         if kind == 7:
-            a, b = words(3, 12), words(2, 5)
-            return f'<p>{a} <a href="/x">{b}</a> {s}</p>', [f"{a} {b} {s}"]
+            a, b = words(1, 12), words(2, 15)
+            return pick([(f'<p>{a} <a href="/x">{b}</a> {s}</p>', [f"{a} {b} {s}"]), (f'<p>{a} <a href="/x">{b}</a>.</p>', [f"{a} {b}."])])
         if kind == 8:
             items = [sentence(2, 12) for _ in range(rng.randint(2, 4))]
             t = pick(["ul", "ol"])
@@ -335,32 +348,38 @@ def labelled_pages(n: int, seed: int = 0) -> list[tuple[str, str]]:
     for _ in range(n):
         title = words(2, 10).capitalize()
         body, texts = "", []
+        inside = pick([0.0, 0.08, 0.3])
         if chance(0.8):
             body, texts = f"<h1>{title}</h1>", [title]
         for _ in range(rng.randint(1, 14)):
             h, t = paragraph()
             body += h
             texts += t
-            if chance(0.08):
+            if chance(inside):
                 body += aside()
         box = pick(["article", "article", "article", "main", "main", "div", "div", "section", "td"])
-        cls = attr("content", "post", "entry-content", "article", "article-body", "main", "story", "text", "post-body") if box in ("div", "section", "td") or chance(0.3) else ""
+        cls = attr("content", "post", "entry-content", "article", "article-body", "main", "story", "text", "post-body", role="main") if box in ("div", "section", "td") or chance(0.3) else ""
+        if chance(0.15):  # a byline above, tags below
+            body = f"<header>{body[: body.index('</h1>') + 5]}<p class=\"byline\">{words(2, 4)}</p></header>{body[body.index('</h1>') + 5 :]}" if body.startswith("<h1>") else body
+            body += pick(["", f"<footer>{words(1, 4)}</footer>", f'<p class="tags">{words(1, 4)}</p>'])
         shell = f"<{box}{cls}>{body}</{box}>"
+        if chance(0.08):  # nothing around the text but the body itself
+            shell = body
         if box == "td":
             shell = f"<table><tr>{shell}</tr></table>"
         if chance(0.3):
             shell = f"<div{attr('container', 'wrapper', 'page', 'row')}>{shell}{aside() if chance(0.4) else ''}</div>"
         before = ""
         if chance(0.5):
-            before += f'<header{pick(["", attr("header", "site-header", "masthead", "top")])}>{pick([f"<h1>{words(1, 4)}</h1>", f"<div>{words(1, 5)}</div>", ""])}{menu("nav", "") if chance(0.6) else words(1, 6)}</header>'
+            before += f'<header{pick(["", attr("header", "site-header", "masthead", "top")])}>{pick([f"<h1>{words(1, 4)}</h1>", f"<h1>{links(1, 1)[0]}</h1>", f"<div>{words(1, 5)}</div>", ""])}{menu("nav", "") if chance(0.6) else words(1, 6)}</header>'
         elif chance(0.3):
-            before += f'<div{attr("header", "site-header", "masthead", "topbar")}><p>{words(1, 6)}</p></div>'
+            before += f'<div{attr("header", "site-header", "masthead", "topbar", role="banner")}><p>{words(1, 6)}</p></div>'
         before += "".join(aside() for _ in range(rng.randint(0, 3)))
         after = "".join(aside() for _ in range(rng.randint(0, 3)))
         if chance(0.75):
             after += f"<footer{pick(['', '', attr('footer', 'site-footer')])}>{pick(['&copy; ', ''])}{words(1, 4)}{pick([' &middot; ', ' '])}{sentence(3, 15)}</footer>"
         elif chance(0.5):
-            after += f'<div{attr("footer", "bottom", "copyright", "legal")}>&copy; {words(2, 10)}</div>'
+            after += f'<div{attr("footer", "bottom", "copyright", "legal", "site-footer", role="contentinfo")}>&copy; {words(2, 10)}</div>'
         page = f'<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>{before}<!-- c -->{shell}{after}' + pick(["</body></html>", ""])
         out.append((page, "\n".join(texts)))
     return out
@@ -377,7 +396,7 @@ def gold_labels(blocks: list[Block], main: str) -> list[int]:
 
 
 @lru_cache(maxsize=1)
-def standard_field(n: int = 700, seed: int = 11) -> Field:
+def standard_field(n: int = 1500, seed: int = 11) -> Field:
     """The field trained on the generated pages; fitted once in a process."""
     pages = []
     for page, main in labelled_pages(n, seed):
