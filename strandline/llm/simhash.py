@@ -302,12 +302,13 @@ def stars(edges: DataFrame, label: str = "stars") -> DataFrame:
     seen = None
     while True:
         around = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # the minima are written, so that the joins have plain exchanges on both sides, which Spark can
+        # split where a star's centre has very many neighbours
+        least = materialise(around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), label)
         large = around.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialise(large, label)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), label)
+        small = large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         edges = materialise(small, label)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
@@ -319,7 +320,7 @@ def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
     """__fp and component_id (smallest __least of the component) for each class (fp, __least)."""
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
     named = materialise(named, "simhash-named")
-    least = named.groupBy("__root").agg(F.min("__least").alias("component_id"))
+    least = materialise(named.groupBy("__root").agg(F.min("__least").alias("component_id")), "simhash-least")
     return named.join(least, "__root").select(F.col("fp").alias("__fp"), "component_id")
 
 
