@@ -63,14 +63,14 @@ def split_rank(df: DataFrame, key: str, seed: int | str, by: list[str] | None =
     return global_rank(hashed, ["__h", key], "rank").drop("__h")
 
 
-def global_rank(df: DataFrame, order: list[str], name: str, digits: int = 2) -> DataFrame:
+def global_rank(df: DataFrame, order: list[str], name: str, digits: int = 3) -> DataFrame:
     """Row number from 1 in a global order whose first column is a hex string: rows are numbered
-    within buckets of the leading hex digits, and the buckets' counts, a fixed number of rows, are
-    summed up and joined back."""
-    lead = F.substring(F.col(order[0]), 1, digits)
-    cut = df.withColumn("__lead", lead)
-    sizes = cut.groupBy("__lead").count()
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__lead") < F.col("a.__lead"), "left").groupBy(F.col("a.__lead").alias("__l")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("__before"))
+    within buckets of the leading hex digits; the buckets' counts, 16 ** digits rows at most, are
+    summed up in one small window and joined back. Raise digits for more parallel buckets."""
+    cut = df.withColumn("__lead", F.substring(F.col(order[0]), 1, digits))
+    sizes = cut.groupBy(F.col("__lead").alias("__l")).agg(F.count(F.lit(1)).alias("__c"))
+    earlier = Window.orderBy("__l").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__l", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"))
     local = cut.withColumn("__n", F.row_number().over(Window.partitionBy("__lead").orderBy(*order)))
     return local.join(F.broadcast(before), F.col("__lead") == F.col("__l")).withColumn(name, (F.col("__before") + F.col("__n")).cast("long")).drop("__lead", "__l", "__n", "__before")
 

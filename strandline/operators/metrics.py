@@ -96,7 +96,8 @@ def running_total(df: DataFrame, order: str, value: str, name: str, stretches: i
     cuts = df.select(F.percentile_approx(order, F.array(*[F.lit(i / stretches) for i in range(1, stretches)]), F.lit(10000)).alias("__cuts"))
     cut = df.crossJoin(F.broadcast(cuts)).withColumn("__s", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
     sums = cut.groupBy("__s").agg(F.sum(value).alias("__t"))
-    before = sums.alias("a").join(sums.alias("b"), F.col("b.__s") < F.col("a.__s"), "left").groupBy(F.col("a.__s").alias("__z")).agg(F.coalesce(F.sum("b.__t"), F.lit(0)).alias("__before"))
+    earlier = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col("__s").alias("__z"), F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__before"))
     w = Window.partitionBy("__s").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.withColumn("__in", F.sum(value).over(w))
     return local.join(F.broadcast(before), F.col("__s") == F.col("__z")).withColumn(name, F.col("__before") + F.col("__in")).drop("__s", "__z", "__in", "__before")
