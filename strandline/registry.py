@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ship import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = ("corpus", "metrics", "rewards", "compare", "tokens", "chat", "series", "connect", "helpers", "extra")
 
@@ -23,6 +26,15 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 
+def _shipping(f: Query) -> Query:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function (spark, sf_dir) under its own name; sql is the same for DuckDB."""
 
@@ -30,7 +42,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         name = f.__name__
         if name in _queries:
             raise ValueError(f"two queries are named {name}")
-        _queries[name] = f
+        _queries[name] = _shipping(f)
         if sql is not None:
             _sql[name] = sql
         return f
