@@ -62,7 +62,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_records(warc.write_archives(_table(spark, sf_dir, "pages")))
-    return records.select(F.try_to_number("record_id", F.lit("S9999999999999999999")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    return records.select(F.col("record_id").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").try_cast("long").alias("refers_to"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
