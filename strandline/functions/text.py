@@ -21,7 +21,7 @@ LOOSE_NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\
 
 def strip(c: Column) -> Column:
     """All white space off both ends, not only spaces."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def canonical(c: Column) -> Column:
@@ -29,6 +29,16 @@ def canonical(c: Column) -> Column:
     return F.lower(F.regexp_replace(strip(c), r"\s+", " "))
 
 
+def n_words(canon: Column) -> Column:
+    """Words of a canonical text, in which one space stands between two."""
+    return F.when(canon == "", 0).otherwise(F.length(canon) - F.length(F.replace(canon, F.lit(" "), F.lit(""))) + 1)
+
+
+def content_key(canon: Column) -> Column:
+    """What stands for a canonical text in joins and groups: 32 bytes instead of the text."""
+    return F.unhex(F.sha2(canon, 256))
+
+
 def star_to_at(c: Column) -> Column:
     """Every marked end, bracketed or bare, as [At]; null as empty."""
     return F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), STAR_GROUP, "[At]"), F.lit("*"), F.lit("[At]"))

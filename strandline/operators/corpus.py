@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import is_finite, reliability_weight
 
@@ -48,12 +50,35 @@ def novel(candidates: DataFrame, reference: DataFrame, key: str) -> DataFrame:
     return candidates.join(reference.select(F.col(key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "left_anti")
 
 
-def containing(candidates: DataFrame, phrases: DataFrame, text: str, phrase: str) -> DataFrame:
-    """Candidates whose text contains one of the phrases: a broadcast theta join, for a phrase table
-    that fits a broadcast (its size is Catalyst's to check; beyond it the join is partitioned)."""
+def containing(candidates: DataFrame, phrases: DataFrame, text: str, phrase: str, most_phrases: int = 100_000) -> DataFrame:
+    """Candidates whose text contains one of the phrases. Up to ``most_phrases`` go to every task as an
+    Aho-Corasick automaton, which reads each text once whatever their number; more are joined by a
+    theta join, whose side Catalyst chooses."""
+    words = [r[0] for r in phrases.select(phrase).where(F.col(phrase).isNotNull()).distinct().limit(most_phrases + 1).collect()]
+    if len(words) <= most_phrases:
+        return candidates.where(contains_any(words)(F.col(text)))
     return candidates.join(phrases.select(F.col(phrase).alias("__p")), F.col(text).contains(F.col("__p")), "left_semi")
 
 
+def contains_any(words: list[str]):
+    """A pandas UDF: whether a text contains one of the words; null texts do not."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for w in words:
+        if w:
+            found.add_word(w, 1)
+    if len(found):
+        found.make_automaton()
+    every = "" in words
+
+    @F.pandas_udf(T.BooleanType())
+    def test(v: pd.Series) -> pd.Series:
+        return v.map(lambda s: isinstance(s, str) and (every or (len(found) > 0 and next(found.iter(s), None) is not None))).astype("bool")
+
+    return test
+
+
 def split_rank(df: DataFrame, key: str, seed: int | str, by: list[str] | None = None) -> DataFrame:
     """df with ``rank`` from 1 in the order of the MD5 of seed and key. Without ``by`` ranks come
     from range-partitioned counts, so no task holds all rows."""

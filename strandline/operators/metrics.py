@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import is_finite, pearson, safe_ratio
+from ..functions.numbers import is_finite, safe_ratio
+from ..sources.scratch import materialise
 
 
 def regression_report(df: DataFrame, truth: Column, pred: Column, by: list[str] | None = None) -> DataFrame:
@@ -78,7 +79,9 @@ def conformal_quantile(residuals: DataFrame, r: str, alpha: float, by: list[str]
         raise ValueError("alpha must lie between 0 and 1")
     keys = by or []
     counts = residuals.groupBy(*keys, r).agg(F.count(F.lit(1)).alias("__c"))
-    total = residuals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("k", conformal_rank(F.col("n"), alpha))
+    if not by:
+        counts = materialise(counts, "residuals")
+    total = (residuals if by else counts).groupBy(*keys).agg((F.count(F.lit(1)) if by else F.coalesce(F.sum("__c"), F.lit(0))).alias("n")).withColumn("k", conformal_rank(F.col("n"), alpha))
     if by:
         w = Window.partitionBy(*keys).orderBy(r).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         upto = counts.withColumn("__upto", F.sum("__c").over(w)).join(F.broadcast(total), keys)
@@ -93,7 +96,8 @@ def running_total(df: DataFrame, order: str, value: str, name: str, stretches: i
     """Running sum of value in the order of a numeric column, without one task that holds all rows:
     rows are cut in stretches at approximate quantiles, summed up within, and the stretches' totals,
     at most ``stretches`` rows, are carried forward."""
-    cuts = df.select(F.percentile_approx(order, F.array(*[F.lit(i / stretches) for i in range(1, stretches)]), F.lit(10000)).alias("__cuts"))
+    df = materialise(df, "running")  # three passes follow
+    cuts = df.select(F.percentile_approx(order, F.array(*[F.lit(i / stretches) for i in range(1, stretches)]), F.lit(4 * stretches)).alias("__cuts"))
     cut = df.crossJoin(F.broadcast(cuts)).withColumn("__s", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
     sums = cut.groupBy("__s").agg(F.sum(value).alias("__t"))
     earlier = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)

@@ -185,12 +185,12 @@ def write_splits(spark, sf):
     return s.crossJoin(F.broadcast(s.agg(F.sum("n").alias("t")))).select("part", "n", F.round(F.col("n") / F.col("t"), 6).alias("fraction"))
 
 
-@query("SELECT event_id, value, NULL::BIGINT AS step, event_type FROM events WHERE event_id < 50 UNION ALL SELECT event_id, NULL, event_id * 2, event_type FROM events WHERE event_id >= 50 AND event_id < 60")
+@query("SELECT event_id, value, NULL::BIGINT AS step, event_type FROM events WHERE event_type <> 'signup' UNION ALL SELECT event_id, NULL, event_id * 2, event_type FROM events WHERE event_type = 'signup'")
 def log_metrics(spark, sf):
     """A log that later rows widen."""
     e = table(spark, sf, "events")
-    old = e.where("event_id < 50").select("event_id", "value", "event_type")
-    new = e.where("event_id >= 50 AND event_id < 60").select("event_id", (F.col("event_id") * 2).alias("step"), "event_type")
+    old = e.where("event_type <> 'signup'").select("event_id", "value", "event_type")
+    new = e.where("event_type = 'signup'").select("event_id", (F.col("event_id") * 2).alias("step"), "event_type")
     return W.log_metrics(old, new)
 
 

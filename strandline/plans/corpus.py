@@ -9,27 +9,35 @@ from ..functions.numbers import safe_ratio
 from ..operators import corpus as C
 from ..operators import screen as S
 from ..registry import query, table
+from ..sources.scratch import materialise
 from . import sql as Q
 
 CANON = Q.canonical("text")
 
 
+def _keyed(spark, sf):
+    """Documents with the key of their canonical form and their word count, written once: the texts
+    are read and brought to canonical form in one pass, whatever follows."""
+    docs = table(spark, sf, "documents").withColumn("__c", X.canonical(F.col("text")))
+    return materialise(docs.select("doc_id", "lang", "source", "n_chars", X.content_key(F.col("__c")).alias("canonical"), X.n_words(F.col("__c")).alias("words")), "keyed")
+
+
 def _candidates(spark, sf):
     """Documents that stand for candidates, and those that stand for the training set."""
-    docs = table(spark, sf, "documents").withColumn("canonical", X.canonical(F.col("text")))
+    docs = _keyed(spark, sf)
     return docs.where("doc_id % 10 <> 0"), docs.where("doc_id % 10 = 0")
 
 
-def _n_words(c):
-    s = X.strip(c)
-    return F.when(s == "", 0).otherwise(F.size(F.split(s, r"\s+")))
+def _texts(spark, sf):
+    """The same with the canonical texts themselves."""
+    docs = table(spark, sf, "documents").withColumn("canonical", X.canonical(F.col("text")))
+    return docs.where("doc_id % 10 <> 0"), docs.where("doc_id % 10 = 0")
 
 
 def _screened(spark, sf):
     candidates, reference = _candidates(spark, sf)
-    parses = _n_words(F.col("text")) >= 50
     structure = (F.col("lang") == "en") & F.col("n_chars").between(200, 20000)
-    return S.cascade(candidates, "doc_id", "canonical", parses, structure, reference)
+    return S.cascade(candidates, "doc_id", "canonical", F.col("words") >= 50, structure, reference)
 
 
 SCREENED = f"""
@@ -67,7 +75,8 @@ def failure_stage(spark, sf):
 @query(f"WITH {SCREENED} SELECT doc_id, canonical AS form FROM s WHERE passed_dd")
 def scored_candidates(spark, sf):
     """Rows that reach a stage, with the string to score and their position."""
-    return _screened(spark, sf).where("passed_dd").select("doc_id", F.col("canonical").alias("form"))
+    reached = _screened(spark, sf).where("passed_dd").select("doc_id")
+    return table(spark, sf, "documents").join(reached, "doc_id").select("doc_id", X.canonical(F.col("text")).alias("form"))
 
 
 @query(f"WITH {SCREENED} SELECT doc_id, lang, passed_pv FROM s WHERE passed_tsd")
@@ -77,10 +86,17 @@ def survivor_align_join(spark, sf):
 
 
 def _attrition(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("canonical", X.canonical(F.col("text")))
-    words = _n_words(F.col("text"))
-    checks = [("n_parse_failed", words >= 20), ("n_wrong_termini", F.col("text").rlike(r"[.!?]\s*$")), ("n_encode_failed", ~F.col("text").contains("#")), ("n_too_long", words <= 1000)]
-    return C.attrition(docs, "doc_id", checks, "canonical")
+    c = F.col("__c")
+    docs = table(spark, sf, "documents").withColumn("__c", X.canonical(F.col("text")))
+    small = docs.select("doc_id", "lang", "source", "n_chars", X.content_key(c).alias("canonical"), X.n_words(c).alias("words"), F.col("text").rlike(r"[.!?]\s*$").alias("ends"), F.col("text").contains("#").alias("marked"))
+    checks = [("n_parse_failed", F.col("words") >= 20), ("n_wrong_termini", F.col("ends")), ("n_encode_failed", ~F.col("marked")), ("n_too_long", F.col("words") <= 1000)]
+    return C.attrition(materialise(small, "attrition"), "doc_id", checks, "canonical")
+
+
+def _kept(spark, sf):
+    """The rows that attrition keeps, with their canonical texts."""
+    kept = _attrition(spark, sf).where("bucket = 'n_kept'").select("doc_id")
+    return table(spark, sf, "documents").join(kept, "doc_id").withColumn("canonical", X.canonical(F.col("text")))
 
 
 ATTRITION = f"""
@@ -107,14 +123,13 @@ def attrition_by_source(spark, sf):
 
 @query(f"WITH {ATTRITION} SELECT doc_id, canonical FROM b WHERE bucket = 'n_kept'")
 def prepare_corpus(spark, sf):
-    return _attrition(spark, sf).where("bucket = 'n_kept'").select("doc_id", "canonical")
+    return _kept(spark, sf).select("doc_id", "canonical")
 
 
 @query(f"WITH {ATTRITION} SELECT doc_id, canonical, quality FROM b JOIN labels USING (doc_id) WHERE bucket = 'n_kept'")
 def prepare_labelled(spark, sf):
     """The kept rows with their labels: of copies the first row's label wins."""
-    kept = _attrition(spark, sf).where("bucket = 'n_kept'").select("doc_id", "canonical")
-    return kept.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return _kept(spark, sf).select("doc_id", "canonical").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
 
 
 @query(f"WITH {ATTRITION} SELECT doc_id, lang, source, n_chars FROM b WHERE bucket = 'n_kept'")
@@ -126,7 +141,7 @@ def prepare_labelled_rows(spark, sf):
 
 @query(f"SELECT doc_id, ({Q.words('text')})::BIGINT AS n_tokens FROM documents WHERE ({Q.words('text')}) <= 200")
 def length_filter(spark, sf):
-    n = _n_words(F.col("text")).cast("long")
+    n = X.n_words(X.canonical(F.col("text"))).cast("long")
     return table(spark, sf, "documents").select("doc_id", n.alias("n_tokens")).where("n_tokens <= 200")
 
 
@@ -168,7 +183,7 @@ def novel_anti_join(spark, sf):
 def member_semi_join(spark, sf):
     """Membership by a 64-bit key of the canonical form."""
     candidates, reference = _candidates(spark, sf)
-    key = X.md5_long(F.col("canonical"))
+    key = F.xxhash64("canonical")
     return C.member_flag(candidates.withColumn("h", key), reference.withColumn("h", key), "h").select("doc_id", "is_member")
 
 
@@ -187,13 +202,13 @@ def novelty_rate(spark, sf):
 
 @query(f"WITH {NOVEL} SELECT canonical FROM c EXCEPT SELECT canonical FROM r")
 def except_novel(spark, sf):
-    candidates, reference = _candidates(spark, sf)
+    candidates, reference = _texts(spark, sf)
     return candidates.select("canonical").distinct().join(reference.select("canonical"), "canonical", "left_anti")
 
 
 @query(f"WITH {NOVEL} SELECT canonical FROM c INTERSECT SELECT canonical FROM r")
 def intersect_overlap(spark, sf):
-    candidates, reference = _candidates(spark, sf)
+    candidates, reference = _texts(spark, sf)
     return candidates.select("canonical").intersect(reference.select("canonical"))
 
 
@@ -208,7 +223,7 @@ def union_concat(spark, sf):
 def self_check(spark, sf):
     """The index finds its own members: share of hits and whether it reaches 0.99."""
     _, reference = _candidates(spark, sf)
-    key = X.md5_long(F.col("canonical"))
+    key = F.xxhash64("canonical")
     hits = C.member_flag(reference.withColumn("h", key), reference.withColumn("h", key), "h")
     out = hits.agg(F.count(F.lit(1)).alias("n_probed"), F.count_if("is_member").alias("n_hit"))
     return out.select("*", safe_ratio(F.col("n_hit"), F.col("n_probed")).alias("hit_rate"), (safe_ratio(F.col("n_hit"), F.col("n_probed")) >= 0.99).alias("passed"))

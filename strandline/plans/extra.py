@@ -18,7 +18,7 @@ from ..streaming import jobs
 from . import sql as Q
 from .compare import ARMS, _arms
 from .corpus import COUNTS, SCREENED, _screened
-from .tokens import CORRUPT, ENC, PADDED, _corrupted, _encoded, _joined, _randomly_corrupted
+from .tokens import CORRUPT, ENC, FORCED, PADDED, _corrupted, _encoded, _joined, _randomly_corrupted
 
 
 # -- sinks: written to the shared folder and read back
@@ -138,11 +138,10 @@ def stall_detect(spark, sf):
     return _drained(spark, jobs.stalls(_stream(spark, sf), "user_id", "ts", 100000.0), "stalls").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 4 <> 0")
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def skip_processed(spark, sf):
-    """Rows that an earlier run has not consumed."""
-    docs = table(spark, sf, "documents").select("doc_id")
-    return docs.join(docs.where("doc_id % 4 = 0"), "doc_id", "left_anti")
+    """Rows that an earlier run, here the labelling, has not consumed."""
+    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 # -- joins and frames
@@ -163,11 +162,11 @@ def interval_join(spark, sf):
     return J.interval_join(table(spark, sf, "orders").select("o_orderkey"), spans, F.col("o_orderkey"), begin, begin + 100, 64).select("o_orderkey", "span")
 
 
-@query("SELECT coalesce(a.n_regionkey, b.r_regionkey)::INT AS region, a.n AS n_nations, b.r_name AS name FROM (SELECT n_regionkey, count(*) AS n FROM nation WHERE n_regionkey < 3 GROUP BY 1) a FULL JOIN (SELECT * FROM region WHERE r_regionkey > 1) b ON n_regionkey = r_regionkey")
+@query("SELECT coalesce(c_nationkey, s_nationkey)::INT AS nation, a.n AS n_customers, b.n AS n_suppliers FROM (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY 1) a FULL JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal < 0 GROUP BY 1) b ON c_nationkey = s_nationkey")
 def full_outer_join(spark, sf):
-    a = table(spark, sf, "nation").where("n_regionkey < 3").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n_nations"))
-    b = table(spark, sf, "region").where("r_regionkey > 1")
-    return a.join(b, a.n_regionkey == b.r_regionkey, "full").select(F.coalesce("n_regionkey", "r_regionkey").cast("int").alias("region"), "n_nations", F.col("r_name").alias("name"))
+    a = table(spark, sf, "customer").where("c_acctbal < 0").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_customers"))
+    b = table(spark, sf, "supplier").where("s_acctbal < 0").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_suppliers"))
+    return a.join(b, a.c_nationkey == b.s_nationkey, "full").select(F.coalesce("c_nationkey", "s_nationkey").cast("int").alias("nation"), "n_customers", "n_suppliers")
 
 
 @query("""SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW), 4) AS near_sum, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 6) AS percent_rank, round(cume_dist() OVER w, 6) AS cume_dist, lead(event_id) OVER w AS next_id
@@ -198,7 +197,7 @@ def collate_pretrain(spark, sf):
     return both.select("row_id", "batch", _joined(F.col("i")).alias("ids"), _joined(F.col("m")).alias("mask"), _joined(F.col("l")).alias("labels"))
 
 
-@query(f"WITH {CORRUPT} SELECT row_id % 2 AS task_id, array_to_string(list_resize(list_concat(ids[1:2], [1032], ids[5:7], [1031], ids[11:]), 40, 0), ' ') AS ids FROM c")
+@query(f"WITH {CORRUPT} SELECT row_id % 2 AS task_id, array_to_string(list_resize({FORCED}, 40, 0), ' ') AS ids FROM c")
 def collate_task(spark, sf):
     """Items of two tasks in one batch layout."""
     rows = _corrupted(spark, sf).select((F.col("row_id") % 2).alias("task_id"), T.pad(F.col("inputs"), F.lit(40)).alias("i"))
@@ -231,12 +230,12 @@ def predict_batch(spark, sf):
     return table(spark, sf, "part").select("p_partkey", P.predictor(_length_model)(F.col("p_name")).alias("predicted"))
 
 
-@query("SELECT p_partkey, CAST(NULL AS DOUBLE) AS predicted FROM part WHERE p_partkey <= 50")
+@query("SELECT p_partkey, CAST(NULL AS DOUBLE) AS predicted FROM part")
 def failure_isolation(spark, sf):
     """Batches that fail are NaN (shown as null), and the query lives."""
     bad = F.concat(F.lit("!"), F.col("p_name"))
     p = P.predictor(_length_model)(bad)
-    return table(spark, sf, "part").where("p_partkey <= 50").select("p_partkey", p.alias("p")).select("p_partkey", F.when(~F.isnan("p"), F.col("p")).alias("predicted"))
+    return table(spark, sf, "part").select("p_partkey", p.alias("p")).select("p_partkey", F.when(~F.isnan("p"), F.col("p")).alias("predicted"))
 
 
 @query("SELECT p_partkey, length(p_name)::DOUBLE AS mean, 0.0::DOUBLE AS std, 2::BIGINT AS n_contributing FROM part")
@@ -275,12 +274,12 @@ def reproducible(spark, sf):
 
 @query()
 def bootstrap_delta(spark, sf):
-    """The exact multinomial bootstrap of small arms: each arm's sample, a bounded vector, is resampled
+    """The exact multinomial bootstrap: each arm's sample, its suppliers' means, is resampled
     by numpy with a seed in one task; ``bootstrap_delta_hash`` is the form without that bound."""
     import numpy as np
     import pandas as pd
 
-    rows = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select("l_returnflag", "l_discount")
+    rows = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.avg("l_discount").alias("l_discount"))
 
     def resample(frame: pd.DataFrame) -> pd.DataFrame:
         x, rng = frame["l_discount"].to_numpy(), np.random.default_rng(7)

@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..functions.numbers import is_finite, pearson, safe_ratio, slope
 from ..operators import metrics as M
 from ..registry import query, table
+from ..sources.scratch import materialise
 from . import sql as Q
 from .corpus import COUNTS, SCREENED, _screened
 
@@ -153,14 +154,15 @@ def conformal_coverage(spark, sf):
     return got.select("l_returnflag", "n", "hits", F.round(p, 6).alias("coverage"), F.round(2 * F.col("q"), 4).alias("width"), F.round(F.greatest(F.lit(0.0), p - wald), 6).alias("ci_low"), F.round(F.least(F.lit(1.0), p + wald), 6).alias("ci_high"))
 
 
-@query(f"""WITH {RES}, s AS (SELECT r.*, t AS rep, md5('rep' || t || ':' || l_orderkey) < '4' AS cal FROM (SELECT * FROM r WHERE l_orderkey % 20 = 0) r, (SELECT unnest(range(0, 20)) AS t)),
+@query(f"""WITH {PAIRS}, r AS (SELECT l_suppkey, avg(abs(pred - target)) AS r FROM p WHERE pred IS NOT NULL GROUP BY 1), s AS (SELECT r.*, t AS rep, md5('rep' || t || ':' || l_suppkey) < '8' AS cal FROM r, (SELECT unnest(range(0, 20)) AS t)),
     n AS (SELECT rep, ceil((count(*) + 1) * 0.9 - 1e-9)::BIGINT AS k FROM s WHERE cal GROUP BY rep), o AS (SELECT rep, r, row_number() OVER (PARTITION BY rep ORDER BY r) AS i FROM s WHERE cal), q AS (SELECT rep, r AS q FROM o JOIN n USING (rep) WHERE i = k),
     c AS (SELECT rep, avg((r <= q)::INT) AS coverage, any_value(q) AS q FROM s JOIN q USING (rep) WHERE NOT cal GROUP BY rep), w AS (SELECT coverage, row_number() OVER (ORDER BY coverage) AS i, q FROM c)
     SELECT count(*) AS n_repeats, round(avg(coverage), 6) AS mean_coverage, round(avg(q), 3) AS mean_half_width, round(max(coverage) FILTER (i = 2), 6) AS p05, round(max(coverage) FILTER (i = 19), 6) AS p95 FROM w""")
 def conformal_repeated(spark, sf):
-    """Twenty random calibration halves of every twentieth order (the repeats are what is sampled)."""
-    rows = _residuals(spark, sf).where("l_orderkey % 20 = 0").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    rows = rows.withColumn("cal", F.md5(F.concat(F.lit("rep"), F.col("rep").cast("string"), F.lit(":"), F.col("l_orderkey").cast("string"))) < "4")
+    """Twenty random calibration halves of the suppliers' mean residuals."""
+    units = _residuals(spark, sf).groupBy("l_suppkey").agg(F.avg("r").alias("r"))
+    rows = materialise(units, "residuals").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    rows = rows.withColumn("cal", F.md5(F.concat(F.lit("rep"), F.col("rep").cast("string"), F.lit(":"), F.col("l_suppkey").cast("string"))) < "8")
     q = M.conformal_quantile(rows.where("cal"), "r", 0.1, ["rep"]).select("rep", F.col("quantile").alias("q"))
     c = rows.where("NOT cal").join(F.broadcast(q), "rep").groupBy("rep").agg(F.avg((F.col("r") <= F.col("q")).cast("int")).alias("coverage"), F.first("q").alias("q"))
     s = F.sort_array(F.collect_list("coverage"))
@@ -194,26 +196,35 @@ def diversity(spark, sf):
     return _rounded(M.diversity(docs, "c", ["lang"]), 6)
 
 
+SAMPLE = "SELECT vec_id, embedding FROM embeddings ORDER BY md5('sample:' || vec_id), vec_id"
+
+
+def _sample(spark, sf, n):
+    """A seeded sample of n vectors."""
+    h = F.md5(F.concat(F.lit("sample:"), F.col("vec_id").cast("string")))
+    return table(spark, sf, "embeddings").select("vec_id", "embedding", h.alias("h")).orderBy("h", "vec_id").limit(n).select("vec_id", "embedding")
+
+
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-@query(f"SELECT count(*) AS n_pairs, round(avg({COS}), 5) AS mean_similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 200 AND b.vec_id < 200")
+@query(f"SELECT count(*) AS n_pairs, round(avg({COS}), 5) AS mean_similarity FROM ({SAMPLE} LIMIT 200) a JOIN ({SAMPLE} LIMIT 200) b ON a.vec_id < b.vec_id")
 def pairwise_similarity(spark, sf):
-    """All pairs of a sample of two hundred: the reference operator's own bound."""
-    v = table(spark, sf, "embeddings").where("vec_id < 200").select("vec_id", "embedding")
+    """All pairs of a seeded sample of two hundred, which is the operator's definition."""
+    v = _sample(spark, sf, 200)
     a, b = v.alias("a"), F.broadcast(v).alias("b")
     pairs = a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).withColumn("s", M.cosine("a.embedding", "b.embedding"))
     return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("s"), 5).alias("mean_similarity"))
 
 
-NEAREST = f"SELECT a.vec_id, max({COS}) AS nearest FROM embeddings a JOIN embeddings b ON b.vec_id < 50 WHERE a.vec_id >= 50 GROUP BY a.vec_id"
+NEAREST = f"SELECT a.vec_id, max({COS}) AS nearest FROM embeddings a, ({SAMPLE} LIMIT 50) b WHERE a.vec_id NOT IN (SELECT vec_id FROM ({SAMPLE} LIMIT 50)) GROUP BY a.vec_id"
 
 
 def _nearest(spark, sf):
-    """Best similarity to a reference of fifty vectors, which is broadcast as one array."""
-    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    ref = v.where("vec_id < 50").agg(F.collect_list("embedding").alias("refs"))
-    rows = v.where("vec_id >= 50").crossJoin(F.broadcast(ref))
+    """Best similarity of every other vector to a reference of fifty sampled ones, broadcast as one array."""
+    sample = _sample(spark, sf, 50)
+    ref = sample.agg(F.collect_list("embedding").alias("refs"))
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding").join(F.broadcast(sample.select("vec_id")), "vec_id", "left_anti").crossJoin(F.broadcast(ref))
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     dot = lambda r: F.aggregate(F.zip_with("embedding", r, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return rows.select("vec_id", F.array_max(F.transform("refs", lambda r: dot(r) / (norm(F.col("embedding")) * norm(r)))).alias("nearest"))

@@ -146,11 +146,11 @@ def sa_pass(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (F.col("n_chars").isNotNull() & (F.col("n_chars") <= 3000)).alias("passes"))
 
 
-LOGITS = "SELECT event_type AS row, event_id AS token, value / 10 AS logit FROM events WHERE event_id % 25 = 0"
+LOGITS = "SELECT user_id AS row, event_id AS token, value / 10 AS logit FROM events"
 
 
 def _logits(spark, sf):
-    return table(spark, sf, "events").where("event_id % 25 = 0").select(F.col("event_type").alias("row"), F.col("event_id").alias("token"), (F.col("value") / 10).alias("logit"))
+    return table(spark, sf, "events").select(F.col("user_id").alias("row"), F.col("event_id").alias("token"), (F.col("value") / 10).alias("logit"))
 
 
 @query(f"""WITH l AS ({LOGITS}), p AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY row)) AS e FROM l), q AS (SELECT row, token, logit, e / sum(e) OVER (PARTITION BY row) AS p FROM p),
@@ -171,9 +171,9 @@ def temperature_scale(spark, sf):
     return cold.select("row", "token", F.round("warm", 6).alias("scaled"), (F.col("scaled") == 0.0).alias("is_argmax"))
 
 
-@query(f"WITH l AS ({LOGITS}) SELECT row, token, round(CASE WHEN s.seen IS NULL THEN logit WHEN logit < 0 THEN logit * 1.2 ELSE logit / 1.2 END, 6) AS logit FROM l LEFT JOIN (SELECT DISTINCT event_id AS seen FROM events WHERE event_id % 75 = 0) s ON token = seen")
+@query(f"WITH l AS ({LOGITS}) SELECT row, token, round(CASE WHEN s.seen IS NULL THEN logit WHEN logit < 0 THEN logit * 1.2 ELSE logit / 1.2 END, 6) AS logit FROM l LEFT JOIN (SELECT DISTINCT event_id AS seen FROM events WHERE event_type = 'click') s ON token = seen")
 def repetition_penalty(spark, sf):
-    seen = table(spark, sf, "events").where("event_id % 75 = 0").select(F.col("event_id").alias("seen")).distinct()
+    seen = table(spark, sf, "events").where("event_type = 'click'").select(F.col("event_id").alias("seen")).distinct()
     joined = _logits(spark, sf).join(seen, F.col("token") == F.col("seen"), "left")
     return joined.select("row", "token", F.round(N.repetition_penalty(F.col("logit"), F.col("seen").isNotNull(), 1.2), 6).alias("logit"))
 

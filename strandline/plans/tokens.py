@@ -61,10 +61,10 @@ VALUES = "(SELECT unnest([" + ", ".join(f"'{x}'" for x in NUMBERS) + "]) AS said
 def _said(spark, sf):
     """Literal cases and the events' own values."""
     cases = spark.createDataFrame([(x,) for x in NUMBERS], "said string")
-    return cases.unionByName(table(spark, sf, "events").where("event_id < 200").select(F.col("event_type").alias("said")))
+    return cases.unionByName(table(spark, sf, "events").select(F.col("event_type").alias("said")))
 
 
-SAID = f"(SELECT said FROM {VALUES} UNION ALL SELECT event_type FROM events WHERE event_id < 200)"
+SAID = f"(SELECT said FROM {VALUES} UNION ALL SELECT event_type FROM events)"
 STRIPPED = Q.strip("said")
 
 
@@ -224,17 +224,19 @@ def decode_tokens(spark, sf):
     return _encoded(spark, sf).select("row_id", F.array_join(F.transform(kept, lambda x: F.concat(F.lit("t"), x.cast("string"))), "").alias("text"))
 
 
-CORRUPT = f"{ENC}, c AS (SELECT row_id, list_append(ids, 1) AS ids FROM e WHERE len(ids) >= 12)"
+CORRUPT = f"{ENC}, c AS (SELECT row_id, list_append(ids, 1) AS ids FROM e)"
+#: Forced spans where a row is long enough; a shorter one stays as it is, with empty labels.
+FORCED = "CASE WHEN len(ids) >= 13 THEN list_concat(ids[1:2], [1032], ids[5:7], [1031], ids[11:]) ELSE ids END"
 
 
 def _corrupted(spark, sf):
-    rows = _encoded(spark, sf).where("size(ids) >= 12").select("row_id", T.finish(F.col("ids")).alias("ids"))
-    spans = F.array(F.struct(F.lit(2).alias("start"), F.lit(2).alias("len")), F.struct(F.lit(7).alias("start"), F.lit(3).alias("len")))
+    rows = _encoded(spark, sf).select("row_id", T.finish(F.col("ids")).alias("ids"))
+    spans = F.when(F.size("ids") >= 13, F.array(F.struct(F.lit(2).alias("start"), F.lit(2).alias("len")), F.struct(F.lit(7).alias("start"), F.lit(3).alias("len")))).otherwise(F.from_json(F.lit("[]"), "array<struct<start:int,len:int>>"))
     inputs, labels = T.corrupt(F.col("ids"), spans, 1032)
     return rows.select("row_id", "ids", inputs.alias("inputs"), labels.alias("labels"))
 
 
-@query(f"WITH {CORRUPT} SELECT row_id, array_to_string(list_concat(ids[1:2], [1032], ids[5:7], [1031], ids[11:]), ' ') AS inputs, array_to_string(list_concat([1032], ids[3:4], [1031], ids[8:10], [1030, 1]), ' ') AS labels FROM c")
+@query(f"WITH {CORRUPT} SELECT row_id, array_to_string({FORCED}, ' ') AS inputs, CASE WHEN len(ids) >= 13 THEN array_to_string(list_concat([1032], ids[3:4], [1031], ids[8:10], [1030, 1]), ' ') ELSE '' END AS labels FROM c")
 def span_corrupt_forced(spark, sf):
     return _corrupted(spark, sf).select("row_id", _joined(F.col("inputs")).alias("inputs"), _joined(F.col("labels")).alias("labels"))
 
