@@ -89,6 +89,100 @@ def pselfies_to_psmiles():
     return _udf("string", _decode)
 
 
+def smiles_to_selfies():
+    """As ``psmiles_to_pselfies`` without touching end markers."""
+    _need("selfies")
+    import selfies
+
+    return _udf("string", selfies.encoder)
+
+
+def selfies_to_smiles():
+    _need("selfies")
+    return _udf("string", _decode)
+
+
+def _ring(s: str):
+    """The molecule with its two ends joined: the ends' neighbours are bonded and the ends removed.
+    None without exactly two ends of one bond each, or where the neighbours are bonded already."""
+    from rdkit import Chem
+
+    mol = _mol(s)
+    ends = [a for a in mol.GetAtoms() if a.GetSymbol() == "At"]
+    if len(ends) != 2 or any(a.GetDegree() != 1 for a in ends):
+        return None
+    i, j = (a.GetNeighbors()[0].GetIdx() for a in ends)
+    if i == j or mol.GetBondBetweenAtoms(i, j) is not None:
+        return None
+    ring = Chem.RWMol(mol)
+    ring.AddBond(i, j, Chem.BondType.SINGLE)
+    for k in sorted((a.GetIdx() for a in ends), reverse=True):
+        ring.RemoveAtom(k)
+    out = ring.GetMol()
+    Chem.SanitizeMol(out)
+    return out
+
+
+def _broken(ring) -> str | None:
+    """A ring molecule cut at the single ring bond of the lowest canonical ranks, capped with ends."""
+    from rdkit import Chem
+
+    rank = list(Chem.CanonicalRankAtoms(ring))
+    bonds = [b for b in ring.GetBonds() if b.IsInRing() and b.GetBondType() == Chem.BondType.SINGLE and not b.GetIsAromatic()]
+    bonds = [b for b in bonds if ring.GetRingInfo().NumBondRings(b.GetIdx()) == 1]
+    if not bonds:
+        return None
+    cut = min(bonds, key=lambda b: sorted((rank[b.GetBeginAtomIdx()], rank[b.GetEndAtomIdx()])))
+    i, j = cut.GetBeginAtomIdx(), cut.GetEndAtomIdx()
+    chain = Chem.RWMol(ring)
+    chain.RemoveBond(i, j)
+    for k in (i, j):
+        chain.AddBond(k, chain.AddAtom(Chem.Atom("At")), Chem.BondType.SINGLE)
+    out = chain.GetMol()
+    Chem.SanitizeMol(out)
+    return Chem.MolToSmiles(out)
+
+
+def loop_break():
+    """PSELFIES by way of the ring: ends joined, canonical bond cut and capped; where there is no ring
+    to make or no bond to cut, the direct encoding."""
+    _need("rdkit", "selfies")
+
+    def f(s: str) -> str:
+        try:
+            ring = _ring(s)
+            chain = _broken(ring) if ring is not None else None
+        except Exception:  # an unusual ring falls back like a missing one
+            chain = None
+        return _encode(chain or s)
+
+    return _udf("string", f)
+
+
+def sa_score():
+    """Synthetic accessibility of the molecule with hydrogen in place of its ends."""
+    _need("rdkit")
+    import importlib
+    import os
+    import sys
+
+    from rdkit.Chem import RDConfig
+
+    folder = os.path.join(RDConfig.RDContribDir, "SA_Score")
+    if not os.path.isdir(folder):
+        raise Unavailable("rdkit's SA_Score is not installed")
+
+    def f(s: str) -> float:
+        from rdkit import Chem
+
+        if folder not in sys.path:
+            sys.path.append(folder)
+        mol = Chem.MolFromSmiles(_at(s).replace("[At]", "[H]"))
+        return float(importlib.import_module("sascorer").calculateScore(Chem.RemoveHs(mol)))
+
+    return _udf("double", f)
+
+
 def canonical_psmiles():
     _need("rdkit")
     return _udf("string", _canonical)
@@ -151,13 +245,14 @@ def enumerate_writings(n: int, seed: int = 0, oversample: int = 6):
     return _udf("array<string>", writings, [])
 
 
-def morgan_bits(radius: int = 3, bits: int = 2048):
-    """On-bits of the Morgan fingerprint, for ``metrics.tanimoto``."""
+def morgan_bits(radius: int = 3, bits: int = 2048, ring: bool = True):
+    """On-bits of the Morgan fingerprint, by default of the molecule with its ends joined, for
+    ``metrics.tanimoto``."""
     _need("rdkit")
 
     def on(s: str) -> list[int]:
         from rdkit.Chem import rdMolDescriptors
 
-        return list(rdMolDescriptors.GetMorganFingerprintAsBitVect(_mol(s), radius, nBits=bits).GetOnBits())
+        return list(rdMolDescriptors.GetMorganFingerprintAsBitVect(_ring(s) if ring else _mol(s), radius, nBits=bits).GetOnBits())
 
     return _udf("array<int>", on)
