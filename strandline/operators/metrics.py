@@ -79,26 +79,24 @@ def conformal_quantile(residuals: DataFrame, r: str, alpha: float, by: list[str]
         raise ValueError("alpha must lie between 0 and 1")
     keys = by or []
     counts = residuals.groupBy(*keys, r).agg(F.count(F.lit(1)).alias("__c"))
-    if not by:
-        counts = materialise(counts, "residuals")
-    total = (residuals if by else counts).groupBy(*keys).agg((F.count(F.lit(1)) if by else F.coalesce(F.sum("__c"), F.lit(0))).alias("n")).withColumn("k", conformal_rank(F.col("n"), alpha))
     if by:
+        total = residuals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("k", conformal_rank(F.col("n"), alpha))
         w = Window.partitionBy(*keys).orderBy(r).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         upto = counts.withColumn("__upto", F.sum("__c").over(w)).join(F.broadcast(total), keys)
         found = upto.where("__upto >= k").groupBy(*keys).agg(F.min(r).alias("quantile"))
         return total.join(found, keys, "left").select(*keys, "n", "k", "quantile")
-    upto = running_total(counts, r, "__c", "__upto").crossJoin(F.broadcast(total))
-    found = upto.where("__upto >= k").agg(F.min(r).alias("quantile"))
+    upto = running_total(counts, r, "__c", "__upto")
+    total = upto.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("n")).withColumn("k", conformal_rank(F.col("n"), alpha))
+    found = upto.crossJoin(F.broadcast(total.select("k"))).where("__upto >= k").agg(F.min(r).alias("quantile"))
     return total.crossJoin(F.broadcast(found)).select("n", "k", "quantile")
 
 
-def running_total(df: DataFrame, order: str, value: str, name: str, stretches: int = 256) -> DataFrame:
-    """Running sum of value in the order of a numeric column, without one task that holds all rows:
-    rows are cut in stretches at approximate quantiles, summed up within, and the stretches' totals,
-    at most ``stretches`` rows, are carried forward."""
-    df = materialise(df, "running")  # three passes follow
-    cuts = df.select(F.percentile_approx(order, F.array(*[F.lit(i / stretches) for i in range(1, stretches)]), F.lit(4 * stretches)).alias("__cuts"))
-    cut = df.crossJoin(F.broadcast(cuts)).withColumn("__s", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
+def running_total(df: DataFrame, order: str, value: str, name: str, stretches: int | None = None) -> DataFrame:
+    """Running sum of value in the order of a column, without one task that holds all rows: rows are
+    range-partitioned and written with their partition's number, summed up within, and the
+    partitions' totals, one row each, are carried forward."""
+    n = stretches or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialise(df.repartitionByRange(n, order).withColumn("__s", F.spark_partition_id()), "running")
     sums = cut.groupBy("__s").agg(F.sum(value).alias("__t"))
     earlier = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(F.col("__s").alias("__z"), F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__before"))
