@@ -23,7 +23,7 @@ give empty results; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -243,53 +243,99 @@ def _pairs(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], kind), pa.array([x[1] for x in found], kind)], ["a", "b"])
 
 
-#: Rows of a shard's name from the start: two minimum hashes; one more each time it is dealt again.
-FIRST_KEYS, MORE_KEYS, DEALS = 2, 1, 3
+#: Minimum hashes that name a shard.
+FIRST_KEYS = 2
 
 
 def similar_links(sketch: DataFrame, radius: int, words: int = 16, shard_rows: int = 1000, bands: int = 8) -> DataFrame:
-    """a > b pairs (fp values) of sketches within the radius that share a shard.
+    """a > b pairs (fp values) whose components are those of all pairs of sketches within the radius
+    that share a shard.
 
     A shard is named by a band of two minimum hashes of the shingles: texts of Jaccard similarity j
-    share one of ``bands`` with probability 1 - (1 - j^2)^bands, 0.9997 at 0.8. A shard of over
-    ``shard_rows`` is thinned by its leader (the smallest fingerprint): those within the radius are
-    linked to it and leave, the others are dealt again by one more minimum hash, four ways, until no
-    shard is crowded or the hashes are used up; what is left is searched as it is. Unlike ``links``
-    this can miss a link, rarely; nothing that it links is beyond the radius.
-
-    sketch: fp (binary, distinct) and keys (bands * 2 + 8 minimum hashes)."""
-    first = F.explode(F.array(*[F.xxhash64(F.lit(k), *[F.col("keys")[FIRST_KEYS * k + i] for i in range(FIRST_KEYS)]) for k in range(bands)]))
-    dealt = sketch.select("fp", "keys", first.alias("__shard"))
-    done, made = None, None
-    for deal in range(DEALS):
-        crowd = dealt.groupBy("__shard").agg(F.count("*").alias("n"), F.min("fp").alias("leader")).where(F.col("n") > shard_rows).select("__shard", "leader")
-        crowd = materialise(crowd, "simhash-crowd")
-        if crowd.isEmpty():
-            break
-        small = dealt.join(crowd, "__shard", "left_anti").select("fp", "__shard")
-        done = small if done is None else done.unionByName(small)
-        rows = materialise(dealt.join(crowd, "__shard"), "simhash-led")
-        near = _distance("fp", "leader", words) <= radius
-        led = rows.where(near & (F.col("fp") != F.col("leader"))).select(F.col("fp").alias("a"), F.col("leader").alias("b"))
-        made = led if made is None else made.unionByName(led)
-        at = FIRST_KEYS * bands + 4 * MORE_KEYS * (deal % 2)
-        onward = F.explode(F.array(*[F.xxhash64("__shard", F.lit(k), F.col("keys")[at + k]) for k in range(4)]))
-        dealt = rows.where(~near).select("fp", "keys", onward.alias("__shard"))
-    rest = dealt.select("fp", "__shard")
-    out = _shard_links(rest if done is None else done.unionByName(rest), radius)
-    return out if made is None else out.unionByName(made.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-
-
-def _distance(a: str, b: str, words: int):
-    """Hamming distance of two binary columns of ``words`` times eight bytes."""
-    parts = []
-    for k in range(words):
-        x, y = (F.conv(F.hex(F.substring(F.col(c), 8 * k + 1, 8)), 16, -10).cast("long") for c in (a, b))
-        parts.append(F.bit_count(x.bitwiseXOR(y)))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total
+    share one of ``bands`` with probability 1 - (1 - j^2)^bands, 0.9997 at 0.8. Every shard is searched
+    whole, whatever its size, ``shard_rows`` comparisons at a time. The first band's shards are
+    searched first: each fingerprint is in one of them, so what is linked there is a label, and of the
+    other bands only shards of several labels are searched, for links between labels.
+
+    sketch: fp (binary, distinct) and keys (bands * 2 minimum hashes)."""
+    names = [F.xxhash64(F.lit(k), *[F.col("keys")[FIRST_KEYS * k + i] for i in range(FIRST_KEYS)]) for k in range(bands)]
+    first = sketch.select("fp", F.col("fp").alias("__label"), names[0].alias("__shard"))
+    made = materialise(_search(_mixed(first), radius, words, shard_rows), "simhash-first")
+    labelled = sketch.join(made, sketch.fp == made.a, "left").select("fp", "keys", F.coalesce("b", "fp").alias("__label"))
+    rest = materialise(labelled.select("fp", "__label", F.explode(F.array(*names[1:])).alias("__shard")), "simhash-dealt") if bands > 1 else first.limit(0)
+    return made.unionByName(_search(_mixed(rest), radius, words, shard_rows))
+
+
+def _mixed(dealt: DataFrame) -> DataFrame:
+    """The rows of shards with several labels; of shards with the same fingerprints one."""
+    sign = [F.bit_xor(F.xxhash64(F.lit(k), "fp")).alias(f"x{k}") for k in range(2)]
+    shards = dealt.groupBy("__shard").agg(F.count("*").alias("n"), F.min("__label").alias("least"), F.max("__label").alias("most"), *sign).where("least <> most")
+    once = shards.groupBy("n", "least", "most", "x0", "x1").agg(F.min("__shard").alias("__shard")).select("__shard")
+    return dealt.join(once, "__shard", "left_semi").select("fp", "__label", "__shard")
+
+
+def merged(labels: list[bytes], near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """Links (label, smallest label of its component) of rows whose equal labels are one component
+    already. near(i, others): which of the others row i is linked to. A row that was reached is not
+    compared with again, so a group of copies costs one comparison a row, and no link that joins two
+    components is missed."""
+    rows: dict[bytes, list[int]] = {}
+    for i, label in enumerate(labels):
+        rows.setdefault(label, []).append(i)
+    rest, found, open_ = np.arange(len(labels)), [], np.ones(len(labels), bool)
+    for label, own in rows.items():
+        if not open_[own[0]]:
+            continue
+        group, stack = [label], list(own)
+        open_[own] = False
+        rest = rest[open_[rest]]
+        while stack and len(rest):
+            hits = rest[near(stack.pop(), rest)]
+            for other in dict.fromkeys(labels[i] for i in hits):
+                group.append(other)
+                stack += rows[other]
+                open_[rows[other]] = False
+            if len(hits):
+                rest = rest[open_[rest]]
+        root = min(group)
+        found += [(x, root) for x in group if x != root]
+    return found
+
+
+def _search(dealt: DataFrame, radius: int, words: int, shard_rows: int) -> DataFrame:
+    """a, b: the links of each shard's components. dealt: fp, __label, __shard."""
+    rows = dealt.select("__shard", "__label", "fp").repartition("__shard").sortWithinPartitions("__shard")
+
+    def flush(labels: list[bytes], prints: list[bytes]) -> list[tuple]:
+        if len(labels) < 2:
+            return []
+        bits = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), words)
+
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            blocks = (others[k : k + shard_rows] for k in range(0, len(others), shard_rows))
+            return np.concatenate([np.bitwise_count(bits[block] ^ bits[i]).sum(1, dtype=np.int64) <= radius for block in blocks])
+
+        return merged(labels, near)
+
+    return arrow_map(rows, lambda batches: _by_shard(batches, flush), "a binary, b binary")
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch], flush: Callable[..., list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """flush(the other columns' values) of each run of equal first columns."""
+    key, values = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, columns, found = batch.column(0).to_numpy(), [c.to_pylist() for c in batch.columns[1:]], []
+        starts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist()]
+        for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
+            if ids[a] != key:
+                found += flush(*values) if values else []
+                key, values = ids[a], [[] for _ in columns]
+            for held, column in zip(values, columns, strict=True):
+                held += column[a:b]
+        yield _pairs(found, pa.binary())
+    yield _pairs(flush(*values) if values else [], pa.binary())
 
 
 def stars(edges: DataFrame, label: str = "stars") -> DataFrame:
@@ -343,7 +389,7 @@ def radius_of(similarity: float, bits: int, slack: float = 0.5) -> int:
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 16, bands: int = 8, shard_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, fp (binary), component_id, for links of texts of about
     the given Jaccard similarity of shingles or more, judged by the distance of wide fingerprints."""
-    prints = materialise(sketches(docs, shingle, words, FIRST_KEYS * bands + 8, id_col, text_col), "simhash-sketches")
+    prints = materialise(sketches(docs, shingle, words, FIRST_KEYS * bands, id_col, text_col), "simhash-sketches")
     classes = prints.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), "keys")).alias("s")).select("fp", F.col("s.i").alias("__least"), F.col("s.keys").alias("keys"))
     classes = materialise(classes, "simhash-classes")
     found = similar_links(classes.select("fp", "keys"), radius_of(similarity, BITS * words), words, shard_rows, bands)

@@ -127,3 +127,32 @@ def test_unlike_texts_are_not_linked(spark):
     rows = [(i, " ".join([f"u{i}x{k}" for k in range(rng.randint(100, 200))] + shared)) for i in range(60)]
     got = S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), shard_rows=5).collect()
     assert all(r.doc_id == r.component_id for r in got)
+
+
+def test_a_hub_with_more_copies_than_a_shard_keeps_all_of_them(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for c in range(800):  # at most 30 of 296 shingles change: 0.816 to the original, about 0.67 among copies
+        copy = list(base)
+        for k in rng.sample(range(300), 6):
+            copy[k] = f"c{c}x{k}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate([*texts, " ".join(base)]))
+    got = {r.doc_id: (r.component_id, int.from_bytes(r.fp, "big")) for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), shard_rows=200).collect()}
+    near = [i for i in got if (got[i][1] ^ got[800][1]).bit_count() <= S.radius_of(0.8, 1024)]
+    assert len(near) > 600 and {got[i][0] for i in near} == {got[800][0]}
+
+
+def test_merged_equals_all_pairs():
+    rng = random.Random(7)
+    for _ in range(30):
+        n = rng.randint(2, 60)
+        values = [rng.getrandbits(12) for _ in range(n)]
+        labels = [b"%03d" % rng.choice([i, i, i, i % 7]) for i in range(n)]
+        got = S.merged(labels, lambda i, others: [(values[i] ^ values[j]).bit_count() <= 2 for j in others])  # noqa: B023
+        linked = {(a, b) for a, b in got} | {(b, a) for a, b in got}
+        rows = {x: [v for v, y in zip(values, labels) if x == y] for x in labels}
+        want = components(rows, lambda a, b: any((x ^ y).bit_count() <= 2 for x in rows[a] for y in rows[b]))  # noqa: B023
+        want = {x: min(y for y in want if want[y] == want[x]) for x in want}
+        assert {x: min([b for a, b in got if a == x], default=x) for x in rows} == want and len(linked) == 2 * len(got)
