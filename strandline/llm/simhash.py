@@ -87,22 +87,25 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
 
 def sketches(docs: DataFrame, shingle: int = 5, words: int = 16, minima: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, fp (a fingerprint of ``words`` times 64 bits, binary) and keys (``minima`` minimum
-    hashes of the shingles), from one pass over the text."""
+    """id_col, fp (a fingerprint of ``words`` times 64 bits, binary), keys (``minima`` minimum hashes
+    of the shingles), shingles (their distinct hashes, ascending, eight bytes each) and same (a digest
+    of these), from one pass over the text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            prints, keys = [], []
+            prints, keys, sets = [], [], []
             for text in strings(batch.column(1)):
                 hashes = np.unique(shingle_hashes(text, shingle))  # as a set, as the similarity is of sets
                 prints.append(b"".join(majority(mixed(hashes, k)) for k in range(words)))
                 keys.append(np.array([mixed(hashes, 100 + k).min() if len(hashes) else 0 for k in range(minima)], np.uint64).view(np.int64))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["__id", "fp", "keys"])
+                sets.append(hashes.tobytes())
+            same = [xxhash.xxh3_128_digest(x) for x in sets]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(same, pa.binary())], ["__id", "fp", "keys", "shingles", "same"])
 
         return one
 
-    return map_rows(docs.select(docs[id_col], filled(text_col).alias("t")), make, f"__id {kind}, fp binary, keys array<long>").withColumnRenamed("__id", id_col)
+    return map_rows(docs.select(docs[id_col], filled(text_col).alias("t")), make, f"__id {kind}, fp binary, keys array<long>, shingles binary, same binary").withColumnRenamed("__id", id_col)
 
 
 class BKTree:
@@ -247,31 +250,38 @@ def _pairs(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 FIRST_KEYS = 2
 
 
-def similar_links(sketch: DataFrame, radius: int, words: int = 16, shard_rows: int = 1000, bands: int = 8) -> DataFrame:
-    """a > b pairs (fp values) whose components are those of all pairs of sketches within the radius
+def similar_links(prints: DataFrame, chosen: DataFrame, similarity: float = 0.8, words: int = 16, shard_rows: int = 1000, bands: int = 8) -> DataFrame:
+    """a > b pairs (same values) whose components are those of all pairs of the similarity or more
     that share a shard.
 
     A shard is named by a band of two minimum hashes of the shingles: texts of Jaccard similarity j
     share one of ``bands`` with probability 1 - (1 - j^2)^bands, 0.9997 at 0.8. Every shard is searched
     whole, whatever its size, ``shard_rows`` comparisons at a time. The first band's shards are
-    searched first: each fingerprint is in one of them, so what is linked there is a label, and of the
-    other bands only shards of several labels are searched, for links between labels.
+    searched first: each row is in one of them, so what is linked there is a label, and of the other
+    bands only shards of several labels are searched, for links between labels. Only rows of searched
+    shards take their shingles along.
 
-    sketch: fp (binary, distinct) and keys (bands * 2 minimum hashes)."""
+    prints: of ``sketches``, with __row; chosen: the __row of one of each same."""
     names = [F.xxhash64(F.lit(k), *[F.col("keys")[FIRST_KEYS * k + i] for i in range(FIRST_KEYS)]) for k in range(bands)]
-    first = sketch.select("fp", F.col("fp").alias("__label"), names[0].alias("__shard"))
-    made = materialise(_search(_mixed(first), radius, words, shard_rows), "simhash-first")
-    labelled = sketch.join(made, sketch.fp == made.a, "left").select("fp", "keys", F.coalesce("b", "fp").alias("__label"))
-    rest = materialise(labelled.select("fp", "__label", F.explode(F.array(*names[1:])).alias("__shard")), "simhash-dealt") if bands > 1 else first.limit(0)
-    return made.unionByName(_search(_mixed(rest), radius, words, shard_rows))
+    dealt = prints.select("__row", "keys").join(chosen, "__row", "left_semi").select("__row", F.explode(F.array(*names)).alias("__shard"))
+    shared = dealt.groupBy("__shard").agg(F.min("__row").alias("x"), F.max("__row").alias("y")).where("x <> y").select("__shard")
+    rows = materialise(dealt.join(shared, "__shard", "left_semi").select("__row").distinct(), "simhash-shared")
+    sketch = materialise(prints.join(rows, "__row", "left_semi").select("same", "fp", "keys", "shingles"), "simhash-candidates")
+    first = sketch.select("same", F.col("same").alias("__label"), names[0].alias("__shard"))
+    made = materialise(_search(_mixed(first), sketch, similarity, words, shard_rows), "simhash-first")
+    if bands == 1:
+        return made
+    labelled = sketch.select("same", "keys").join(made, F.col("same") == F.col("a"), "left").select("same", "keys", F.coalesce("b", "same").alias("__label"))
+    rest = materialise(labelled.select("same", "__label", F.explode(F.array(*names[1:])).alias("__shard")), "simhash-dealt")
+    return made.unionByName(_search(_mixed(rest), sketch, similarity, words, shard_rows))
 
 
 def _mixed(dealt: DataFrame) -> DataFrame:
-    """The rows of shards with several labels; of shards with the same fingerprints one."""
-    sign = [F.bit_xor(F.xxhash64(F.lit(k), "fp")).alias(f"x{k}") for k in range(2)]
+    """The rows of shards with several labels; of shards with the same members one."""
+    sign = [F.bit_xor(F.xxhash64(F.lit(k), "same")).alias(f"x{k}") for k in range(2)]
     shards = dealt.groupBy("__shard").agg(F.count("*").alias("n"), F.min("__label").alias("least"), F.max("__label").alias("most"), *sign).where("least <> most")
     once = shards.groupBy("n", "least", "most", "x0", "x1").agg(F.min("__shard").alias("__shard")).select("__shard")
-    return dealt.join(once, "__shard", "left_semi").select("fp", "__label", "__shard")
+    return dealt.join(once, "__shard", "left_semi").select("same", "__label", "__shard")
 
 
 def merged(labels: list[bytes], near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[bytes, bytes]]:
@@ -302,18 +312,45 @@ def merged(labels: list[bytes], near: Callable[[int, np.ndarray], np.ndarray]) -
     return found
 
 
-def _search(dealt: DataFrame, radius: int, words: int, shard_rows: int) -> DataFrame:
-    """a, b: the links of each shard's components. dealt: fp, __label, __shard."""
-    rows = dealt.select("__shard", "__label", "fp").repartition("__shard").sortWithinPartitions("__shard")
-
-    def flush(labels: list[bytes], prints: list[bytes]) -> list[tuple]:
+#: Texts of fewer shingles are compared whatever their fingerprints, which ties and chance govern there.
+FEW_SHINGLES = 64
+#: Standard deviations beyond the similarity's mean distance within which fingerprints are candidates.
+SLACK = 6.0
+
+
+def similar_to(i: int, others: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, bits: np.ndarray, similarity: float, radius: int) -> np.ndarray:
+    """Which of the others have the Jaccard similarity to row i: sizes and fingerprints leave out what
+    cannot have it, the shingles decide."""
+    ratio = np.minimum(sizes[others], sizes[i]) / np.maximum(np.maximum(sizes[others], sizes[i]), 1)
+    far = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64) > radius
+    at = np.flatnonzero((ratio >= similarity) & ~(far & (np.minimum(sizes[others], sizes[i]) >= FEW_SHINGLES)))
+    out = np.zeros(len(others), bool)
+    if len(at):
+        members, own = [sets[k] for k in others[at]], sets[i]
+        flat = np.concatenate(members)
+        shared = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in members])[:-1]])
+        both = np.add.reduceat(shared, starts, dtype=np.int64)
+        out[at] = both / (sizes[others[at]] + sizes[i] - both) >= similarity
+    return out
+
+
+def _search(dealt: DataFrame, sketch: DataFrame, similarity: float, words: int, shard_rows: int) -> DataFrame:
+    """a, b: the links of each shard's components. dealt: same, __label, __shard."""
+    rows = dealt.join(sketch.select("same", "fp", "shingles"), "same").select("__shard", "__label", "fp", "shingles")
+    rows = rows.repartition("__shard").sortWithinPartitions("__shard")
+    radius = radius_of(similarity, BITS * words, SLACK)
+
+    def flush(labels: list[bytes], prints: list[bytes], shingles: list[bytes]) -> list[tuple]:
         if len(labels) < 2:
             return []
         bits = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), words)
+        sets = [np.frombuffer(x, np.uint64) for x in shingles]
+        sizes = np.array([len(x) for x in sets], np.int64)
 
         def near(i: int, others: np.ndarray) -> np.ndarray:
             blocks = (others[k : k + shard_rows] for k in range(0, len(others), shard_rows))
-            return np.concatenate([np.bitwise_count(bits[block] ^ bits[i]).sum(1, dtype=np.int64) <= radius for block in blocks])
+            return np.concatenate([similar_to(i, block, sets, sizes, bits, similarity, radius) for block in blocks])
 
         return merged(labels, near)
 
@@ -387,14 +424,15 @@ def radius_of(similarity: float, bits: int, slack: float = 0.5) -> int:
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 16, bands: int = 8, shard_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id_col, fp (binary), component_id, for links of texts of about
-    the given Jaccard similarity of shingles or more, judged by the distance of wide fingerprints."""
-    prints = materialise(sketches(docs, shingle, words, FIRST_KEYS * bands, id_col, text_col), "simhash-sketches")
-    classes = prints.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), "keys")).alias("s")).select("fp", F.col("s.i").alias("__least"), F.col("s.keys").alias("keys"))
-    classes = materialise(classes, "simhash-classes")
-    found = similar_links(classes.select("fp", "keys"), radius_of(similarity, BITS * words), words, shard_rows, bands)
-    components = _named(classes.select("fp", "__least"), stars(found, "simhash-stars"))
-    return prints.join(components, prints.fp == components["__fp"], "left").select(id_col, "fp", "component_id")
+    """One row for each row of docs: id_col, fp (binary), component_id, for links of texts of the given
+    Jaccard similarity of shingles or more, computed for each candidate pair."""
+    rows = sketches(docs, shingle, words, FIRST_KEYS * bands, id_col, text_col)
+    prints = materialise(rows.withColumn("__row", F.monotonically_increasing_id()), "simhash-sketches")
+    least = prints.groupBy("same").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))).alias("s"), F.min("__row").alias("__row"))
+    least = materialise(least.select("same", F.col("s.i").alias("__least"), "__row"), "simhash-classes")
+    found = similar_links(prints, least.select("__row"), similarity, words, shard_rows, bands)
+    components = _named(least.select(F.col("same").alias("fp"), "__least"), stars(found, "simhash-stars"))
+    return prints.select(id_col, "fp", "same").join(components, F.col("same") == F.col("__fp"), "left").select(id_col, "fp", "component_id")
 
 
 def near_distinct(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 16, bands: int = 8, shard_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
