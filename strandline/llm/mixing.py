@@ -7,7 +7,9 @@ seed and identifier gives, so a rerun, a retried task or another engine draws th
 copies are exploded and ordered by an MD5 of seed, identifier and copy: a global shuffle, range
 partitioned over all partitions, which no source can crowd.
 
-Only counts by source reach the driver: ``max_sources`` bounds their number and a larger one raises.
+Counts by source stay a table, written and joined; only their number and sums reach the driver. The
+mean has no bound: large ones are inverted in log space over the counts that a uniform number can draw.
+``max_sources``, if given, refuses a table of more sources.
 
 Defined results: a null source is a source of its own (empty string in ``weights``); rows with a null
 identifier draw by the empty string; a source without weight gets none; empty tables stay empty;
@@ -18,11 +20,16 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_rows, materialise
+
 #: Hex digits of the MD5 that make a uniform number: 52 bits, exact in a double.
 DIGITS = 13
+#: So many sources are broadcast; for more the join is left to Catalyst, with the same result.
+BROADCAST_SOURCES = 10_000
 
 
 def poisson_thresholds(mean: float) -> list[float]:
@@ -42,43 +49,56 @@ def poisson_thresholds(mean: float) -> list[float]:
     return out
 
 
-def tempered_weights(counts: dict[str, int], exponent: float = 0.5) -> dict[str, float]:
-    """Shares in proportion to count ** exponent (1: as they are, 0: all sources alike)."""
-    raised = {s: n**exponent for s, n in sorted(counts.items())}
-    total = math.fsum(raised.values())
-    return {s: x / total for s, x in raised.items()}
+def poisson_window(mean: float) -> tuple[int, list[float]]:
+    """(k, thresholds): a uniform number u draws k and as many more as there are thresholds <= u. For
+    large means k skips the counts whose probabilities together are under 1e-20."""
+    if mean <= 500:
+        return 0, poisson_thresholds(mean)
+    start, end = max(0, math.floor(mean - 10 * math.sqrt(mean))), math.ceil(mean + 10 * math.sqrt(mean)) + 10
+    out, total = [], 0.0
+    for k in range(start, end):
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        out.append(total)
+    return start, [x / total for x in out]
 
 
-def source_counts(docs: DataFrame, source_col: str, max_sources: int) -> dict[str, int]:
-    """Rows by source; the count is combined map-side, so a hot source is one row a task."""
-    rows = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s")).count().limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
-        raise ValueError(f"more than {max_sources} sources: give a coarser source column")
-    return {r["s"]: r["count"] for r in rows}
+def source_counts(docs: DataFrame, source_col: str) -> DataFrame:
+    """Rows by source (__s, n); the count is combined map-side, so a hot source is one row a task."""
+    return docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__s")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, seed: int = 0, exponent: float = 0.5, id_col: str = "doc_id", source_col: str = "source", max_sources: int = 10_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, seed: int = 0, exponent: float = 0.5, id_col: str = "doc_id", source_col: str = "source", max_sources: int | None = None) -> DataFrame:
     """docs with each row repeated by its Poisson draw, in a global random order, and the columns
     __copy (from 0), __copies and __order (long, the order's key).
 
     weights: source to share (default: counts ** exponent); size: rows wanted (default: as many as docs)."""
-    counts = source_counts(docs, source_col, max_sources)
-    if not counts:
+    counts = materialise(source_counts(docs, source_col), "mixing-counts")
+    sources, rows, z = counts.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.pow("n", F.lit(float(exponent))))).first()
+    if not sources:
         return docs.withColumn("__copy", F.lit(0).cast("long")).withColumn("__copies", F.lit(0).cast("long")).withColumn("__order", F.lit(0).cast("long"))
-    shares = weights if weights is not None else tempered_weights(counts, exponent)
-    total = math.fsum(shares.values())
-    size = sum(counts.values()) if size is None else size
-    tables = docs.sparkSession.createDataFrame(
-        [(s, poisson_thresholds(shares.get(s, 0.0) / total * size / n)) for s, n in sorted(counts.items())], "__s string, __thresholds array<double>"
-    )
+    if max_sources is not None and sources > max_sources:
+        raise ValueError(f"more than {max_sources} sources: give a coarser source column")
+    total = z if weights is None else math.fsum(weights.values())
+    size = rows if size is None else size
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            names, ns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            shares = [n**exponent if weights is None else weights.get(s, 0.0) for s, n in zip(names, ns, strict=True)]
+            drawn = [poisson_window(x / total * size / n) for x, n in zip(shares, ns, strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in drawn], pa.int64()), pa.array([t for _, t in drawn], pa.list_(pa.float64()))], ["__s", "__least", "__thresholds"])
+
+        return one
+
+    tables = materialise(map_rows(counts, make, "__s string, __least long, __thresholds array<double>"), "mixing-draws")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
     order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key, F.lit(":"), F.col("__copy").cast("string"))), 1, 15), 16, 10).cast("long")
     drawn = (
         docs.withColumn("__s", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-        .join(F.broadcast(tables), "__s")  # at most max_sources rows
+        .join(F.broadcast(tables) if sources <= BROADCAST_SOURCES else tables, "__s")
         .withColumn("__unit", unit)
-        .withColumn("__copies", F.size(F.filter("__thresholds", lambda t: t <= F.col("__unit"))).cast("long"))
+        .withColumn("__copies", F.col("__least") + F.size(F.filter("__thresholds", lambda t: t <= F.col("__unit"))).cast("long"))
         .where("__copies > 0")
         .withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
         .withColumn("__order", order)

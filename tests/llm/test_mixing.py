@@ -59,3 +59,18 @@ def test_no_rate_no_copies():
     assert M.poisson_thresholds(0.0) == [2.0]
     with pytest.raises(ValueError):
         M.poisson_thresholds(501)
+
+
+@pytest.mark.parametrize("mean", [501.0, 835.0, 250_000.0])
+def test_windows_are_the_distribution(mean):
+    k, t = M.poisson_window(mean)
+    p = [t[0]] + [b - a for a, b in zip(t, t[1:])]
+    m = math.fsum((k + i) * x for i, x in enumerate(p))
+    assert t[-1] == 1 and abs(m - mean) < 1e-6 * mean and abs(math.fsum((k + i - m) ** 2 * x for i, x in enumerate(p)) - mean) < 1e-3 * mean
+
+
+def test_large_means_and_many_sources_end_with_a_result(spark):
+    df = spark.createDataFrame([(i, f"s{i}" if i < 12_000 else "hot") for i in range(14_000)], "doc_id long, source string")
+    assert M.mix_sources(df, weights={"hot": 1.0}, size=3000).where("source <> 'hot'").count() == 0
+    got = Counter(r.source for r in M.mix_sources(df, weights={"s1": 2.0, "s2": 1.0}, size=6000).collect())
+    assert set(got) == {"s1", "s2"} and abs(got["s1"] - 4000) < 6 * math.sqrt(4000) and abs(got["s2"] - 2000) < 6 * math.sqrt(2000)
