@@ -12,8 +12,10 @@ mean has no bound: large ones are inverted in log space over the counts that a u
 ``max_sources``, if given, refuses a table of more sources.
 
 Defined results: a null source is a source of its own (empty string in ``weights``); rows with a null
-identifier draw by the empty string; a source without weight gets none; empty tables stay empty;
-other columns are carried along.
+identifier draw by their text, rows that agree in both alike; a source without weight gets none, and
+without any weight nothing is left; the size of a text is of no account; repeated rows repeat their
+draws, and copies whose order ties stand in no fixed order; empty tables stay empty; other columns are
+carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows, materialise
+from .shared import filled, free_names, map_rows, materialise
 
 #: Hex digits of the MD5 that make a uniform number: 52 bits, exact in a double.
 DIGITS = 13
@@ -63,45 +65,51 @@ def poisson_window(mean: float) -> tuple[int, list[float]]:
 
 
 def source_counts(docs: DataFrame, source_col: str) -> DataFrame:
-    """Rows by source (__s, n); the count is combined map-side, so a hot source is one row a task."""
-    return docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__s")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows by source (s, n); the count is combined map-side, so a hot source is one row a task."""
+    return docs.groupBy(filled(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, seed: int = 0, exponent: float = 0.5, id_col: str = "doc_id", source_col: str = "source", max_sources: int | None = None) -> DataFrame:
-    """docs with each row repeated by its Poisson draw, in a global random order, and the columns
-    __copy (from 0), __copies and __order (long, the order's key).
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, seed: int = 0, exponent: float = 0.5, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", max_sources: int | None = None, extra: bool = True) -> DataFrame:
+    """docs with each row repeated by its Poisson draw, in a global random order, and, if ``extra``, the
+    columns __copy (from 0), __copies and __order (long, the order's key); a name that docs has already
+    gets underscores after it.
 
     weights: source to share (default: counts ** exponent); size: rows wanted (default: as many as docs)."""
+    if weights and min(weights.values()) < 0:
+        raise ValueError("a weight is negative")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    names = free_names(docs.columns, ["__copy", "__copies", "__order"])
+    added = [F.col(c).alias(n) for c, n in zip(["copy", "copies", "order"], names, strict=True)] if extra else []
     counts = materialise(source_counts(docs, source_col), "mixing-counts")
-    sources, rows, z = counts.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.pow("n", F.lit(float(exponent))))).first()
-    if not sources:
-        return docs.withColumn("__copy", F.lit(0).cast("long")).withColumn("__copies", F.lit(0).cast("long")).withColumn("__order", F.lit(0).cast("long"))
+    sources, n, z = counts.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.pow("n", F.lit(float(exponent))))).first()
     if max_sources is not None and sources > max_sources:
         raise ValueError(f"more than {max_sources} sources: give a coarser source column")
-    total = z if weights is None else math.fsum(weights.values())
-    size = rows if size is None else size
+    total = z if weights is None else math.fsum(weights.values()) or 1.0
+    size = n if size is None else size
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             names, ns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             shares = [n**exponent if weights is None else weights.get(s, 0.0) for s, n in zip(names, ns, strict=True)]
             drawn = [poisson_window(x / total * size / n) for x, n in zip(shares, ns, strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in drawn], pa.int64()), pa.array([t for _, t in drawn], pa.list_(pa.float64()))], ["__s", "__least", "__thresholds"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in drawn], pa.int64()), pa.array([t for _, t in drawn], pa.list_(pa.float64()))], ["s", "least", "thresholds"])
 
         return one
 
-    tables = materialise(map_rows(counts, make, "__s string, __least long, __thresholds array<double>"), "mixing-draws")
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    tables = materialise(map_rows(counts, make, "s string, least long, thresholds array<double>"), "mixing-draws")
+    doc = F.col("doc")
+    text = filled(doc[text_col]) if text_col in docs.columns else F.to_json(doc)
+    key = F.coalesce(doc[id_col].cast("string"), F.concat(F.lit("text:"), F.md5(text)))
     unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
-    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key, F.lit(":"), F.col("__copy").cast("string"))), 1, 15), 16, 10).cast("long")
+    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key, F.lit(":"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
     drawn = (
-        docs.withColumn("__s", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-        .join(F.broadcast(tables) if sources <= BROADCAST_SOURCES else tables, "__s")
-        .withColumn("__unit", unit)
-        .withColumn("__copies", F.col("__least") + F.size(F.filter("__thresholds", lambda t: t <= F.col("__unit"))).cast("long"))
-        .where("__copies > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
-        .withColumn("__order", order)
+        rows.withColumn("s", filled(doc[source_col]))
+        .join(F.broadcast(tables) if sources <= BROADCAST_SOURCES else tables, "s")
+        .withColumn("unit", unit)
+        .withColumn("copies", F.col("least") + F.size(F.filter("thresholds", lambda t: t <= F.col("unit"))).cast("long"))
+        .where("copies > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .withColumn("order", order)
+        .select("doc", "copy", "copies", "order")
     )
-    out = drawn.repartitionByRange("__order").sortWithinPartitions("__order")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__copy", "__copies", "__order")
+    return drawn.repartitionByRange("order").sortWithinPartitions("order").select("doc.*", *added)

@@ -8,18 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, html_crf, license_templates, mixing, ogg, sentencepiece_codec, simhash, token_counts, toxicity, warc
-
-#: Separator of the flat token files: the identifier that the rank file leaves free.
-END_OF_DOCUMENT = 50256
-#: Multiplicity of the mixture: a source's share is its row count to this power.
-MIX_EXPONENT = 0.5
-MIX_SEED = 7
-
-
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from . import pipeline as pipeline_stages
+from .settings import END_OF_DOCUMENT, MIX_EXPONENT, MIX_SEED, tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +66,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return pipeline_stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -106,8 +94,8 @@ def oracle_sql() -> dict[str, str]:
                  r AS (SELECT s, pow(n, {MIX_EXPONENT}) / z * total / n AS mean FROM n, z),
                  t AS (SELECT s, mean, k, exp(k * ln(mean) - mean - lgamma(k + 1)) AS p FROM r, (SELECT unnest(range(0, 200)) AS k)),
                  c AS (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS upto FROM t),
-                 d AS (SELECT doc_id, source, text, coalesce(source, '') AS s, coalesce(CAST(doc_id AS VARCHAR), '') AS i,
-                              CAST('0x' || substr(md5('{MIX_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / {float(16**13)} AS u FROM documents),
+                 d AS (SELECT doc_id, source, text, coalesce(source, '') AS s, i, CAST('0x' || substr(md5('{MIX_SEED}:' || i), 1, 13) AS BIGINT) / {float(16**13)} AS u
+                       FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, ''))) AS i FROM documents)),
                  l AS (SELECT s, list(upto) AS upto FROM c GROUP BY s),
                  e AS (SELECT d.*, len(list_filter(l.upto, lambda x: x <= d.u)) AS copies FROM d JOIN l USING (s)),
                  x AS (SELECT e.*, unnest(range(0, copies)) AS copy FROM e)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,9 +25,11 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or, where that is unset
-    (local tests), a temporary one of our own."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or, where that is unset and the
+    master is local, a temporary one of our own. Elsewhere an unset folder is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = spark._jvm.org.apache.hadoop.fs.Path(named or _own_folder())
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
@@ -47,9 +50,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def filled(text: str):
-    """The text column with null as empty."""
-    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+def free_names(taken: list[str], names: list[str]) -> list[str]:
+    """names, each with as many underscores after it as make it differ from all that are taken."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def filled(text):
+    """The text column (or its name) with null as empty."""
+    return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
 
 
 #: Bytes of an Arrow batch, so that a task's memory is some such batches or the longest text.

@@ -13,12 +13,19 @@ and no candidate is lost. A tree emits a spanning forest of its links, at most o
 fingerprint, which has the same components as all of them.
 
 Components come from alternating large-star and small-star rounds over the links, each round a
-written table in the shared folder, until nothing changes.
+written table in the shared folder, until nothing changes or so few links are left that one task can
+finish them.
+
+Similar texts (``similar_links``) are searched otherwise: radii that fit a similarity of 0.8 let no tree
+leave out a branch. Sorted bands of minimum hashes, wide fingerprints and rare shingles find the pairs
+there, and the exact similarity of the shingle sets decides.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked
-like any other; a text of fewer words than a shingle is one shingle; a null identifier takes part in
-the links but is not chosen as a component's smallest unless the component has no other; empty tables
-give empty results; other columns are ignored.
+like any other; a text of fewer words than a shingle is one shingle; a text is read whole, however long,
+in the memory of some 30 times its bytes; a null identifier takes part in the links but is not chosen as
+a component's smallest unless the component has no other; repeated rows repeat their results, but
+``near_distinct`` keeps one of them; empty tables give empty results; other columns are ignored, by
+``near_distinct`` carried along, and may have any names.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import arrow_map, filled, map_rows, materialise, strings
@@ -86,11 +93,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return map_rows(docs.select(docs[id_col], filled(text_col).alias("t")), make, f"__id {kind}, fp long").withColumnRenamed("__id", id_col)
 
 
-def sketches(docs: DataFrame, shingle: int = 5, words: int = 16, minima: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, fp (a fingerprint of ``words`` times 64 bits, binary), keys (``minima`` minimum hashes
-    of the shingles), shingles (their distinct hashes, ascending, eight bytes each) and same (a digest
-    of these), from one pass over the text."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def sketches(rows: DataFrame, shingle: int = 5, words: int = 16, minima: int = 16) -> DataFrame:
+    """rows (columns i, t: text, t0, t1) with fp (a fingerprint of ``words`` times 64 bits, binary), keys
+    (``minima`` minimum hashes of the shingles), shingles (their distinct hashes, ascending, eight bytes
+    each) and same (a digest of these) in the place of the text, from one pass over it."""
+    kind = rows.schema["i"].dataType.simpleString()
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -101,11 +108,12 @@ def sketches(docs: DataFrame, shingle: int = 5, words: int = 16, minima: int = 2
                 keys.append(np.array([mixed(hashes, 100 + k).min() if len(hashes) else 0 for k in range(minima)], np.uint64).view(np.int64))
                 sets.append(hashes.tobytes())
             same = [xxhash.xxh3_128_digest(x) for x in sets]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(same, pa.binary())], ["__id", "fp", "keys", "shingles", "same"])
+            columns = [pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(same, pa.binary())]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], ["i", "t0", "t1", "fp", "keys", "shingles", "same"])
 
         return one
 
-    return map_rows(docs.select(docs[id_col], filled(text_col).alias("t")), make, f"__id {kind}, fp binary, keys array<long>, shingles binary, same binary").withColumnRenamed("__id", id_col)
+    return map_rows(rows.select("i", "t", "t0", "t1"), make, f"i {kind}, t0 long, t1 long, fp binary, keys array<long>, shingles binary, same binary")
 
 
 class BKTree:
@@ -207,18 +215,13 @@ def links(prints: DataFrame, radius: int = 2, shard_rows: int = 1000) -> DataFra
 
 
 def _shard_links(shards: DataFrame, radius: int) -> DataFrame:
-    """A spanning forest of each shard's links. shards: fp (long or binary), __shard."""
+    """A spanning forest of each shard's links. shards: fp, __shard."""
     dealt = shards.select("fp", "__shard").repartition("__shard").sortWithinPartitions("__shard", "fp")
-    wide = dealt.schema["fp"].dataType.simpleString() == "binary"
-    kind = pa.binary() if wide else pa.int64()
 
-    def flush(values: list) -> list[tuple]:
+    def flush(values: list[int]) -> list[tuple]:
         if len(values) < 2:
             return []
-        if not wide:
-            return [(_signed(a), _signed(b)) for a, b in forest([v & 0xFFFFFFFFFFFFFFFF for v in dict.fromkeys(values)], radius)]
-        size = len(values[0])
-        return [(a.to_bytes(size, "big"), b.to_bytes(size, "big")) for a, b in forest([int.from_bytes(v, "big") for v in dict.fromkeys(values)], radius)]
+        return [(_signed(a), _signed(b)) for a, b in forest([v & 0xFFFFFFFFFFFFFFFF for v in dict.fromkeys(values)], radius)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, values = None, []
@@ -232,10 +235,10 @@ def _shard_links(shards: DataFrame, radius: int) -> DataFrame:
                     found += flush(values)
                     key, values = name, []
                 values += prints[a:b]
-            yield _pairs(found, kind)
-        yield _pairs(flush(values), kind)
+            yield _pairs(found, pa.int64())
+        yield _pairs(flush(values), pa.int64())
 
-    return arrow_map(dealt, run, "a binary, b binary" if wide else "a long, b long")
+    return arrow_map(dealt, run, "a long, b long")
 
 
 def _signed(x: int) -> int:
@@ -246,50 +249,165 @@ def _pairs(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], kind), pa.array([x[1] for x in found], kind)], ["a", "b"])
 
 
-#: Minimum hashes that name a shard.
+#: Minimum hashes that name a band.
 FIRST_KEYS = 2
+#: Minimum hashes by which the candidates of one band are ordered.
+ORDER_KEYS = 4
+#: Bytes of shingles in a block, unless a single text has more.
+BLOCK_BYTES = 32 << 20
+#: Buckets in which shingles are counted, to tell rare ones from common ones.
+BUCKETS = 1 << 17
+
+
+def similar_links(prints: DataFrame, similarity: float = 0.8, words: int = 16, shard_rows: int = 1000, bands: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label) and links (a > b, of labels): their components are those of all pairs of the
+    similarity or more that share a band.
+
+    A band is two minimum hashes of the shingles: texts of Jaccard similarity j share one of ``bands``
+    with probability 1 - (1 - j^2)^bands, 0.9997 at 0.8. Texts that share none with any other go no
+    further; the rest are candidates. Two passes find most links at little cost, a third loses none:
+
+    1. Candidates are sorted by the first band and further minimum hashes and searched in blocks of
+       neighbours. What is linked there gets one label.
+    2. In each other band one candidate stands for all of a label; the bands that hold several labels
+       are sorted and searched in blocks likewise. Linked labels become one.
+    3. Two sets of similarity s share one of the rarest (1 - s) of either's shingles, by any order that
+       all sets agree on. Candidates with such a shingle in common form a shard, so that texts which
+       share no more than a passage hardly meet. Shards of one label need no search; in the others all
+       pairs of different labels are compared, block by block.
+
+    No task holds more than two blocks, whatever the size of a group. Copies, however many, cost a few
+    comparisons each. Texts that are alike even in their rare shingles, but under the similarity, cost
+    the square of their number, spread over as many tasks as there are pairs of blocks.
+
+    prints: id, fp, keys, shingles of ``sketches``, one row for each set of shingles."""
+    names = [F.xxhash64(F.lit(k), *[F.col("keys")[FIRST_KEYS * k + i] for i in range(FIRST_KEYS)]) for k in range(bands)]
+    dealt = prints.select("id", F.explode(F.array(*names)).alias("shard"))
+    shared = dealt.groupBy("shard").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("shard")
+    rows = materialise(dealt.join(shared, "shard", "left_semi").select("id").distinct(), "simhash-shared")
+    sketch = materialise(prints.join(rows, "id", "left_semi").select("id", "fp", "keys", "shingles"), "simhash-candidates")
+
+    search = _searcher(similarity, words, shard_rows)
+    order = [F.col("keys")[FIRST_KEYS * bands - 1 - i].alias(f"k{i}") for i in range(min(ORDER_KEYS, FIRST_KEYS * bands))]
+    made = materialise(_neighbours(sketch.select(names[0].alias("shard"), F.col("id").alias("label"), "fp", "shingles", *order, "id"), search, shard_rows), "simhash-first")
+    labelled = materialise(sketch.select("id", "keys").join(made, F.col("id") == F.col("a"), "left").select("id", "keys", F.coalesce("b", "id").alias("label")), "simhash-labelled")
+    found = made
+    if bands > 1:
+        one = labelled.select("id", "label", F.explode(F.array(*names[1:])).alias("shard")).groupBy("shard", "label").agg(F.min("id").alias("id"))
+        chosen = _mixed(materialise(one, "simhash-chosen")).join(sketch, "id")
+        found = made.unionByName(materialise(_neighbours(chosen.select("shard", "label", "fp", "shingles", *order, "id"), search, shard_rows), "simhash-bands"))
+    roots = stars(found, "simhash-stars")
+    nodes = materialise(labelled.join(roots, F.col("label") == F.col("node"), "left").select("id", F.coalesce("root", "label").alias("label")), "simhash-nodes")
+
+    rare = _rare_shingles(sketch.select("id", "shingles").join(nodes, "id"), _bucket_counts(sketch), similarity)
+    mixed = materialise(_mixed(materialise(rare, "simhash-rare")), "simhash-mixed")
+    units = _units(mixed, shard_rows).join(sketch, "id").select("unit", "label", "fp", "shingles")
+    units = units.repartition("unit").sortWithinPartitions("unit")
+    return nodes, materialise(arrow_map(units, lambda batches: _by_shard(batches, search), "a long, b long"), "simhash-links")
 
 
-def similar_links(prints: DataFrame, chosen: DataFrame, similarity: float = 0.8, words: int = 16, shard_rows: int = 1000, bands: int = 8) -> DataFrame:
-    """a > b pairs (same values) whose components are those of all pairs of the similarity or more
-    that share a shard.
+def _mixed(dealt: DataFrame) -> DataFrame:
+    """The rows of shards with several labels; of shards with the same members one."""
+    sign = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"x{k}") for k in range(2)]
+    shards = dealt.groupBy("shard").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), *sign).where("least <> most")
+    once = shards.groupBy("n", "least", "most", "x0", "x1").agg(F.min("shard").alias("shard")).select("shard")
+    return dealt.join(once, "shard", "left_semi")
 
-    A shard is named by a band of two minimum hashes of the shingles: texts of Jaccard similarity j
-    share one of ``bands`` with probability 1 - (1 - j^2)^bands, 0.9997 at 0.8. Every shard is searched
-    whole, whatever its size, ``shard_rows`` comparisons at a time. The first band's shards are
-    searched first: each row is in one of them, so what is linked there is a label, and of the other
-    bands only shards of several labels are searched, for links between labels. Only rows of searched
-    shards take their shingles along.
 
-    prints: of ``sketches``, with __row; chosen: the __row of one of each same."""
-    names = [F.xxhash64(F.lit(k), *[F.col("keys")[FIRST_KEYS * k + i] for i in range(FIRST_KEYS)]) for k in range(bands)]
-    dealt = prints.select("__row", "keys").join(chosen, "__row", "left_semi").select("__row", F.explode(F.array(*names)).alias("__shard"))
-    shared = dealt.groupBy("__shard").agg(F.min("__row").alias("x"), F.max("__row").alias("y")).where("x <> y").select("__shard")
-    rows = materialise(dealt.join(shared, "__shard", "left_semi").select("__row").distinct(), "simhash-shared")
-    sketch = materialise(prints.join(rows, "__row", "left_semi").select("same", "fp", "keys", "shingles"), "simhash-candidates")
-    first = sketch.select("same", F.col("same").alias("__label"), names[0].alias("__shard"))
-    made = materialise(_search(_mixed(first), sketch, similarity, words, shard_rows), "simhash-first")
-    if bands == 1:
-        return made
-    labelled = sketch.select("same", "keys").join(made, F.col("same") == F.col("a"), "left").select("same", "keys", F.coalesce("b", "same").alias("__label"))
-    rest = materialise(labelled.select("same", "__label", F.explode(F.array(*names[1:])).alias("__shard")), "simhash-dealt")
-    return made.unionByName(_search(_mixed(rest), sketch, similarity, words, shard_rows))
+def _neighbours(rows: DataFrame, search: Callable[..., list[tuple]], shard_rows: int) -> DataFrame:
+    """a, b: links in blocks of consecutive rows of a shard. rows: shard, label, fp, shingles, then the
+    columns of the order, by which even a crowded shard is dealt over many tasks."""
+    order = ["shard", *rows.columns[4:]]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*rows.columns[:4])
+    return arrow_map(dealt, lambda batches: _by_shard(batches, search, shard_rows), "a long, b long")
 
 
-def _mixed(dealt: DataFrame) -> DataFrame:
-    """The rows of shards with several labels; of shards with the same members one."""
-    sign = [F.bit_xor(F.xxhash64(F.lit(k), "same")).alias(f"x{k}") for k in range(2)]
-    shards = dealt.groupBy("__shard").agg(F.count("*").alias("n"), F.min("__label").alias("least"), F.max("__label").alias("most"), *sign).where("least <> most")
-    once = shards.groupBy("n", "least", "most", "x0", "x1").agg(F.min("__shard").alias("__shard")).select("__shard")
-    return dealt.join(once, "__shard", "left_semi").select("same", "__label", "__shard")
+def _bucket_counts(sketch: DataFrame) -> np.ndarray:
+    """How many shingles fall in each of BUCKETS buckets: a table of fixed size, so it may go to the
+    driver and to every task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            total += np.bincount(_bucket(flat), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["k", "n"])
+
+    counts = arrow_map(sketch.select("shingles"), count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(BUCKETS, np.int64)
+    out[counts["k"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    return out
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles by (count of their bucket, value), so many that two sets of the similarity have
+    one of them in common."""
+    n = len(shingles)
+    most = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    return shingles[np.lexsort((shingles, counts[_bucket(shingles)]))[:most]]
+
+
+def _rare_shingles(rows: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """shard (a rare shingle), id, label, size (bytes of all the text's shingles). rows: id, shingles, label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            rare = [rarest(x, counts, similarity) for x in sets]
+            times = np.array([len(x) for x in rare], np.int64)
+            flat = np.concatenate([*rare, np.zeros(0, np.uint64)]).astype(np.uint64)
+            columns = [np.repeat(x, times) for x in (batch.column(0).to_numpy(), batch.column(2).to_numpy(), np.array([x.nbytes for x in sets], np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *[pa.array(x, pa.int64()) for x in columns]], ["shard", "id", "label", "size"])
+
+    return arrow_map(rows.select("id", "shingles", "label"), run, "shard long, id long, label long, size long")
 
 
-def merged(labels: list[bytes], near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[bytes, bytes]]:
+def _units(mixed: DataFrame, shard_rows: int) -> DataFrame:
+    """id, label, unit: rows that a task compares at once. A shard that fits in a block is a unit. Of a
+    larger one the rows of its largest label, which need no comparison with each other, are dealt to
+    blocks, and so are the others; the units are the pairs of blocks, but for those within that label.
+
+    mixed: shard, id, label, size."""
+
+    def blocks(n, size):
+        return F.ceil(F.greatest(n / F.lit(shard_rows), size / F.lit(BLOCK_BYTES))).cast("int")
+
+    by_label = mixed.groupBy("shard", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    shards = by_label.groupBy("shard").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "label")).alias("top"))
+    fits = blocks(F.col("n"), F.col("size")) <= 1
+    plan = shards.select(
+        "shard",
+        F.when(~fits, F.col("top.label")).alias("top"),
+        F.when(fits, F.lit(1)).otherwise(F.greatest(F.lit(1), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")))).alias("others"),
+        F.when(fits, F.lit(0)).otherwise(F.greatest(F.lit(1), blocks(F.col("top.n"), F.col("top.size")))).alias("tops"),
+    )
+    plan = materialise(plan, "simhash-plan")
+    of_top = F.coalesce(F.col("label") == F.col("top"), F.lit(False))
+    rows = mixed.join(plan, "shard").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "id"), F.when(of_top, F.col("tops")).otherwise(F.col("others"))).cast("int"))
+
+    def unit(kind: str, i, j):
+        return F.xxhash64(F.lit(kind), F.col("shard"), i, j)
+
+    def count(n: str):  # 0 .. n - 1
+        return F.slice(F.sequence(F.lit(0), F.col(n)), F.lit(1), F.col(n))
+
+    among = F.transform(count("others"), lambda j: unit("others", F.least("own", j), F.greatest("own", j)))
+    across = F.transform(count("tops"), lambda j: unit("across", F.col("own"), j))
+    units = F.when(of_top, F.transform(count("others"), lambda j: unit("across", j, F.col("own")))).otherwise(F.concat(among, across))
+    return rows.select("id", "label", F.explode(units).alias("unit"))
+
+
+def merged(labels: list[int], near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
     """Links (label, smallest label of its component) of rows whose equal labels are one component
     already. near(i, others): which of the others row i is linked to. A row that was reached is not
     compared with again, so a group of copies costs one comparison a row, and no link that joins two
     components is missed."""
-    rows: dict[bytes, list[int]] = {}
+    rows: dict[int, list[int]] = {}
     for i, label in enumerate(labels):
         rows.setdefault(label, []).append(i)
     rest, found, open_ = np.arange(len(labels)), [], np.ones(len(labels), bool)
@@ -335,55 +453,60 @@ def similar_to(i: int, others: np.ndarray, sets: list[np.ndarray], sizes: np.nda
     return out
 
 
-def _search(dealt: DataFrame, sketch: DataFrame, similarity: float, words: int, shard_rows: int) -> DataFrame:
-    """a, b: the links of each shard's components. dealt: same, __label, __shard."""
-    rows = dealt.join(sketch.select("same", "fp", "shingles"), "same").select("__shard", "__label", "fp", "shingles")
-    rows = rows.repartition("__shard").sortWithinPartitions("__shard")
+def _searcher(similarity: float, words: int, step: int) -> Callable[..., list[tuple]]:
+    """The links of a block's components, from its labels, fingerprints and shingles."""
     radius = radius_of(similarity, BITS * words, SLACK)
 
-    def flush(labels: list[bytes], prints: list[bytes], shingles: list[bytes]) -> list[tuple]:
-        if len(labels) < 2:
+    def search(labels: list[int], prints: list[bytes], shingles: list[bytes]) -> list[tuple]:
+        if len(set(labels)) < 2:
             return []
         bits = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), words)
         sets = [np.frombuffer(x, np.uint64) for x in shingles]
         sizes = np.array([len(x) for x in sets], np.int64)
 
         def near(i: int, others: np.ndarray) -> np.ndarray:
-            blocks = (others[k : k + shard_rows] for k in range(0, len(others), shard_rows))
-            return np.concatenate([similar_to(i, block, sets, sizes, bits, similarity, radius) for block in blocks])
+            parts = (others[k : k + step] for k in range(0, len(others), step))
+            return np.concatenate([similar_to(i, part, sets, sizes, bits, similarity, radius) for part in parts])
 
         return merged(labels, near)
 
-    return arrow_map(rows, lambda batches: _by_shard(batches, flush), "a binary, b binary")
+    return search
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch], flush: Callable[..., list[tuple]]) -> Iterator[pa.RecordBatch]:
-    """flush(the other columns' values) of each run of equal first columns."""
-    key, values = None, []
+def _by_shard(batches: Iterator[pa.RecordBatch], search: Callable[..., list[tuple]], block_rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """search(the other columns' values) of each run of equal first columns; with block_rows a run ends
+    at so many rows or BLOCK_BYTES."""
+    key, values, held = None, [], 0
+
     for batch in batches:
         if not batch.num_rows:
             continue
         ids, columns, found = batch.column(0).to_numpy(), [c.to_pylist() for c in batch.columns[1:]], []
-        starts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist()]
-        for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
-            if ids[a] != key:
-                found += flush(*values) if values else []
-                key, values = ids[a], [[] for _ in columns]
-            for held, column in zip(values, columns, strict=True):
-                held += column[a:b]
-        yield _pairs(found, pa.binary())
-    yield _pairs(flush(*values) if values else [], pa.binary())
-
-
-def stars(edges: DataFrame, label: str = "stars") -> DataFrame:
-    """Connected components: node, root (their smallest node) for every node of edges (a, b) but the
-    roots. Large-star and small-star by turns; every step is a join and a map-side-combined minimum."""
+        for k, shard in enumerate(ids.tolist()):
+            if shard != key or block_rows and (len(values[0]) >= block_rows or held >= BLOCK_BYTES):
+                found += search(*values) if values else []
+                key, values, held = shard, [[] for _ in columns], 0
+            for kept, column in zip(values, columns, strict=True):
+                kept.append(column[k])
+            held += len(columns[-1][k])
+        yield _pairs(found, pa.int64())
+    yield _pairs(search(*values) if values else [], pa.int64())
+
+
+#: So many links are finished by one task, which holds all their nodes: some 50 MB.
+ONE_TASK_LINKS = 200_000
+
+
+def stars(edges: DataFrame, label: str = "stars", one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """Connected components: node, root (their smallest node) for every node of edges (a, b: longs) but
+    the roots. Large-star and small-star by turns, every step a join and a map-side-combined minimum;
+    where there are ``one_task`` links or fewer, which a step never makes more, one task finds the roots."""
     both = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = materialise(edges.where("a <> b").select(*both).distinct(), label)
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    seen = None
+    seen, n = None, edges.count()
     while True:
+        if n <= one_task:
+            return materialise(_one_task_roots(edges), label)
         around = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # the minima are written, so that the joins have plain exchanges on both sides, which Spark can
         # split where a star's centre has very many neighbours
@@ -396,24 +519,38 @@ def stars(edges: DataFrame, label: str = "stars") -> DataFrame:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
+        seen, n = now, now[0]
+
+
+def _one_task_roots(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(y, y)
+            return x
 
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+        roots = [(x, r) for x in list(parent) if (r := find(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in roots], pa.int64()), pa.array([r for _, r in roots], pa.int64())], ["node", "root"])
 
-def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """__fp and component_id (smallest __least of the component) for each class (fp, __least)."""
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
-    named = materialise(named, "simhash-named")
-    least = materialise(named.groupBy("__root").agg(F.min("__least").alias("component_id")), "simhash-least")
-    return named.join(least, "__root").select(F.col("fp").alias("__fp"), "component_id")
+    return arrow_map(edges.select("a", "b").coalesce(1), run, "node long, root long")
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, shard_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, fp (signed long), component_id (smallest identifier that
     links reach). Exact: bands find every pair within the radius, which must be small."""
-    prints = materialise(fingerprints(docs, shingle, id_col, text_col), "simhash-prints")
-    classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("__least")), "simhash-classes")
-    components = _named(classes, stars(links(classes.select("fp"), radius, shard_rows), "simhash-stars"))
-    return prints.join(components, prints.fp == components["__fp"], "left").select(id_col, "fp", "component_id")
+    prints = materialise(fingerprints(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), shingle, "i", "t"), "simhash-prints")
+    classes = materialise(prints.groupBy("fp").agg(F.min("i").alias("least")), "simhash-classes")
+    roots = stars(links(classes.select("fp"), radius, shard_rows), "simhash-stars")
+    named = materialise(classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class"), "least", F.coalesce("root", "fp").alias("root")), "simhash-named")
+    first = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
+    components = named.join(first, "root").select("class", "component_id")
+    return prints.join(components, F.col("fp") == F.col("class"), "left").select(F.col("i").alias(id_col), "fp", "component_id")
 
 
 def radius_of(similarity: float, bits: int, slack: float = 0.5) -> int:
@@ -423,24 +560,52 @@ def radius_of(similarity: float, bits: int, slack: float = 0.5) -> int:
     return round(bits * p + slack * float(np.sqrt(bits * p * (1 - p))))
 
 
+def _similar_classes(docs: DataFrame, similarity: float, shingle: int, words: int, bands: int, shard_rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (i: identifier, t0, t1: two hashes of the text, fp, same) and, for each same, its component's
+    least (struct of whether the identifier is null, identifier, hashes)."""
+    text = filled(text_col)
+    rows = docs.select(F.col(id_col).alias("i"), text.alias("t"), *[F.xxhash64(F.lit(k), text).alias(f"t{k}") for k in range(2)])
+    prints = materialise(sketches(rows, shingle, words, FIRST_KEYS * bands).withColumn("row", F.monotonically_increasing_id()), "simhash-sketches")
+    classes = prints.groupBy("same").agg(F.min(F.struct(F.col("i").isNull().alias("n"), "i", "t0", "t1")).alias("least"), F.min("row").alias("id"))
+    classes = materialise(classes, "simhash-classes")
+    chosen = prints.join(classes.select("id"), F.col("row") == F.col("id"), "left_semi").select(F.col("row").alias("id"), "fp", "keys", "shingles")
+    nodes, found = similar_links(chosen, similarity, words, shard_rows, bands)
+    roots = stars(found, "simhash-last").withColumnRenamed("root", "last")
+    nodes = nodes.join(roots, F.col("label") == F.col("node"), "left").select(F.col("id").alias("of"), F.coalesce("last", "label").alias("root"))
+    named = materialise(classes.join(nodes, F.col("id") == F.col("of"), "left").select("same", "least", F.coalesce("root", "id").alias("root")), "simhash-named")
+    first = materialise(named.groupBy("root").agg(F.min("least").alias("first")), "simhash-least")
+    return prints.select("i", "t0", "t1", "fp", "same"), named.join(first, "root").select(F.col("same").alias("class"), "first")
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 16, bands: int = 8, shard_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, fp (binary), component_id, for links of texts of the given
     Jaccard similarity of shingles or more, computed for each candidate pair."""
-    rows = sketches(docs, shingle, words, FIRST_KEYS * bands, id_col, text_col)
-    prints = materialise(rows.withColumn("__row", F.monotonically_increasing_id()), "simhash-sketches")
-    least = prints.groupBy("same").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))).alias("s"), F.min("__row").alias("__row"))
-    least = materialise(least.select("same", F.col("s.i").alias("__least"), "__row"), "simhash-classes")
-    found = similar_links(prints, least.select("__row"), similarity, words, shard_rows, bands)
-    components = _named(least.select(F.col("same").alias("fp"), "__least"), stars(found, "simhash-stars"))
-    return prints.select(id_col, "fp", "same").join(components, F.col("same") == F.col("__fp"), "left").select(id_col, "fp", "component_id")
+    prints, classes = _similar_classes(docs, similarity, shingle, words, bands, shard_rows, id_col, text_col)
+    return prints.join(classes, F.col("same") == F.col("class"), "left").select(F.col("i").alias(id_col), "fp", F.col("first.i").alias("component_id"))
 
 
 def near_distinct(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 16, bands: int = 8, shard_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of similar ones, that of the smallest identifier. Rows
-    that share an identifier go or stay together; rows without one go if their group has one."""
-    groups = similar_groups(docs, similarity, shingle, words, bands, shard_rows, id_col, text_col)
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """docs with one document of each group of similar ones: that of the smallest identifier, one without
+    an identifier only where none has one; of rows that agree in identifier those of one text, and of
+    rows that agree in both one. A row is known by identifier and text, so rows of other groups stay
+    whatever identifiers they share. All columns are carried along, whatever their names."""
+    prints, classes = _similar_classes(docs, similarity, shingle, words, bands, shard_rows, id_col, text_col)
+    key = ["i", "t0", "t1"]
+    rows = prints.join(classes, F.col("same") == F.col("class"), "left").select(*key, "first")
+    gone = materialise(rows.where(~F.struct(F.col("i").isNull().alias("n"), *key).eqNullSafe(F.col("first"))).select(*key).distinct(), "simhash-gone")
+    twice = materialise(prints.groupBy(*key).count().where("count > 1").select(*key), "simhash-twice")
+    text = filled(text_col)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("i"), *[F.xxhash64(F.lit(k), text).alias(f"t{k}") for k in range(2)])
+
+    def equal(a: DataFrame, b: DataFrame):
+        return a["i"].eqNullSafe(b["i"]) & (a["t0"] == b["t0"]) & (a["t1"] == b["t1"])
+
+    kept = keyed.join(gone, equal(keyed, gone), "left_anti")
+    if not twice.isEmpty():
+        first = Window.partitionBy(*key).orderBy(F.to_json("doc"))
+        again = kept.join(twice, equal(kept, twice), "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1").select("doc")
+        return kept.join(twice, equal(kept, twice), "left_anti").select("doc").unionByName(again).select("doc.*")
+    return kept.select("doc.*")
 
 
 def hexadecimal(column: str):

@@ -10,13 +10,17 @@ a hash of the identifier. Word and word-beginning features are counted by Spark;
 association with the label passes a chi-square test are kept, ``max_features`` at most. Scoring reads
 every whole text row by row in Arrow batches, without a shuffle; what the tasks get is the model.
 
-The labels give one class, toxic. The chain's categories are made of it: ``insult`` (toxic, with a word
-of a short list of plain English insults), ``veiled`` (toxic, with none of them) and last ``toxic``
-itself, whose probability decides.
+The labels know one class, toxic, so the chain's categories are made of it: ``overt`` (toxic, with one
+of the strongest signs of the class: the fewest features, by association, that half of the toxic sample
+has), ``veiled`` (toxic, with none of them) and last ``toxic`` itself, whose probability decides. The
+last link so predicts what the first two have in common; labels of more classes would give it more to do.
 
 Defined results: null text counts as empty; a text without known words gets the base rate; without
 labelled rows of both classes nothing is rejected (all probabilities 0); repeated labels of a document
-count as their maximum; labels that are null are left out; repeated rows repeat their results.
+count as their maximum; of documents that share a labelled identifier the smallest text is the sample's;
+labels that are null are left out; texts are read whole, however long; repeated rows repeat their
+results; empty tables give empty results; other columns are carried along, and a column whose name is
+taken already gets underscores after it.
 """
 
 from __future__ import annotations
@@ -28,14 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import arrow_map, filled, materialise, strings
+from .shared import arrow_map, filled, free_names, materialise, strings
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: Plain English insults that tell the category insult from veiled.
-INSULTS = frozenset("awful clown crap creep damn disgusting dumb fool freak garbage hate idiot idiotic imbecile jerk loser lunatic moron pathetic pig scum stupid trash ugly vile worthless".split())
 BEGINNINGS = (4, 5, 6)
-CATEGORIES = ("insult", "veiled", "toxic")
+CATEGORIES = ("overt", "veiled", "toxic")
+#: Association (chi-square) that a feature needs in any sample, and its share of the sample's size.
+LEAST_CHI2, LEAST_PHI2 = 8.0, 0.0034
+#: So many features are used where none has the association.
+WEAK_FEATURES = 20
 
 
 def word_features(text: str) -> set[str]:
@@ -153,21 +160,33 @@ def _one_of_each(sample: DataFrame) -> DataFrame:
     return sample.select("*", *minima).withColumn("__rn", F.row_number().over(first)).where("__rn = 1").select(*sample.columns)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 4000, max_negative: int = 8000, max_features: int = 4000, least_chi2: float = 40.0, folds: int = 4) -> Chain | None:
+def overt(indices: list[np.ndarray], y: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Which positive rows have one of the first signs (feature indices, the strongest first), so many of
+    them as half of the positive rows need."""
+    held = np.zeros(len(indices), bool)
+    rows, flat = np.repeat(np.arange(len(indices)), [len(x) for x in indices]), np.concatenate([*indices, np.zeros(0, np.int64)]).astype(np.int64)
+    for sign in signs:
+        if held.sum() * 2 >= y.sum():
+            break
+        held[rows[flat == sign]] = True
+        held &= y
+    return held
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 4000, max_negative: int = 8000, max_features: int = 4000, folds: int = 4) -> Chain | None:
     """The chain fitted on a sample of the labelled rows, or None without rows of both classes."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).alias("__y"))
-    known = known.select(F.col(id_col).alias("__i"), "__y", F.xxhash64(F.lit("toxicity"), id_col).alias("__h"))
-    picked = known.where("__y").orderBy("__h", "__i").limit(max_positive).unionByName(known.where("NOT __y").orderBy("__h", "__i").limit(max_negative))
-    texts = docs.join(F.broadcast(picked), docs[id_col] == F.col("__i")).select(F.col("__i").cast("string").alias("i"), F.col("__y").alias("y"), F.col("__h").alias("h"), filled(text_col).alias("t"))
+    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("i IS NOT NULL AND y IS NOT NULL").groupBy("i").agg((F.max("y") > 0).alias("y"))
+    known = known.select("i", "y", F.xxhash64(F.lit("toxicity"), "i").alias("h"))
+    picked = known.where("y").orderBy("h", "i").limit(max_positive).unionByName(known.where("NOT y").orderBy("h", "i").limit(max_negative))
+    texts = docs.select(F.col(id_col).alias("d"), filled(text_col).alias("t")).join(F.broadcast(picked), F.col("d") == F.col("i"))
+    texts = texts.groupBy("i", "y", "h").agg(F.min("t").alias("t")).select(F.col("i").cast("string").alias("i"), "y", "h", "t")
 
     def extract(batches):
         for batch in batches:
-            rows = strings(batch.column(3))
-            feats = [sorted(word_features(t)) for t in rows]
-            insult = [not INSULTS.isdisjoint(WORDS.findall(t.lower())) for t in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(insult), pa.array(feats, pa.list_(pa.string()))], ["i", "y", "h", "insult", "f"])
+            feats = [sorted(word_features(t)) for t in strings(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(feats, pa.list_(pa.string()))], ["i", "y", "h", "f"])
 
-    sample = materialise(arrow_map(texts, extract, "i string, y boolean, h long, insult boolean, f array<string>"), "toxicity-sample")
+    sample = materialise(arrow_map(texts, extract, "i string, y boolean, h long, f array<string>"), "toxicity-sample")
     sample = materialise(_one_of_each(sample), "toxicity-distinct")
     n1, n0 = sample.agg(F.count_if("y"), F.count_if(~F.col("y"))).first()
     if not n1 or not n0:
@@ -177,31 +196,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = F.col("a") + F.col("b")
     gap = F.col("a") * F.lit(float(n0)) - F.col("b") * F.lit(float(n1))
     chi2 = F.lit(float(n)) * gap * gap / (F.lit(float(n1)) * F.lit(float(n0)) * total * F.greatest(F.lit(float(n)) - total, F.lit(1.0)))
-    chosen = counts.withColumn("x", chi2).where(F.col("x") >= least_chi2).orderBy(F.desc("x"), "f").limit(max_features).select("f")
-    vocabulary = {r["f"]: k for k, r in enumerate(chosen.collect())}
-    if not vocabulary:
-        return None
+    best = counts.withColumn("x", chi2).orderBy(F.desc("x"), "f").limit(max_features).select("f", "x", (gap > 0).alias("sign")).collect()
+    chosen = [r for r in best if r["x"] >= max(LEAST_CHI2, LEAST_PHI2 * n)] or best[:WEAK_FEATURES]
+    vocabulary = {r["f"]: k for k, r in enumerate(chosen)}
+    signs = np.array([k for k, r in enumerate(chosen) if r["sign"]], np.int64)
 
     def project(batches):
         for batch in batches:
-            found = [[k for w in ws if (k := vocabulary.get(w)) is not None] for ws in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(found, pa.list_(pa.int32()))], ["i", "y", "h", "insult", "f"])
+            found = [[k for w in ws if (k := vocabulary.get(w)) is not None] for ws in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(found, pa.list_(pa.int32()))], ["i", "y", "h", "f"])
 
-    rows = arrow_map(sample, project, "i string, y boolean, h long, insult boolean, f array<int>").toPandas().sort_values(["h", "i"], kind="stable")
-    indices = [np.asarray(x, np.int64) for x in rows["f"]]
-    y, insult = rows["y"].to_numpy(bool), rows["insult"].to_numpy(bool)
-    targets = np.stack([y & insult, y & ~insult, y], 1)
+    rows = arrow_map(sample, project, "i string, y boolean, h long, f array<int>").toPandas().sort_values(["h", "i"], kind="stable")
+    indices, y = [np.asarray(x, np.int64) for x in rows["f"]], rows["y"].to_numpy(bool)
+    plain = overt(indices, y, signs)
     fold = (rows["h"].to_numpy(np.int64) % folds).astype(int)
-    return fit_chain(indices, targets, fold, vocabulary)[0]
+    return fit_chain(indices, np.stack([plain, y & ~plain, y], 1), fold, vocabulary)[0]
 
 
 def score(docs: DataFrame, chain: Chain | None, text_col: str = "text") -> DataFrame:
-    """docs with __p_insult, __p_veiled, __p_toxic and __toxic; no shuffle."""
-    names = [f"__p_{c}" for c in CATEGORIES]
+    """docs with __p_overt, __p_veiled, __p_toxic and __toxic; no shuffle."""
+    *names, verdict = free_names(docs.columns, [*[f"__p_{c}" for c in CATEGORIES], "__toxic"])
     if chain is None:
-        for name in names:
-            docs = docs.withColumn(name, F.lit(0.0))
-        return docs.withColumn("__toxic", F.lit(False))
+        return docs.select("*", *[F.lit(0.0).alias(x) for x in names], F.lit(False).alias(verdict))
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -210,9 +226,12 @@ def score(docs: DataFrame, chain: Chain | None, text_col: str = "text") -> DataF
                 continue
             p = np.array([chain.score(t) for t in strings(batch.column(at).cast(pa.string()))]).reshape(-1, len(names))
             columns = [pa.array(p[:, k]) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(p[:, -1] >= chain.threshold)], [*batch.schema.names, *names, "__toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(p[:, -1] >= chain.threshold)], [*batch.schema.names, *names, verdict])
 
-    from pyspark.sql import types as T
-
-    fields = [*docs.schema.fields, *[T.StructField(x, T.DoubleType()) for x in names], T.StructField("__toxic", T.BooleanType())]
+    fields = [*docs.schema.fields, *[T.StructField(x, T.DoubleType()) for x in names], T.StructField(verdict, T.BooleanType())]
     return arrow_map(docs, run, T.StructType(fields))
+
+
+def clean(docs: DataFrame, chain: Chain | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the chain does not call toxic."""
+    return score(docs, chain, text_col).where(~F.col(free_names(docs.columns, ["__toxic"])[0])).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ from strandline.llm import mixing as M
 
 
 def unit(seed, i):
-    return int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 16**13
+    return int(hashlib.md5(f"{seed}:{'text:' + hashlib.md5(b'').hexdigest() if i is None else i}".encode()).hexdigest()[:13], 16) / 16**13
 
 
 def poisson_draw(mean, u):
@@ -74,3 +74,18 @@ def test_large_means_and_many_sources_end_with_a_result(spark):
     assert M.mix_sources(df, weights={"hot": 1.0}, size=3000).where("source <> 'hot'").count() == 0
     got = Counter(r.source for r in M.mix_sources(df, weights={"s1": 2.0, "s2": 1.0}, size=6000).collect())
     assert set(got) == {"s1", "s2"} and abs(got["s1"] - 4000) < 6 * math.sqrt(4000) and abs(got["s2"] - 2000) < 6 * math.sqrt(2000)
+
+
+def test_rows_without_identifier_draw_apart_and_no_weight_leaves_nothing(spark):
+    df = spark.createDataFrame([(None, "s", f"t{i}") for i in range(1000)], "doc_id long, source string, text string")
+    got = M.mix_sources(df, size=1500).count()
+    assert abs(got - 1500) < 5 * math.sqrt(1500)
+    assert M.mix_sources(df, weights={}).collect() == []
+    with pytest.raises(ValueError, match="negative"):
+        M.mix_sources(df, weights={"s": -1.0})
+
+
+def test_a_small_source_may_be_repeated_thousands_of_times(spark):
+    df = spark.createDataFrame([(i, "b" if i else "a", "t") for i in range(2000)], "doc_id long, source string, text string")
+    got = Counter(r.source for r in M.mix_sources(df, exponent=0.0).collect())
+    assert abs(got["a"] - 1000) < 5 * math.sqrt(1000) and abs(got["b"] - 1000) < 5 * math.sqrt(1000)

@@ -7,11 +7,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
-pipeline = pytest.importorskip("corpus_pipeline")
+pytest.importorskip("corpus_pipeline")
 P = pytest.importorskip("public_tokenizers")
 spm = pytest.importorskip("sentencepiece")
 
-from strandline.llm import toxicity  # noqa: E402
+from strandline.llm import pipeline, toxicity  # noqa: E402
 
 
 def documents(seed=0):

@@ -27,10 +27,10 @@ def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in T.score(df, chain).collect()}
     held = [(got[i]["__toxic"], y, t) for i, t, y in rows if i % 2 == 0]
     assert sum(a == bool(y) for a, y, _ in held) / len(held) > 0.99
-    insult = [got[i]["__p_insult"] > got[i]["__p_veiled"] for i, t, y in rows if y and ("idiot" in t.lower() or "scum" in t.lower())]
-    assert sum(insult) / len(insult) > 0.95
+    by_family = {f: [got[i]["__p_overt"] > got[i]["__p_veiled"] for i, t, y in rows if y and any(w in t.lower() for w in f)] for f in (("idiot", "scum"), ("grulvo",))}
+    assert all(sum(x) / len(x) > 0.9 or sum(x) / len(x) < 0.1 for x in by_family.values())
     assert not got[5000]["__toxic"] and not got[5001]["__toxic"] and got[5000]["__p_toxic"] == got[5001]["__p_toxic"]
-    assert T.score(df, chain).columns == [*df.columns, "__p_insult", "__p_veiled", "__p_toxic", "__toxic"]
+    assert T.score(df, chain).columns == [*df.columns, "__p_overt", "__p_veiled", "__p_toxic", "__toxic"]
 
 
 def test_later_models_use_out_of_fold_predictions():
@@ -58,3 +58,42 @@ def test_without_labels_nothing_is_rejected(spark):
         assert chain is None and [r["__toxic"] for r in T.score(df, chain).collect()] == [False, False]
     empty = df.where("false")
     assert T.score(empty, T.train(empty, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))).collect() == []
+
+
+def test_few_labels_still_make_a_model(spark):
+    rows = [(i, f"grulvo w{i} idiot" if i % 3 == 0 else f"w{i} plain words") for i in range(30)]
+    chain = T.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert [chain.score(t)[-1] >= chain.threshold for _, t in rows] == [i % 3 == 0 for i, _ in rows]
+
+
+def test_chain_equals_brute_force():
+    """Scores by dense arithmetic over the chain's own weights; models by fitting each link alone."""
+    rng = np.random.default_rng(3)
+    words = ["ab", "cd", "ef", "gh"]
+    texts = [" ".join(w for w in words if rng.random() < 0.5) for _ in range(120)]
+    vocabulary = {w: k for k, w in enumerate(words)}
+    indices = [np.array(sorted(vocabulary[w] for w in t.split()), np.int64) for t in texts]
+    y = np.array(["ab" in t.split() for t in texts])
+    targets, fold = np.stack([y & np.array(["cd" in t for t in texts]), y & np.array(["cd" not in t for t in texts]), y], 1), np.arange(120) % 3
+    chain, _ = T.fit_chain(indices, targets, fold, vocabulary)
+    dense = np.array([[w in t.split() for w in words] for t in texts], float)
+    held = np.zeros((120, 0))
+    for c, model in enumerate(chain.models):
+        alone = T.fit_linear(T.Rows(indices, held), targets[:, c].astype(float), 4)
+        assert np.allclose(model.weights, alone.weights) and np.isclose(model.bias, alone.bias)
+        next_ = np.zeros(120)
+        for f in range(3):
+            part = T.fit_linear(T.Rows([indices[i] for i in np.flatnonzero(fold != f)], held[fold != f]), targets[fold != f, c].astype(float), 4)
+            next_[fold == f] = 1 / (1 + np.exp(-(np.hstack([dense, held])[fold == f] @ part.weights + part.bias)))
+        held = np.column_stack([held, next_])
+    for t, x in zip(texts, dense):
+        said = []
+        for model in chain.models:
+            said.append(1 / (1 + np.exp(-(np.array([*x, *said]) @ model.weights + model.bias))))
+        assert np.allclose(chain.score(t), said)
+
+
+def test_overt_takes_the_fewest_signs():
+    indices = [np.array([0]), np.array([0, 1]), np.array([1]), np.array([2]), np.array([0])]
+    y = np.array([True, True, True, True, False])
+    assert T.overt(indices, y, np.array([0, 1, 2])).tolist() == [True, True, False, False, False]
