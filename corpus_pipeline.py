@@ -1,61 +1,5 @@
-"""A corpus pipeline of five stages, each over all that its predecessor kept.
+"""The corpus pipeline's stages, as the driver looks for them; they live in ``strandline.llm.pipeline``."""
 
-``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame with
-the columns of documents (the last one: its own). ``run`` applies them to documents, each stage written
-as a table in the shared folder and read again.
-"""
+from strandline.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from strandline.llm import exact_dedup, mixing, sentencepiece_codec, simhash, toxicity
-from strandline.llm.queries import MIX_EXPONENT, MIX_SEED, tokenizer_path
-from strandline.llm.shared import materialise
-
-#: Near copies: five-word shingles and this Jaccard similarity or more.
-NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
-
-
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
-def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain calls toxic go."""
-    chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, chain).where("NOT __toxic").select(*_columns(docs))
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest identifier stays."""
-    return exact_dedup.exact_distinct(docs, keep="smallest")
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest identifier stays."""
-    return simhash.near_distinct(docs, similarity=NEAR_SIMILARITY, shingle=NEAR_SHINGLE)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by Poisson draws towards the sources' target weights, in a global shuffle."""
-    return mixing.mix_sources(docs, exponent=MIX_EXPONENT, seed=MIX_SEED).select(*_columns(docs))
-
-
-def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece digests of each copy."""
-    return sentencepiece_codec.encode_digests(docs, tokenizer_path("piece_bpe_32k.model"))
-
-
-STAGES = [("toxicity", reject_toxic), ("exact dedup", drop_copies), ("simhash", drop_near_copies), ("mixing", mix), ("sentencepiece", tokenise)]
-
-#: The first stage is a trained model, which SQL can't say.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
