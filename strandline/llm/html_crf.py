@@ -8,8 +8,9 @@ backward) and decoded by Viterbi. The content blocks, in page order, are the mai
 The labelled pages come from ``labelled_pages``, a seeded generator of page layouts with known
 content; training takes a second or two, happens once in a process, and its result is what tasks get.
 
-Character references are decoded; white space inside a block becomes one space; scripts, styles,
-comments, templates and the head are never text.
+Character references are decoded, text by text; white space inside a block becomes one space; scripts,
+styles, comments, templates and the head are never text. Attributes are read by name, and only class, id
+and role are looked at: an element that is not shown (hidden, aria-hidden, by its style) is judged like any other.
 
 Work is row by row in Arrow batches, without a shuffle; memory is bounded by the longest page.
 
@@ -42,8 +43,8 @@ CLOSES = {
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"},
 } | {t: {"p"} for t in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>?", re.S)
-ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:\s|^)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAMING = frozenset(("class", "id", "role"))  # attributes whose words tell what an element is for
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -66,7 +67,7 @@ def leaf_blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal raw, linked
         if raw:
-            text = " ".join(entities.unescape("".join(raw)).split())
+            text = " ".join("".join(raw).split())
             if text:
                 blocks.append(Block(tuple(path), text, min(1.0, linked / len(text))))
         raw, linked = [], 0
@@ -86,9 +87,9 @@ def leaf_blocks(page: str) -> list[Block]:
         if m.start() < at:
             continue
         if m.start() > at and not unseen:
-            raw.append(page[at : m.start()])
+            raw.append(entities.unescape(page[at : m.start()]))  # each text by itself: a reference ends where it does
             if links:
-                linked += m.start() - at
+                linked += len(raw[-1])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -117,10 +118,10 @@ def leaf_blocks(page: str) -> list[Block]:
             if tag not in INLINE:
                 flush()
             continue
-        gone = tag in UNSEEN or bool(attributes and HIDDEN.search(attributes))
+        gone = tag in UNSEEN
         if tag not in INLINE:
             flush()
-            words = [w.lower() for a in ATTRIBUTE.findall(attributes) for w in NAME.findall("".join(a))] if attributes else []
+            words = [w.lower() for name, *value in ATTRIBUTE.findall(attributes) if name.lower() in NAMING for w in NAME.findall("".join(value))] if attributes else []
             path.append(".".join([tag, *words]))
         stack.append(tag)
         lost.append(gone)
@@ -130,7 +131,7 @@ def leaf_blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
             at = end.start() if end else len(page)
     if at < len(page) and not unseen:
-        raw.append(page[at:])
+        raw.append(entities.unescape(page[at:]))
     leave(0)
     flush()
     return blocks
@@ -222,7 +223,7 @@ class Field:
         return "\n".join(b.text for b, y in zip(blocks, self.label(blocks), strict=True) if y)
 
 
-def fit(pages: list[tuple[list[Block], list[int]]], steps: int = 120, rate: float = 0.5, penalty: float = 1e-3) -> Field:
+def fit(pages: list[tuple[list[Block], list[int]]], steps: int = 100, rate: float = 0.5, penalty: float = 1e-3) -> Field:
     """Maximum likelihood by AdaGrad over all pages at once; pages are padded to one length and the
     forward and backward passes run over all of them together."""
     index: dict[str, int] = {}
@@ -351,25 +352,31 @@ def labelled_pages(n: int, seed: int = 0) -> list[tuple[str, str]]:
         inside = pick([0.0, 0.08, 0.3])
         if chance(0.8):
             body, texts = f"<h1>{title}</h1>", [title]
-        for _ in range(rng.randint(1, 14)):
+        bare = chance(0.3)  # little but the text: no menus, no headers, short pages
+        if bare and chance(0.7):
+            body, texts = "", []
+        for _ in range(rng.choice([1, 1, 2, 2, 3, 5, 10]) if bare else rng.randint(1, 14)):
             h, t = paragraph()
             body += h
             texts += t
             if chance(inside):
                 body += aside()
         box = pick(["article", "article", "article", "main", "main", "div", "div", "section", "td"])
-        cls = attr("content", "post", "entry-content", "article", "article-body", "main", "story", "text", "post-body", role="main") if box in ("div", "section", "td") or chance(0.3) else ""
+        cls = attr("content", "post", "entry-content", "article", "article-body", "main", "story", "text", "post-body", role="main") if box in ("div", "section", "td") and chance(0.7) or chance(0.3) else ""
         if chance(0.15):  # a byline above, tags below
             body = f"<header>{body[: body.index('</h1>') + 5]}<p class=\"byline\">{words(2, 4)}</p></header>{body[body.index('</h1>') + 5 :]}" if body.startswith("<h1>") else body
             body += pick(["", f"<footer>{words(1, 4)}</footer>", f'<p class="tags">{words(1, 4)}</p>'])
         shell = f"<{box}{cls}>{body}</{box}>"
-        if chance(0.08):  # nothing around the text but the body itself
+        if chance(0.4 if bare else 0.08):  # nothing around the text but the body itself
             shell = body
-        if box == "td":
+        elif box == "td":
             shell = f"<table><tr>{shell}</tr></table>"
         if chance(0.3):
             shell = f"<div{attr('container', 'wrapper', 'page', 'row')}>{shell}{aside() if chance(0.4) else ''}</div>"
-        before = ""
+        before = after = ""
+        if bare and chance(0.7):
+            out.append((pick([shell, f"<body>{shell}</body>", f"<html><head><title>{title}</title></head><body>{shell}</body></html>"]), "\n".join(texts)))
+            continue
         if chance(0.5):
             before += f'<header{pick(["", attr("header", "site-header", "masthead", "top")])}>{pick([f"<h1>{words(1, 4)}</h1>", f"<h1>{links(1, 1)[0]}</h1>", f"<div>{words(1, 5)}</div>", ""])}{menu("nav", "") if chance(0.6) else words(1, 6)}</header>'
         elif chance(0.3):
@@ -396,7 +403,7 @@ def gold_labels(blocks: list[Block], main: str) -> list[int]:
 
 
 @lru_cache(maxsize=1)
-def standard_field(n: int = 1500, seed: int = 11) -> Field:
+def standard_field(n: int = 900, seed: int = 11) -> Field:
     """The field trained on the generated pages; fitted once in a process."""
     pages = []
     for page, main in labelled_pages(n, seed):

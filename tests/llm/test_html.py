@@ -1,12 +1,13 @@
 import numpy as np
+import pytest
 
 from strandline.llm import html_crf as H
 
 
 def test_leaf_blocks():
-    page = '<body><nav><ul><li><a href=x>Menu<li>Two</ul></nav><script>var a="<p>no</p>"</script><!-- <p>no --><p>One <b>two</b>\n three&amp;&eacute;<br>x<p hidden>gone</p><div>a<p>b</div>c<style>p{}</style><table><tr><td>1<td>2</table><p>tail &lt;i&gt;'
+    page = '<body><nav><ul><li><a href=x>Menu<li>Two</ul></nav><script>var a="<p>no</p>"</script><!-- <p>no --><p>One <b>two</b>\n three&amp;&eacute;<br>x<p hidden>not shown</p><div>a<p>b</div>c<style>p{}</style><table><tr><td>1<td>2</table><p>tail &lt;i&gt;'
     got = H.leaf_blocks(page)
-    assert [b.text for b in got] == ["Menu", "Two", "One two three&é x", "a", "b", "c", "1", "2", "tail <i>"]
+    assert [b.text for b in got] == ["Menu", "Two", "One two three&é x", "not shown", "a", "b", "c", "1", "2", "tail <i>"]
     assert got[0].link == 1.0 and got[0].path == ("body", "nav", "ul", "li")
 
 
@@ -65,3 +66,44 @@ def test_pages_of_the_testdata(spark):
         inner = re.search("<article>(.*)</article>", r.html, re.S)[1]
         lines = [" ".join(unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", inner)]
         assert got[r.page_id] == "\n".join(x for x in lines if x)
+
+
+SENTENCES = ["The first plain sentence of this page says something.", "A second one follows it, with a few more words.", "Third.", "Numbers four and five fill the page a little more than before.", "The end of the text is near."]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10])
+@pytest.mark.parametrize("wrap", ["{}", "<body>{}</body>", "<div>{}</div>", "<section>{}</section>", "<main>{}</main>", "<article>{}</article>", "<center>{}</center>", "<table><tr><td>{}</td></tr></table>", "<html><head><title>T</title></head><body><div id=x1><div class=row>{}</div></div></body></html>"])
+def test_bare_pages_keep_every_paragraph(wrap, n):
+    want = [SENTENCES[i % 5] for i in range(n)]
+    assert H.standard_field().text(wrap.format("".join(f"<p>{x}</p>" for x in want))) == "\n".join(want)
+
+
+def test_notices_and_menus_within_the_main_element():
+    page = '<main><p>{}</p><p class="notice">We use cookies.</p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li><li><a href=c>Three</a></li></ul></main>'
+    assert H.standard_field().text(page.format(SENTENCES[0])).split("\n")[0] == SENTENCES[0]
+
+
+def test_attributes_are_read_by_name_and_references_text_by_text():
+    text = H.standard_field().text
+    for box in ('<div title="the hidden cost">', '<div class="w-full hidden md:block">', '<div data-note="was hidden once">', "<div hidden>", "<div aria-hidden=true>", '<div style="display:none">', '<div alt="class=nav">'):
+        assert text(f"{box}<p>{SENTENCES[0]}</p></div>") == SENTENCES[0], box
+    assert text("<p>&<b>amp;</b> is how it is written.</p>") == "&amp; is how it is written."
+    assert text("<p>Fish &amp; chips &lt;b&gt;, as &amp;lt; is.</p>") == "Fish & chips <b>, as &lt; is."
+
+
+def test_a_layout_family_that_training_never_saw():
+    """Text in nested grids of custom elements and definition lists, with names of another language."""
+    import random
+
+    rng = random.Random(5)
+    right = n = 0
+    for _ in range(60):
+        lines = [rng.choice(SENTENCES) + f" Number {rng.randint(0, 999)}." for _ in range(rng.randint(2, 8))]
+        inner = "".join(f"<p>{x}</p>" if rng.random() < 0.7 else f"<div class='absatz'>{x}</div>" for x in lines)
+        page = f"""<html><body class="seite"><nav class="haupt"><a href=/>Start</a> <a href=/b>Blog</a> <a href=/k>Kontakt</a></nav>
+            <x-grid><x-cell class="spalte"><article class="beitrag">{inner}</article></x-cell>
+            <x-cell><aside><h3>Mehr</h3><ul><li><a href=1>Eins</a><li><a href=2>Zwei</a></ul></aside></x-cell></x-grid>
+            <footer><p>&copy; Verlag 2020</p></footer></body></html>"""
+        got = H.standard_field().text(page).split("\n")
+        right, n = right + len(set(got) & set(lines)) - len(set(got) - set(lines)), n + len(set(lines))
+    assert right / n > 0.95
