@@ -93,27 +93,45 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return map_rows(docs.select(docs[id_col], filled(text_col).alias("t")), make, f"__id {kind}, fp long").withColumnRenamed("__id", id_col)
 
 
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes, ascending: the similarity is one of sets."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
 def sketches(rows: DataFrame, shingle: int = 5, words: int = 16, minima: int = 16) -> DataFrame:
     """rows (columns i, t: text, t0, t1) with fp (a fingerprint of ``words`` times 64 bits, binary), keys
-    (``minima`` minimum hashes of the shingles), shingles (their distinct hashes, ascending, eight bytes
-    each) and same (a digest of these) in the place of the text, from one pass over it."""
+    (``minima`` minimum hashes of the shingles) and same (a digest of their set) in the place of the
+    text, from one pass over it."""
     kind = rows.schema["i"].dataType.simpleString()
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            prints, keys, sets = [], [], []
+            prints, keys, same = [], [], []
             for text in strings(batch.column(1)):
-                hashes = np.unique(shingle_hashes(text, shingle))  # as a set, as the similarity is of sets
+                hashes = shingle_set(text, shingle)
                 prints.append(b"".join(majority(mixed(hashes, k)) for k in range(words)))
                 keys.append(np.array([mixed(hashes, 100 + k).min() if len(hashes) else 0 for k in range(minima)], np.uint64).view(np.int64))
-                sets.append(hashes.tobytes())
-            same = [xxhash.xxh3_128_digest(x) for x in sets]
-            columns = [pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(same, pa.binary())]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], ["i", "t0", "t1", "fp", "keys", "shingles", "same"])
+                same.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+            columns = [pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(same, pa.binary())]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], ["i", "t0", "t1", "fp", "keys", "same"])
+
+        return one
+
+    return map_rows(rows.select("i", "t", "t0", "t1"), make, f"i {kind}, t0 long, t1 long, fp binary, keys array<long>, same binary")
+
+
+def with_shingles(rows: DataFrame, shingle: int) -> DataFrame:
+    """rows (columns id, fp, keys, t: text) with shingles (``shingle_set``, eight bytes each) in the place
+    of the text."""
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t, shingle).tobytes() for t in strings(batch.column(3))]
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["id", "fp", "keys", "shingles"])
 
         return one
 
-    return map_rows(rows.select("i", "t", "t0", "t1"), make, f"i {kind}, t0 long, t1 long, fp binary, keys array<long>, shingles binary, same binary")
+    return map_rows(rows.select("id", "fp", "keys", "t"), make, "id long, fp binary, keys array<long>, shingles binary")
 
 
 class BKTree:
@@ -259,7 +277,7 @@ BLOCK_BYTES = 32 << 20
 BUCKETS = 1 << 17
 
 
-def similar_links(prints: DataFrame, similarity: float = 0.8, words: int = 16, shard_rows: int = 1000, bands: int = 8) -> tuple[DataFrame, DataFrame]:
+def similar_links(prints: DataFrame, shingled: Callable[[DataFrame], DataFrame], similarity: float = 0.8, words: int = 16, shard_rows: int = 1000, bands: int = 8) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, label) and links (a > b, of labels): their components are those of all pairs of the
     similarity or more that share a band.
 
@@ -274,18 +292,21 @@ def similar_links(prints: DataFrame, similarity: float = 0.8, words: int = 16, s
     3. Two sets of similarity s share one of the rarest (1 - s) of either's shingles, by any order that
        all sets agree on. Candidates with such a shingle in common form a shard, so that texts which
        share no more than a passage hardly meet. Shards of one label need no search; in the others all
-       pairs of different labels are compared, block by block.
+       pairs of different labels are compared, block by block, by fingerprint and number of shingles.
+       What these can't tell apart forms a cluster, and in a cluster, where a text stands once however
+       many shards it had, the shingles themselves are compared, block by block again.
 
     No task holds more than two blocks, whatever the size of a group. Copies, however many, cost a few
     comparisons each. Texts that are alike even in their rare shingles, but under the similarity, cost
     the square of their number, spread over as many tasks as there are pairs of blocks.
 
-    prints: id, fp, keys, shingles of ``sketches``, one row for each set of shingles."""
+    prints: id, fp, keys of ``sketches``, one row for each set of shingles; shingled: gives such rows the
+    column shingles."""
     names = [F.xxhash64(F.lit(k), *[F.col("keys")[FIRST_KEYS * k + i] for i in range(FIRST_KEYS)]) for k in range(bands)]
     dealt = prints.select("id", F.explode(F.array(*names)).alias("shard"))
     shared = dealt.groupBy("shard").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("shard")
     rows = materialise(dealt.join(shared, "shard", "left_semi").select("id").distinct(), "simhash-shared")
-    sketch = materialise(prints.join(rows, "id", "left_semi").select("id", "fp", "keys", "shingles"), "simhash-candidates")
+    sketch = materialise(shingled(prints.join(rows, "id", "left_semi")), "simhash-candidates")
 
     search = _searcher(similarity, words, shard_rows)
     order = [F.col("keys")[FIRST_KEYS * bands - 1 - i].alias(f"k{i}") for i in range(min(ORDER_KEYS, FIRST_KEYS * bands))]
@@ -301,9 +322,12 @@ def similar_links(prints: DataFrame, similarity: float = 0.8, words: int = 16, s
 
     rare = _rare_shingles(sketch.select("id", "shingles").join(nodes, "id"), _bucket_counts(sketch), similarity)
     mixed = materialise(_mixed(materialise(rare, "simhash-rare")), "simhash-mixed")
-    units = _units(mixed, shard_rows).join(sketch, "id").select("unit", "label", "fp", "shingles")
-    units = units.repartition("unit").sortWithinPartitions("unit")
-    return nodes, materialise(arrow_map(units, lambda batches: _by_shard(batches, search), "a long, b long"), "simhash-links")
+    units = _units(mixed, shard_rows).join(sketch.select("id", "fp"), "id").select("unit", "label", "fp", "size", "id")
+    roots = stars(_grouped(units, _pairing(similarity, words)), "simhash-clusters")
+    clusters = roots.select(F.col("root").alias("shard"), F.col("node").alias("id")).unionByName(roots.select(F.col("root").alias("shard"), F.col("root").alias("id")).distinct())
+    clusters = materialise(clusters.join(nodes, "id").join(sketch.select("id", F.octet_length("shingles").cast("long").alias("size")), "id"), "simhash-clustered")
+    units = _units(clusters, shard_rows).join(sketch.select("id", "fp", "shingles"), "id").select("unit", "label", "fp", "shingles")
+    return nodes, materialise(_grouped(units, search), "simhash-links")
 
 
 def _mixed(dealt: DataFrame) -> DataFrame:
@@ -367,8 +391,27 @@ def _rare_shingles(rows: DataFrame, counts: np.ndarray, similarity: float) -> Da
     return arrow_map(rows.select("id", "shingles", "label"), run, "shard long, id long, label long, size long")
 
 
+def _grouped(rows: DataFrame, search: Callable[..., list[tuple]]) -> DataFrame:
+    """search over the rows of each unit, the first column."""
+    dealt = rows.repartition("unit").sortWithinPartitions("unit")
+    return arrow_map(dealt, lambda batches: _by_shard(batches, search), "a long, b long")
+
+
+def _pairing(similarity: float, words: int) -> Callable[..., list[tuple]]:
+    """Links of the identifiers in a unit that fingerprints and numbers of shingles do not tell apart,
+    pairs of one label left out."""
+    radius = radius_of(similarity, BITS * words, SLACK)
+
+    def search(labels: list[int], prints: list[bytes], sizes: list[int], ids: list[int]) -> list[tuple]:
+        bits = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), words)
+        of, counts = np.array(labels, np.int64), np.array(sizes, np.int64) // 8
+        return merged(ids, lambda i, others: maybe_similar(i, others, counts, bits, similarity, radius) & (of[others] != of[i]))
+
+    return search
+
+
 def _units(mixed: DataFrame, shard_rows: int) -> DataFrame:
-    """id, label, unit: rows that a task compares at once. A shard that fits in a block is a unit. Of a
+    """id, label, size, unit: rows that a task compares at once. A shard that fits in a block is a unit. Of a
     larger one the rows of its largest label, which need no comparison with each other, are dealt to
     blocks, and so are the others; the units are the pairs of blocks, but for those within that label.
 
@@ -399,7 +442,7 @@ def _units(mixed: DataFrame, shard_rows: int) -> DataFrame:
     among = F.transform(count("others"), lambda j: unit("others", F.least("own", j), F.greatest("own", j)))
     across = F.transform(count("tops"), lambda j: unit("across", F.col("own"), j))
     units = F.when(of_top, F.transform(count("others"), lambda j: unit("across", j, F.col("own")))).otherwise(F.concat(among, across))
-    return rows.select("id", "label", F.explode(units).alias("unit"))
+    return rows.select("id", "label", "size", F.explode(units).alias("unit"))
 
 
 def merged(labels: list[int], near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -436,12 +479,19 @@ FEW_SHINGLES = 64
 SLACK = 6.0
 
 
+def maybe_similar(i: int, others: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, radius: int) -> np.ndarray:
+    """Which of the others may have the Jaccard similarity to row i, by sizes and fingerprints."""
+    least, most = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+    out = least >= similarity * most
+    at = np.flatnonzero(out & (least >= FEW_SHINGLES))
+    out[at] = np.bitwise_count(bits[others[at]] ^ bits[i]).sum(1, dtype=np.int64) <= radius
+    return out
+
+
 def similar_to(i: int, others: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, bits: np.ndarray, similarity: float, radius: int) -> np.ndarray:
     """Which of the others have the Jaccard similarity to row i: sizes and fingerprints leave out what
     cannot have it, the shingles decide."""
-    ratio = np.minimum(sizes[others], sizes[i]) / np.maximum(np.maximum(sizes[others], sizes[i]), 1)
-    far = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64) > radius
-    at = np.flatnonzero((ratio >= similarity) & ~(far & (np.minimum(sizes[others], sizes[i]) >= FEW_SHINGLES)))
+    at = np.flatnonzero(maybe_similar(i, others, sizes, bits, similarity, radius))
     out = np.zeros(len(others), bool)
     if len(at):
         members, own = [sets[k] for k in others[at]], sets[i]
@@ -475,22 +525,21 @@ def _searcher(similarity: float, words: int, step: int) -> Callable[..., list[tu
 
 def _by_shard(batches: Iterator[pa.RecordBatch], search: Callable[..., list[tuple]], block_rows: int | None = None) -> Iterator[pa.RecordBatch]:
     """search(the other columns' values) of each run of equal first columns; with block_rows a run ends
-    at so many rows or BLOCK_BYTES."""
+    at so many rows or BLOCK_BYTES of the last column."""
     key, values, held = None, [], 0
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, columns, found = batch.column(0).to_numpy(), [c.to_pylist() for c in batch.columns[1:]], []
-        for k, shard in enumerate(ids.tolist()):
+        shards, columns, found = batch.column(0).to_numpy(), [c.to_pylist() for c in batch.columns[1:]], []
+        for k, shard in enumerate(shards.tolist()):
             if shard != key or block_rows and (len(values[0]) >= block_rows or held >= BLOCK_BYTES):
-                found += search(*values) if values else []
+                found += search(*values) if values and len(values[0]) > 1 else []
                 key, values, held = shard, [[] for _ in columns], 0
             for kept, column in zip(values, columns, strict=True):
                 kept.append(column[k])
-            held += len(columns[-1][k])
+            held += len(columns[-1][k]) if block_rows else 0
         yield _pairs(found, pa.int64())
-    yield _pairs(search(*values) if values else [], pa.int64())
+    yield _pairs(search(*values) if values and len(values[0]) > 1 else [], pa.int64())
 
 
 #: So many links are finished by one task, which holds all their nodes: some 50 MB.
@@ -560,16 +609,28 @@ def radius_of(similarity: float, bits: int, slack: float = 0.5) -> int:
     return round(bits * p + slack * float(np.sqrt(bits * p * (1 - p))))
 
 
+def _text_keys(text) -> list:
+    """Two hashes by which a text is known."""
+    return [F.xxhash64(F.lit(k), text).alias(f"t{k}") for k in range(2)]
+
+
 def _similar_classes(docs: DataFrame, similarity: float, shingle: int, words: int, bands: int, shard_rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (i: identifier, t0, t1: two hashes of the text, fp, same) and, for each same, its component's
     least (struct of whether the identifier is null, identifier, hashes)."""
     text = filled(text_col)
-    rows = docs.select(F.col(id_col).alias("i"), text.alias("t"), *[F.xxhash64(F.lit(k), text).alias(f"t{k}") for k in range(2)])
+    rows = docs.select(F.col(id_col).alias("i"), text.alias("t"), *_text_keys(text))
     prints = materialise(sketches(rows, shingle, words, FIRST_KEYS * bands).withColumn("row", F.monotonically_increasing_id()), "simhash-sketches")
     classes = prints.groupBy("same").agg(F.min(F.struct(F.col("i").isNull().alias("n"), "i", "t0", "t1")).alias("least"), F.min("row").alias("id"))
     classes = materialise(classes, "simhash-classes")
-    chosen = prints.join(classes.select("id"), F.col("row") == F.col("id"), "left_semi").select(F.col("row").alias("id"), "fp", "keys", "shingles")
-    nodes, found = similar_links(chosen, similarity, words, shard_rows, bands)
+    chosen = prints.join(classes.select("id"), F.col("row") == F.col("id"), "left_semi").select(F.col("row").alias("id"), "fp", "keys")
+
+    def shingled(some: DataFrame) -> DataFrame:
+        """Reads the texts of these again: they are few beside all."""
+        of = classes.select("id", "least.i", "least.t0", "least.t1").join(some, "id")
+        texts = rows.join(of, rows["i"].eqNullSafe(of["i"]) & (rows["t0"] == of["t0"]) & (rows["t1"] == of["t1"])).select("id", "fp", "keys", "t")
+        return with_shingles(texts, shingle).dropDuplicates(["id"])  # rows may agree in identifier and text
+
+    nodes, found = similar_links(chosen, shingled, similarity, words, shard_rows, bands)
     roots = stars(found, "simhash-last").withColumnRenamed("root", "last")
     nodes = nodes.join(roots, F.col("label") == F.col("node"), "left").select(F.col("id").alias("of"), F.coalesce("last", "label").alias("root"))
     named = materialise(classes.join(nodes, F.col("id") == F.col("of"), "left").select("same", "least", F.coalesce("root", "id").alias("root")), "simhash-named")
@@ -595,7 +656,7 @@ def near_distinct(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, wo
     gone = materialise(rows.where(~F.struct(F.col("i").isNull().alias("n"), *key).eqNullSafe(F.col("first"))).select(*key).distinct(), "simhash-gone")
     twice = materialise(prints.groupBy(*key).count().where("count > 1").select(*key), "simhash-twice")
     text = filled(text_col)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("i"), *[F.xxhash64(F.lit(k), text).alias(f"t{k}") for k in range(2)])
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("i"), *_text_keys(text))
 
     def equal(a: DataFrame, b: DataFrame):
         return a["i"].eqNullSafe(b["i"]) & (a["t0"] == b["t0"]) & (a["t1"] == b["t1"])

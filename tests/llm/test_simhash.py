@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -93,9 +94,10 @@ def test_near_groups_equal_brute_force(spark):
     assert S.near_groups(empty).collect() == []
 
 
-def test_stars_of_a_long_path(spark):
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_stars_of_a_long_path(spark, one_task):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
-    got = {r.node: r.root for r in S.stars(edges).collect()}
+    got = {r.node: r.root for r in S.stars(edges, one_task=one_task).collect()}
     assert got == {i: 0 for i in range(1, 201)} | {501: 500}
 
 
@@ -148,7 +150,7 @@ def test_merged_equals_all_pairs():
     for _ in range(30):
         n = rng.randint(2, 60)
         values = [rng.getrandbits(12) for _ in range(n)]
-        labels = [b"%03d" % rng.choice([i, i, i, i % 7]) for i in range(n)]
+        labels = [rng.choice([i, i, i, i % 7]) for i in range(n)]
         got = S.merged(labels, lambda i, others: [(values[i] ^ values[j]).bit_count() <= 2 for j in others])  # noqa: B023
         linked = {(a, b) for a, b in got} | {(b, a) for a, b in got}
         rows = {x: [v for v, y in zip(values, labels) if x == y] for x in labels}
@@ -173,3 +175,105 @@ def test_groups_are_those_of_exact_jaccard_at_the_limit_and_for_short_texts(spar
     want = components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
     got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shard_rows=50).collect()}
     assert got == want
+
+
+def jaccard(a, b, k=5):
+    def sets(t):
+        w = t.split()
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+    x, y = sets(a), sets(b)
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("shard_rows", [1000, 12])
+def test_recall_against_all_pairs(spark, shard_rows):
+    """Identifiers divisible by 100 against all rows: near copies of many strengths, crowded bands."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(120)]
+    texts = []
+    for family in range(24):
+        base = [f"f{family}w{i}" for i in range(rng.randint(60, 260))]
+        if family % 3 == 0:
+            base += passage
+        for _ in range(50):
+            copy = list(base)
+            for k in rng.sample(range(len(copy)), rng.randint(0, max(1, len(copy) // 28))):
+                copy[k] = f"x{rng.random()}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.similar_groups(df, shard_rows=shard_rows).collect()}
+    pairs = [(q, d) for q in range(0, len(texts), 100) for d in range(len(texts)) if q != d and jaccard(texts[q], texts[d]) >= 0.8]
+    assert len(pairs) > 30
+    assert sum(got[q] == got[d] for q, d in pairs) / len(pairs) >= 0.99
+    of_families = {}
+    for i, t in enumerate(texts):
+        of_families.setdefault(got[i], set()).add(t.split()[40][:2] if t.split()[40].startswith("f") else None)
+    assert all(len(x - {None}) <= 24 for x in of_families.values())
+
+
+def test_texts_that_share_a_passage_hardly_meet(spark):
+    """2,000 texts, 300 words in common and 74 of their own (similarity 0.66): the shards of rare shingles
+    hold next to none of them, so there is next to nothing to compare."""
+    rng = random.Random(10)
+    passage = " ".join(f"p{i}" for i in range(300))
+    rows = [(i, b"", [0], " ".join(f"u{i}x{rng.random()}" for _ in range(80)) + " " + passage) for i in range(2000)]
+    sketch = S.with_shingles(spark.createDataFrame(rows, "id long, fp binary, keys array<long>, t string"), 5).cache()
+    from pyspark.sql import functions as F
+
+    rare = S._rare_shingles(sketch.select("id", "shingles").withColumn("label", F.col("id")), S._bucket_counts(sketch), 0.8)
+    mixed = S._mixed(rare)
+    met = mixed.groupBy("shard").count().selectExpr("coalesce(sum(count * (count - 1) / 2), 0)").first()[0]
+    assert met <= 2000
+
+
+def test_rarest_shingles_of_similar_sets_meet():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 50, S.BUCKETS)
+    for n in (1, 2, 4, 5, 9, 10, 40, 333):
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 1 << 62, n, np.uint64))
+            for drop in range(n + 1):  # subsets of the similarity or more
+                y = np.sort(rng.permutation(x)[: n - drop])
+                if len(y) and len(y) / len(x) >= 0.8:
+                    assert set(S.rarest(x, counts, 0.8)) & set(S.rarest(y, counts, 0.8))
+
+
+def test_units_hold_every_pair_of_labels_once_blocks_are_small(spark):
+    rng = random.Random(11)
+    rows = [(1, i, 7 if i < 60 else rng.randint(100, 130), 8) for i in range(100)] + [(2, 200 + i, i, 8) for i in range(5)] + [(3, 300 + i, i % 2, S.BLOCK_BYTES) for i in range(4)]
+    mixed = spark.createDataFrame(rows, "shard long, id long, label long, size long")
+    units = {}
+    for r in S._units(mixed, 10).collect():
+        units.setdefault(r.unit, []).append((r.id, r.label))
+    assert all(len(x) <= 40 for x in units.values())
+    together = {(a[0], b[0]) for x in units.values() for a in x for b in x if a[1] != b[1]}
+    for shard in (1, 2, 3):
+        own = [(i, label) for s, i, label, _ in rows if s == shard]
+        assert all((a, b) in together for a, la in own for b, lb in own if la != lb)
+    top = sum(1 for x in units.values() if any(label == 7 for _, label in x) for _ in x)
+    assert top <= 6 * 4 * 40  # the largest label's rows are dealt to the others' blocks, not to each other's
+
+
+def test_rows_that_share_an_identifier_are_kept_apart(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, base), (5, base + " tail"), (5, "a wholly different text of its own"), (5, "a wholly different text of its own"), (None, base)]
+    got = S.near_distinct(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(3, base), (5, "a wholly different text of its own")]
+
+
+def test_copies_make_fewer_links_than_rows(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for k in rng.sample(range(300), 3):
+            copy[k] = f"c{i}x{k}"
+        rows.append((i, copy))
+    df = spark.createDataFrame([(i, " ".join(c)) for i, c in rows], "i long, t string").selectExpr("i", "t", "0L t0", "i t1")
+    prints = S.sketches(df).selectExpr("i id", "fp", "keys").cache()
+    nodes, found = S.similar_links(prints, lambda some: S.with_shingles(some.join(df, some.id == df.i), 5), shard_rows=50)
+    labels = {r.label for r in nodes.collect()}
+    assert found.distinct().count() <= len(labels) <= len(rows)
