@@ -11,8 +11,11 @@ phrases and of the templates that match.
 
 Work is row by row in Arrow batches, without a shuffle; memory is bounded by the longest text.
 
-Defined results: null text counts as empty (0 words, no labels, score 0); repeated rows repeat their
-results; other columns are ignored.
+Templates of a few words find mentions of a licence; those that end in ``-notice`` are the whole standard
+notices, and MIT, ISC, both BSD and the Unlicense are whole texts, every mandatory word of them.
+
+Defined results: null text counts as empty (0 words, no labels, score 0); texts are searched whole, however
+long; repeated rows repeat their results; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +42,41 @@ persons to whom the Software is furnished to do so, subject to the following con
 and this permission notice <<optional>>(including the next paragraph)<</optional>> shall be included in all copies or
 substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
-NONINFRINGEMENT."""
+NONINFRINGEMENT. IN NO EVENT SHALL <<var words=1-12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""
+_ISC_BODY = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+PROVIDED "AS IS" AND <<var words=1-12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var words=1-12>> BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+THIS SOFTWARE."""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY <<var words=1-12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL <<var words=1-12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of
+this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for
+the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an
+overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+_APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at <<var words=4-8>> Unless required by applicable law or agreed to
+in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF
+ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under
+the License."""
+_GNU_NOTICE = """is free software: you can redistribute it and/or modify it under the terms of the GNU {name}
+General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your
+option) any later version. <<var words=2-6>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public
+License for more details."""
+_MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at <<var words=4-6>>"""
 _BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
 following conditions are met: <<var words=0-1>> Redistributions of source code must retain the above copyright notice,
 this list of conditions and the following disclaimer. <<var words=0-1>> Redistributions in binary form must reproduce the
@@ -62,10 +99,17 @@ TEMPLATES = [
     ("gpl-3.0", "<<optional>>licensed under the<</optional>> GNU General Public License <<optional>>as published by the Free Software Foundation either<</optional>> version 3"),
     ("mit", "<<optional>>Released under<</optional>> the MIT License"),
     ("mit", "<<optional>>The MIT License<</optional>> <<optional>>Copyright <<var words=1-12>><</optional>> " + _MIT_BODY),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("bsd-3-clause", _BSD_HEAD + " <<var words=0-1>> Neither the name of <<var words=1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("bsd-2-clause", _BSD_HEAD + ' THIS SOFTWARE IS PROVIDED BY <<var words=1-12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("isc", _ISC_BODY),
+    ("bsd-3-clause", _BSD_HEAD + " <<var words=0-1>> Neither the name of <<var words=1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_TAIL),
+    ("bsd-2-clause", _BSD_HEAD + " " + _BSD_TAIL),
+    ("unlicense", _UNLICENSE),
+    ("apache-2.0-notice", _APACHE_NOTICE),
+    ("gpl-2.0-notice", _GNU_NOTICE.format(name="", version="2")),
+    ("gpl-3.0-notice", _GNU_NOTICE.format(name="", version="3")),
+    ("lgpl-2.1-notice", _GNU_NOTICE.format(name="Lesser", version="2.1")),
+    ("lgpl-3.0-notice", _GNU_NOTICE.format(name="Lesser", version="3")),
+    ("agpl-3.0-notice", _GNU_NOTICE.format(name="Affero", version="3")),
+    ("mpl-2.0-notice", _MPL_NOTICE),
 ]
 
 
@@ -221,7 +265,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, n_matches.
 
     score: 1 where a template matches; else, where a phrase stands, at least a half, or the largest
-    share of a template's mandatory words met; else half that share."""
+    share of a template's mandatory words met from its beginning on; else half that share. Shares are
+    taken of templates whose two longest mandatory words stand anywhere in the text: of others they count
+    as none, as they can't match."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_matches"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64()]

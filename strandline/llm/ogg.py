@@ -9,8 +9,10 @@ serial numbers and turns granule positions into seconds by the sample rate of th
 A payload is 8-bit mono samples in an OggPCM stream (frames of 576 samples, one a packet); a second
 logical stream holds the byte length before padding. Everything is a function of the text alone.
 
-Defined results: null text counts as empty and gives one frame of padding; a damaged page raises
-``OggError`` with its place; repeated rows repeat their results; other columns are ignored.
+Defined results: null text counts as empty and gives one frame of padding; a container that does not
+verify keeps its row, with nulls and the place of the damage in ``error`` (``read`` itself raises
+``OggError``); a null container likewise; texts are stored whole, however long; repeated rows repeat their
+results; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,7 +90,8 @@ def write(streams: list[tuple[int, list[bytes], list[int]]]) -> bytes:
 
 
 def read(media: bytes) -> dict[int, dict]:
-    """serial to {packets, granules (of the packet's page, -1 while none is known), pages}."""
+    """serial to {packets, granules (a page's position for the last packet that ends on it, -1 for the
+    others), pages}."""
     streams: dict[int, dict] = {}
     at, view = 0, memoryview(media)
     while at < len(media):
@@ -113,10 +116,10 @@ def read(media: bytes) -> dict[int, dict]:
         closes = np.flatnonzero(sizes < 255)
         cuts = np.cumsum(sizes, dtype=np.int64)[closes].tolist()
         body = bytes(view[begin + n : end])
-        start = 0
+        start, whole = 0, len(s["packets"])
         for cut in cuts:
             s["packets"].append(s["open"] + body[start:cut])
-            s["granules"].append(granule)
+            s["granules"].append(granule if cut == cuts[-1] and len(s["packets"]) == whole + len(cuts) else -1)
             s["open"], start = b"", cut
         s["open"] += body[start:]
         s["pages"] += 1
@@ -128,6 +131,20 @@ def read(media: bytes) -> dict[int, dict]:
     return streams
 
 
+def timestamps(granules: list[int], samples: list[int], rate: int) -> list[tuple[float, float]]:
+    """Begin and end in seconds of each packet of a stream: a page's granule position is the end of the last
+    packet that it closes; from there the packets' samples are counted back, and on where no later
+    position is known."""
+    ends: list[int | None] = [g if g >= 0 else None for g in granules]
+    for k in range(len(ends) - 2, -1, -1):
+        if ends[k] is None and ends[k + 1] is not None:
+            ends[k] = ends[k + 1] - samples[k + 1]
+    for k in range(len(ends)):
+        if ends[k] is None:
+            ends[k] = (ends[k - 1] if k else 0) + samples[k]
+    return [((e - n) / rate, e / rate) for e, n in zip(ends, samples, strict=True)]
+
+
 def pack(payload: bytes, n_bytes: int, rate: int = RATE) -> bytes:
     """The container of a payload (a multiple of FRAME bytes)."""
     head = struct.pack(">8sHHIIBBHI", b"PCM     ", 0, 0, 1, rate, 0, 1, FRAME, 0)
@@ -181,21 +198,52 @@ def features(payload: bytes, facts: dict) -> str:
 
 def load(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
-    seconds, n_pages: what the containers hold, read back and verified."""
+    seconds, n_pages, error: what the containers hold, read back and verified."""
     kind = media.schema[id_col].dataType.simpleString()
-    names = ["__id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "n_pages"]
-    kinds = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64()]
+    names = ["i", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "n_pages", "error"]
+    kinds = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.string()]
+
+    def facts_of(data: bytes | None) -> tuple:
+        if data is None:
+            return (*[None] * 9, "no container")
+        stored = len(data), hashlib.sha256(data).hexdigest()
+        try:
+            payload, n, facts = unpack(data)
+        except (ValueError, KeyError, IndexError, struct.error) as e:
+            return (*[None] * 4, *stored, *[None] * 3, str(e) or type(e).__name__)
+        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, features(payload, facts), facts["seconds"], facts["pages"], None
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for data in batch.column(1).to_pylist():
-                payload, n, facts = unpack(data)
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), features(payload, facts), facts["seconds"], facts["pages"]))
-            columns = zip(*rows, strict=True)
+            columns = zip(*map(facts_of, batch.column(1).to_pylist()), strict=True)
             return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True)]], names)
 
         return one
 
-    out = map_rows(media.select(media[id_col], media_col), make, f"__id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, n_pages long")
-    return out.withColumnRenamed("__id", id_col)
+    out = map_rows(media.select(media[id_col], media_col), make, f"i {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, n_pages long, error string")
+    return out.withColumnRenamed("i", id_col)
+
+
+def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """id_col, stream (serial number), packet (from 0), n_bytes, begin and end (seconds): the packets after
+    the header of each 8-bit stream. Containers that do not verify have none."""
+    kind = media.schema[id_col].dataType.simpleString()
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for k, data in enumerate(batch.column(1).to_pylist()):
+                try:
+                    stream = read(data or b"")[PCM_SERIAL]
+                    rate = struct.unpack_from(">I", stream["packets"][0], 16)[0]
+                except (ValueError, KeyError, IndexError, struct.error):
+                    continue
+                sizes = [len(x) for x in stream["packets"][1:]]
+                out += [(k, PCM_SERIAL, i, n, *t) for i, (n, t) in enumerate(zip(sizes, timestamps(stream["granules"][1:], sizes, rate), strict=True))]
+            rows = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), *[pa.array(c, t) for c, t in zip(rows[1:], kinds, strict=True)]], ["i", "stream", "packet", "n_bytes", "begin", "end"])
+
+        return one
+
+    return map_rows(media.select(media[id_col], media_col), make, f"i {kind}, stream long, packet long, n_bytes long, begin double, end double").withColumnRenamed("i", id_col)

@@ -68,3 +68,18 @@ def test_markup():
     for wrong in ("<<optional>>x", "<<what>>x", "<<optional>>x<</optional>>"):
         with pytest.raises(ValueError):
             L.compile_template("t", wrong)
+
+
+def test_whole_texts_match_only_whole():
+    for label, text in [("isc", L._ISC_BODY), ("bsd-2-clause", L._BSD_HEAD + " " + L._BSD_TAIL), ("unlicense", L._UNLICENSE), ("apache-2.0-notice", L._APACHE_NOTICE), ("agpl-3.0-notice", L._GNU_NOTICE.format(name="Affero", version="3")), ("mit", L._MIT_BODY)]:
+        plain = text.replace("<<optional>>", "").replace("<</optional>>", "")
+        for least in range(9):
+            plain = plain.replace(f"<<var words={least}-{12 if least == 1 else {0: 1, 2: 6, 4: 8}.get(least, 0)}>>", " ".join(["acme"] * max(least, 1)))
+        plain = plain.replace("<<var words=4-6>>", "a b c d")
+        labels = L.standard().scan("intro " + plain + " outro")[5].split(",")
+        assert label in labels, (label, labels)
+        words = plain.split()
+        cut = L.standard().scan(" ".join(words[:-1]))
+        assert label not in cut[5].split(",") and cut[6] <= 1.0, label
+        wrong = L.standard().scan(" ".join([*words[:-4], "changed", *words[-3:]]))
+        assert label not in wrong[5].split(","), label

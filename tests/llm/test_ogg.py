@@ -58,3 +58,25 @@ def test_columns(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
     assert got[1][1:] == got[5][1:] and got[2][1:] == got[3][1:]
     assert ogg.load(ogg.store(df.where("false"))).collect() == []
+
+
+def test_damaged_containers_cost_only_their_rows(spark):
+    good = ogg.pack(ogg.padded(b"abc"), 3)
+    bad = bytearray(good)
+    bad[-1] ^= 1
+    rows = [(1, good), (2, bytes(bad)), (3, b""), (4, None), (5, good[:40]), (6, b"OggS")]
+    got = {r.doc_id: r for r in ogg.load(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[1].n_bytes == 3 and got[1].error is None
+    assert all(got[i].error and got[i].n_bytes is None for i in range(2, 7)) and "checksum" in got[2].error
+    assert got[2].media_bytes == len(good) and got[4].media_bytes is None
+
+
+def test_times_of_packets(spark):
+    text = "x" * 576 * 1200  # several pages, several packets on each
+    media = ogg.store(spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string"))
+    got = sorted((r.doc_id, r.packet, r.n_bytes, r.begin, r.end) for r in ogg.packets(media).collect())
+    assert got == [(1, k, 576, k * 576 / ogg.RATE, (k + 1) * 576 / ogg.RATE) for k in range(1200)] + [(2, 0, 576, 0.0, 576 / ogg.RATE)]
+
+
+def test_timestamps_count_from_known_positions():
+    assert ogg.timestamps([-1, 30, -1, 60, -1], [10, 20, 5, 25, 7], 10) == [(0.0, 1.0), (1.0, 3.0), (3.0, 3.5), (3.5, 6.0), (6.0, 6.7)]
