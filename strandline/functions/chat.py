@@ -20,7 +20,7 @@ TOP_P = rf"(?i)\btop[\s_\-]?p\b\s*(?:{LINK}\s*)*({NUMBER})"
 TOP_K = rf"(?i)\btop[\s_\-]?k\b\s*(?:{LINK}\s*)*(\d+)"
 SEED = rf"(?i)\bseed\b\s*(?:{LINK}\s*)*(\d+)"
 HELP = r"^\s*(?:help|\?+|usage|commands?|options?)\s*[!.?]*\s*$"
-HELP_PHRASES = ("what can you do", "what can i ask", "what do you do", "how do i use", "how does this work", "who are you")
+HELP_PHRASES = ("what can you do", "what can i ask", "what do you do", "how do i use", "how does this work", "who are you", "what are you", "show me the commands")
 GENERATE_VERBS = ("generate", "design", "make", "create", "produce", "propose", "suggest", "invent", "sample", "give me", "come up with")
 PREDICT_VERBS = ("predict", "estimate", "what is", "what's", "whats", "compute", "calculate")
 
@@ -42,12 +42,9 @@ def _without(text: Column, pattern: str) -> Column:
     return F.when((hit == "") | hit.isNull(), text).otherwise(F.concat(F.substring(text, F.lit(1), at - 1), F.lit(" "), F.substring(text, at + F.length(hit), F.length(text))))
 
 
-def mentions(text: Column, needles: tuple[str, ...]) -> Column:
-    low = F.lower(text)
-    out = F.lit(False)
-    for n in needles:
-        out = out | low.contains(n)
-    return out
+def one_of(phrases: tuple[str, ...]) -> str:
+    """A case-insensitive pattern of plain phrases."""
+    return "(?i)" + "|".join(rf"\Q{p}\E" for p in phrases)
 
 
 def route(df: DataFrame, message: str) -> DataFrame:
@@ -69,13 +66,13 @@ def route(df: DataFrame, message: str) -> DataFrame:
     df = df.withColumn("__r2", F.when(c("__noun").isNotNull(), _without(c("__r1"), COUNT_NOUN)).otherwise(_without(c("__r1"), COUNT_SET)))
     knobs = {"temperature": (TEMPERATURE, "double"), "top_p": (TOP_P, "double"), "top_k": (TOP_K, "long"), "seed": (SEED, "long")}
     df = df.withColumns({k: _first(c("__r2"), p).cast(t) for k, (p, t) in knobs.items()})
-    is_help = F.lower("__t").rlike(HELP) | mentions(c("__t"), HELP_PHRASES)
+    is_help = F.lower("__t").rlike(HELP) | c("__t").rlike(one_of(HELP_PHRASES))
     name = F.when(strip(c("__t")) == "", "unknown").when(is_help, "help").when(c("__s").isNotNull(), "predict").when(c("__target").isNotNull(), "generate").when(F.coalesce(*[c(k).cast("string") for k in knobs]).isNotNull(), "params").otherwise("unknown")
     df = df.withColumn("name", name)
     confidence = (
         F.when(c("name") == "help", 1.0)
-        .when(c("name") == "predict", F.when(mentions(c("__t"), PREDICT_VERBS), 0.95).otherwise(0.8))
-        .when(c("name") == "generate", F.when(mentions(c("__t"), GENERATE_VERBS), 0.95).otherwise(0.7))
+        .when(c("name") == "predict", F.when(c("__t").rlike(one_of(PREDICT_VERBS)), 0.95).otherwise(0.8))
+        .when(c("name") == "generate", F.when(c("__t").rlike(one_of(GENERATE_VERBS)), 0.95).otherwise(0.7))
         .when(c("name") == "params", 0.9)
         .otherwise(0.0)
     )

@@ -50,13 +50,14 @@ def novel(candidates: DataFrame, reference: DataFrame, key: str) -> DataFrame:
     return candidates.join(reference.select(F.col(key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "left_anti")
 
 
-def containing(candidates: DataFrame, phrases: DataFrame, text: str, phrase: str, most_phrases: int = 100_000) -> DataFrame:
-    """Candidates whose text contains one of the phrases. Up to ``most_phrases`` go to every task as an
-    Aho-Corasick automaton, which reads each text once whatever their number; more are joined by a
-    theta join, whose side Catalyst chooses."""
-    words = [r[0] for r in phrases.select(phrase).where(F.col(phrase).isNotNull()).distinct().limit(most_phrases + 1).collect()]
-    if len(words) <= most_phrases:
-        return candidates.where(contains_any(words)(F.col(text)))
+def containing(candidates: DataFrame, phrases: DataFrame, text: str, phrase: str, most_phrases: int = 100_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """Candidates whose text contains one of the phrases. Up to ``most_phrases`` of ``most_bytes`` together
+    go to every task as an Aho-Corasick automaton, which reads each text once whatever their number; more
+    are joined by a theta join, whose side Catalyst chooses."""
+    known = phrases.select(phrase).where(F.col(phrase).isNotNull()).distinct()
+    n, size = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(phrase)), F.lit(0))).first()
+    if n <= most_phrases and size <= most_bytes:
+        return candidates.where(contains_any([r[0] for r in known.collect()])(F.col(text)))
     return candidates.join(phrases.select(F.col(phrase).alias("__p")), F.col(text).contains(F.col("__p")), "left_semi")
 
 

@@ -73,17 +73,17 @@ def conformal_rank(n: Column, alpha: float) -> Column:
 def conformal_quantile(residuals: DataFrame, r: str, alpha: float, by: list[str] | None = None) -> DataFrame:
     """k-th smallest residual with k = ceil((n + 1)(1 - alpha)); null where k is beyond n.
 
-    Residuals are first counted by value, and the k-th is found by a running count: over partitions
-    of the given groups, or, without groups, over range-partitioned counts."""
+    Residuals are first counted by value, and the k-th is found by a running count over range-partitioned
+    counts, in the order of group and value, so that a large group has many tasks."""
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
     keys = by or []
     counts = residuals.groupBy(*keys, r).agg(F.count(F.lit(1)).alias("__c"))
     if by:
         total = residuals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("k", conformal_rank(F.col("n"), alpha))
-        w = Window.partitionBy(*keys).orderBy(r).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        upto = counts.withColumn("__upto", F.sum("__c").over(w)).join(F.broadcast(total), keys)
-        found = upto.where("__upto >= k").groupBy(*keys).agg(F.min(r).alias("quantile"))
+        upto = running_total(counts, [*keys, r], "__c", "__upto")
+        before = upto.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__c")).alias("__base"))  # what earlier groups count
+        found = upto.join(total.join(before, keys), keys).where("__upto - __base >= k").groupBy(*keys).agg(F.min(r).alias("quantile"))
         return total.join(found, keys, "left").select(*keys, "n", "k", "quantile")
     upto = running_total(counts, r, "__c", "__upto")
     total = upto.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("n")).withColumn("k", conformal_rank(F.col("n"), alpha))
@@ -91,16 +91,17 @@ def conformal_quantile(residuals: DataFrame, r: str, alpha: float, by: list[str]
     return total.crossJoin(F.broadcast(found)).select("n", "k", "quantile")
 
 
-def running_total(df: DataFrame, order: str, value: str, name: str, stretches: int | None = None) -> DataFrame:
-    """Running sum of value in the order of a column, without one task that holds all rows: rows are
+def running_total(df: DataFrame, order: str | list[str], value: str, name: str, stretches: int | None = None) -> DataFrame:
+    """Running sum of value in the order of columns, without one task that holds all rows: rows are
     range-partitioned and written with their partition's number, summed up within, and the
     partitions' totals, one row each, are carried forward."""
     n = stretches or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = materialise(df.repartitionByRange(n, order).withColumn("__s", F.spark_partition_id()), "running")
+    order = [order] if isinstance(order, str) else order
+    cut = materialise(df.repartitionByRange(n, *order).withColumn("__s", F.spark_partition_id()), "running")
     sums = cut.groupBy("__s").agg(F.sum(value).alias("__t"))
     earlier = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(F.col("__s").alias("__z"), F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__before"))
-    w = Window.partitionBy("__s").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("__s").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.withColumn("__in", F.sum(value).over(w))
     return local.join(F.broadcast(before), F.col("__s") == F.col("__z")).withColumn(name, F.col("__before") + F.col("__in")).drop("__s", "__z", "__in", "__before")
 
@@ -135,3 +136,28 @@ def diversity(df: DataFrame, value: str, by: list[str] | None = None) -> DataFra
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     out = counts.groupBy(*keys).agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("n_total"), F.count(F.lit(1)).alias("n_unique"), F.coalesce(F.max("__c"), F.lit(0)).alias("most_common_count"))
     return out.select(*keys, "n_total", "n_unique", safe_ratio(F.col("n_unique"), F.col("n_total")).alias("unique_fraction"), "most_common_count", safe_ratio(F.col("most_common_count"), F.col("n_total")).alias("most_common_fraction"))
+
+
+def nearest_of(queries: DataFrame, reference: DataFrame, key: str, vector: str, most: int = 20_000) -> DataFrame:
+    """key, nearest: the best cosine of each query with any vector of the reference, of which at most
+    ``most`` rows (by a hash of the key) are taken. They go to every task as one matrix, and batches of
+    queries are multiplied with it; a zero vector's cosines are NaN."""
+    import numpy as np
+    import pyarrow as pa
+
+    chosen = reference.orderBy(F.md5(F.concat(F.lit("sample:"), F.col(key).cast("string"))), key).limit(most).select(vector).collect()
+    kind = queries.schema[key].dataType.simpleString()
+    side = np.array([r[0] for r in chosen], np.float64).reshape(len(chosen), len(chosen[0][0]) if chosen else 0)
+    with np.errstate(all="ignore"):
+        side = (side / np.linalg.norm(side, axis=1, keepdims=True)).T
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                rows = np.array(part.column(1).to_pylist(), np.float64)
+                with np.errstate(all="ignore"):
+                    best = ((rows / np.linalg.norm(rows, axis=1, keepdims=True)) @ side).max(1) if side.size else np.full(len(rows), None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.float64())], ["key", "nearest"])
+
+    return queries.select(key, vector).mapInArrow(run, f"key {kind}, nearest double").withColumnRenamed("key", key)

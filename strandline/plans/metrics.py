@@ -217,17 +217,15 @@ def pairwise_similarity(spark, sf):
     return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("s"), 5).alias("mean_similarity"))
 
 
-NEAREST = f"SELECT a.vec_id, max({COS}) AS nearest FROM embeddings a, ({SAMPLE} LIMIT 50) b WHERE a.vec_id NOT IN (SELECT vec_id FROM ({SAMPLE} LIMIT 50)) GROUP BY a.vec_id"
+#: Vectors of the reference at most.
+REFERENCE = 20_000
+NEAREST = f"SELECT a.vec_id, max({COS}) AS nearest FROM embeddings a, (SELECT * FROM embeddings WHERE label % 2 = 0 ORDER BY md5('sample:' || vec_id), vec_id LIMIT {REFERENCE}) b WHERE a.label % 2 = 1 GROUP BY a.vec_id"
 
 
 def _nearest(spark, sf):
-    """Best similarity of every other vector to a reference of fifty sampled ones, broadcast as one array."""
-    sample = _sample(spark, sf, 50)
-    ref = sample.agg(F.collect_list("embedding").alias("refs"))
-    rows = table(spark, sf, "embeddings").select("vec_id", "embedding").join(F.broadcast(sample.select("vec_id")), "vec_id", "left_anti").crossJoin(F.broadcast(ref))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    dot = lambda r: F.aggregate(F.zip_with("embedding", r, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return rows.select("vec_id", F.array_max(F.transform("refs", lambda r: dot(r) / (norm(F.col("embedding")) * norm(r)))).alias("nearest"))
+    """Best similarity of the vectors of odd labels to those of even ones."""
+    vectors = table(spark, sf, "embeddings")
+    return M.nearest_of(vectors.where("label % 2 = 1"), vectors.where("label % 2 = 0"), "vec_id", "embedding", REFERENCE)
 
 
 @query(f"SELECT vec_id, round(nearest, 5) AS nearest FROM ({NEAREST})")
@@ -235,11 +233,11 @@ def nearest_reference(spark, sf):
     return _nearest(spark, sf).select("vec_id", F.round("nearest", 5).alias("nearest"))
 
 
-@query(f"WITH s AS (SELECT nearest, row_number() OVER (ORDER BY nearest) AS i, count(*) OVER () AS n FROM ({NEAREST})) SELECT round(avg(nearest), 5) AS mean, round(max(nearest) FILTER (i = round_even(0.9 * (n - 1), 0) + 1), 5) AS p90, round(avg((nearest >= 0.3)::INT), 6) AS near_copy_fraction FROM s")
+@query(f"WITH s AS (SELECT nearest, row_number() OVER (ORDER BY nearest) AS i, count(*) OVER () AS n FROM ({NEAREST})) SELECT round(avg(nearest), 5) AS mean, round(max(nearest) FILTER (i = round_even(0.9 * (n - 1), 0) + 1), 5) AS p90, round(avg((nearest >= 0.9)::INT), 6) AS near_copy_fraction FROM s")
 def drift_stats(spark, sf):
     """Mean, nearest-rank 90 % point and share of near copies of the similarities."""
     rows = _nearest(spark, sf).where(is_finite(F.col("nearest")))
-    one = rows.agg(F.round(F.avg("nearest"), 5).alias("mean"), F.round(F.avg((F.col("nearest") >= 0.3).cast("int")), 6).alias("near_copy_fraction"))
+    one = rows.agg(F.round(F.avg("nearest"), 5).alias("mean"), F.round(F.avg((F.col("nearest") >= 0.9).cast("int")), 6).alias("near_copy_fraction"))
     p90 = M.nearest_rank(rows, "nearest", 0.9).select(F.round("value", 5).alias("p90"))
     return one.crossJoin(F.broadcast(p90)).select("mean", "p90", "near_copy_fraction")
 

@@ -66,7 +66,7 @@ def test_target_reward(spark):
     "message,name,confidence,target",
     [
         ("generate 20 polymers with Tg near 450 K", "generate", 0.95, 450.0), ("predict Tg for [*]CCO[*]", "predict", 0.95, None), ("use temperature 0.9 and top_p 0.95", "params", 0.9, None),
-        ("Help!", "help", 1.0, None), ("hello", "unknown", 0.0, None), (None, "unknown", 0.0, None), ("around 100 celsius", "generate", 0.7, 373.15), ("glass transition temperature of 500", "generate", 0.7, 500.0),
+        ("Help!", "help", 1.0, None), ("So, what are you?", "help", 1.0, None), ("Show me the commands", "help", 1.0, None), ("hello", "unknown", 0.0, None), (None, "unknown", 0.0, None), ("around 100 celsius", "generate", 0.7, 373.15), ("glass transition temperature of 500", "generate", 0.7, 500.0),
     ],
 )
 def test_chat_router(spark, message, name, confidence, target):

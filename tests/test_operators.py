@@ -229,3 +229,42 @@ def test_interleave(spark):
 
     a, b = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "x long"), spark.createDataFrame([(10,), (20,)], "x long")
     assert [(r.loader, r.item) for r in interleave(a, b, "x").collect()] == [("a", 1), ("b", 10), ("a", 2), ("b", 20), ("a", 3), ("b", 10), ("a", 4), ("b", 20), ("a", 5), ("b", 10)]
+
+
+def test_conformal_quantile_of_groups_by_ranges(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(g, round(rng.random(), 2)) for g, n in (("a", 400), ("b", 7), ("c", 60), (None, 5)) for _ in range(n)]
+    got = {r.g: (r.n, r.quantile) for r in M.conformal_quantile(spark.createDataFrame(rows, "g string, r double"), "r", 0.2, ["g"]).collect() if r.g}
+    for g in "abc":
+        own = sorted(x for y, x in rows if y == g)
+        k = -(-(len(own) + 1) * 8 // 10)
+        assert got[g] == (len(own), own[k - 1])
+
+
+def test_bootstrap_blocks_are_poisson_means(spark):
+    import numpy as np
+
+    values = np.random.default_rng(1).random(3000)
+    df = spark.createDataFrame([("ab"[i % 2], i, float(v)) for i, v in enumerate(values)], "arm string, k long, v double")
+    one, two = (sorted(map(tuple, K.bootstrap_blocks(x, "arm", F.col("k"), F.col("v"), 300).collect())) for x in (df, df.repartition(5)))
+    assert len(one) == 600 and np.allclose([r[2] for r in one], [r[2] for r in two])
+    for j, arm in enumerate("ab"):
+        own, means = values[j::2], np.array([r[2] for r in one if r[0] == arm])
+        assert abs(means.mean() - own.mean()) < 4 * own.std() / np.sqrt(len(own)) / np.sqrt(300)
+        assert 0.8 < means.std() / (own.std() / np.sqrt(len(own))) < 1.2
+
+
+def test_nearest_of_equals_all_pairs(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(40, 6))
+    x[5] = 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    q, ref = (spark.createDataFrame(part, "i long, v array<float>") for part in (rows[:15], rows[15:]))
+    unit = x.astype(np.float32).astype(float)
+    want = {i: max(unit[i] @ unit[j] / np.linalg.norm(unit[i]) / np.linalg.norm(unit[j]) for j in range(15, 40)) for i in range(15) if i != 5}
+    got = {r.i: r.nearest for r in M.nearest_of(q, ref, "i", "v").collect()}
+    assert all(abs(got[i] - w) < 1e-9 for i, w in want.items()) and len(got) == 15
+    assert [r.nearest for r in M.nearest_of(q, ref.where("false"), "i", "v").collect()] == [None] * 15
