@@ -154,19 +154,19 @@ def conformal_coverage(spark, sf):
     return got.select("l_returnflag", "n", "hits", F.round(p, 6).alias("coverage"), F.round(2 * F.col("q"), 4).alias("width"), F.round(F.greatest(F.lit(0.0), p - wald), 6).alias("ci_low"), F.round(F.least(F.lit(1.0), p + wald), 6).alias("ci_high"))
 
 
-@query(f"""WITH {PAIRS}, r AS (SELECT l_partkey, avg(abs(pred - target)) AS r FROM p WHERE pred IS NOT NULL GROUP BY 1), s AS (SELECT r.*, t AS rep, md5('rep' || t || ':' || l_partkey) < '8' AS cal FROM r, (SELECT unnest(range(0, 20)) AS t)),
+@query(f"""WITH {PAIRS}, r AS (SELECT l_partkey, avg(abs(pred - target)) AS r FROM p WHERE pred IS NOT NULL GROUP BY 1), s AS (SELECT r.*, t AS rep, md5('rep' || t || ':' || l_partkey) < '8' AS cal FROM r, (SELECT unnest(range(0, 200)) AS t)),
     n AS (SELECT rep, ceil((count(*) + 1) * 0.9 - 1e-9)::BIGINT AS k FROM s WHERE cal GROUP BY rep), o AS (SELECT rep, r, row_number() OVER (PARTITION BY rep ORDER BY r) AS i FROM s WHERE cal), q AS (SELECT rep, r AS q FROM o JOIN n USING (rep) WHERE i = k),
     c AS (SELECT rep, avg((r <= q)::INT) AS coverage, any_value(q) AS q FROM s JOIN q USING (rep) WHERE NOT cal GROUP BY rep), w AS (SELECT coverage, row_number() OVER (ORDER BY coverage) AS i, q FROM c)
-    SELECT count(*) AS n_repeats, round(avg(coverage), 6) AS mean_coverage, round(avg(q), 3) AS mean_half_width, round(max(coverage) FILTER (i = 2), 6) AS p05, round(max(coverage) FILTER (i = 19), 6) AS p95 FROM w""")
+    SELECT count(*) AS n_repeats, round(avg(coverage), 6) AS mean_coverage, round(avg(q), 3) AS mean_half_width, round(max(coverage) FILTER (i = 11), 6) AS p05, round(max(coverage) FILTER (i = 190), 6) AS p95 FROM w""")
 def conformal_repeated(spark, sf):
-    """Twenty random calibration halves of the parts' mean residuals."""
+    """Two hundred random calibration halves of the parts' mean residuals."""
     units = _residuals(spark, sf).groupBy("l_partkey").agg(F.avg("r").alias("r"))
-    rows = materialise(units, "residuals").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    rows = materialise(units, "residuals").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199))))
     rows = rows.withColumn("cal", F.md5(F.concat(F.lit("rep"), F.col("rep").cast("string"), F.lit(":"), F.col("l_partkey").cast("string"))) < "8")
     q = M.conformal_quantile(rows.where("cal"), "r", 0.1, ["rep"]).select("rep", F.col("quantile").alias("q")).where("q IS NOT NULL")
     c = rows.where("NOT cal").join(F.broadcast(q), "rep").groupBy("rep").agg(F.avg((F.col("r") <= F.col("q")).cast("int")).alias("coverage"), F.first("q").alias("q"))
     s = F.sort_array(F.collect_list("coverage"))
-    return c.agg(F.count(F.lit(1)).alias("n_repeats"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.round(F.avg("q"), 3).alias("mean_half_width"), F.round(F.try_element_at(s, F.lit(2)), 6).alias("p05"), F.round(F.try_element_at(s, F.lit(19)), 6).alias("p95"))
+    return c.agg(F.count(F.lit(1)).alias("n_repeats"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.round(F.avg("q"), 3).alias("mean_half_width"), F.round(F.try_element_at(s, F.lit(11)), 6).alias("p05"), F.round(F.try_element_at(s, F.lit(190)), 6).alias("p95"))
 
 
 @query(f"WITH {PAIRS} SELECT round(covar_pop(target, pred) / var_pop(target) FILTER (pred IS NOT NULL), 6) AS slope, round(avg(pred) - covar_pop(target, pred) / var_pop(target) FILTER (pred IS NOT NULL) * (avg(target) FILTER (pred IS NOT NULL)), 3) AS intercept, round(greatest(150, least(900, avg(pred))), 3) AS prompt FROM p")
