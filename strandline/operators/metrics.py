@@ -80,10 +80,9 @@ def conformal_quantile(residuals: DataFrame, r: str, alpha: float, by: list[str]
     keys = by or []
     counts = residuals.groupBy(*keys, r).agg(F.count(F.lit(1)).alias("__c"))
     if by:
-        total = residuals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("k", conformal_rank(F.col("n"), alpha))
+        total = running_total(residuals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "n", "__to").withColumn("k", conformal_rank(F.col("n"), alpha))
         upto = running_total(counts, [*keys, r], "__c", "__upto")
-        before = upto.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__c")).alias("__base"))  # what earlier groups count
-        found = upto.join(total.join(before, keys), keys).where("__upto - __base >= k").groupBy(*keys).agg(F.min(r).alias("quantile"))
+        found = upto.join(total, keys).where("__upto - (__to - n) >= k").groupBy(*keys).agg(F.min(r).alias("quantile"))  # without earlier groups' rows
         return total.join(found, keys, "left").select(*keys, "n", "k", "quantile")
     upto = running_total(counts, r, "__c", "__upto")
     total = upto.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("n")).withColumn("k", conformal_rank(F.col("n"), alpha))
