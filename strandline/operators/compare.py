@@ -102,6 +102,11 @@ def across_seeds(rows: DataFrame, arm: str, delta: str, margin: float) -> DataFr
     return g.select(arm, mean_beats.alias("mean_beats"), unanimous.alias("unanimous"), F.when(mean_beats.isNotNull() & unanimous.isNotNull(), mean_beats & unanimous).alias("combined"))
 
 
+def unanimous(rows: DataFrame, arm: str, delta: str, margin: float) -> DataFrame:
+    """arm, unanimous: whether every measured delta reaches the margin; null without a measured one."""
+    return rows.groupBy(arm).agg(F.bool_and(F.when(F.col(delta).isNotNull(), F.col(delta) >= margin)).alias("unanimous"))
+
+
 def ablation(means: DataFrame, arm: str, value: str, base_mean: float, base_std: float) -> DataFrame:
     """delta and verdict: helps below mean - std (errors: less is better), hurts above mean + std."""
     if base_std <= 0:

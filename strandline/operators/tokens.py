@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import md5_unit
+
 PAD, EOS, UNK = 0, 1, 2
 
 
@@ -97,36 +98,35 @@ def reconstruct(inputs: Column, labels: Column, sentinel: int, least: int) -> Co
     return F.flatten(F.transform(inputs, lambda x: F.when(x.between(least, sentinel), span(x)).otherwise(F.array(x))))
 
 
-def draw_spans(n: int, rng: np.random.Generator, ratio: float = 0.15, longest: int = 3, most: int = 8, protect: int = 1) -> list[tuple[int, int]]:
-    """Random spans over a row of n tokens whose last ``protect`` are safe: lengths 1 .. longest up
-    to the budget, placed with a gap of one at least."""
-    free = n - protect
-    budget = min(most * longest, int(ratio * free + 1e-9))
-    if budget < 1:
-        return []
-    lengths: list[int] = []
-    while sum(lengths) < budget and len(lengths) < most:
-        lengths.append(min(int(rng.integers(1, longest + 1)), budget - sum(lengths)))
-    while lengths and free - sum(lengths) < len(lengths) - 1:
-        lengths.pop()
-    slack = free - sum(lengths) - (len(lengths) - 1)
-    marks = np.sort(rng.integers(0, slack + 1, len(lengths)))
-    out, used = [], 0
-    for m, length in zip(marks.tolist(), lengths, strict=True):
-        out.append((m + used, length))
-        used += length + 1
-    return out
-
-
-def random_spans(seed: int):
-    """A pandas UDF of (row key, length): spans drawn by a generator seeded with seed and key, so a
-    row's spans do not depend on its partition."""
-
-    @F.pandas_udf("array<struct<start:int,len:int>>")
-    def draw(key: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "len": b} for a, b in draw_spans(int(m), np.random.default_rng([seed, int(k)]))] for k, m in zip(key, n, strict=True)])
-
-    return draw
+def hashed_spans(df: DataFrame, key: str, ids: str, seed: int, ratio: float = 0.15, longest: int = 3, most: int = 8, protect: int = 1) -> DataFrame:
+    """df with ``spans`` (array of struct<start, len>): random spans over a row's tokens, of which the
+    last ``protect`` are safe. Lengths from 1 to longest are drawn up to the budget (a share of the free
+    tokens, most * longest at most) and placed with a gap of one at least. Draws are MD5s of seed and
+    row key, so spans depend on no partition."""
+
+    def draw(tag: str, k: Column) -> Column:
+        return md5_unit(F.concat(F.lit(f"{seed}:{tag}:"), F.col(key).cast("string"), F.lit(":"), k.cast("string")))
+
+    def upto(k: Column) -> Column:
+        return F.aggregate(F.slice("__drawn", F.lit(1), k), F.lit(0), lambda x, y: x + y)
+
+    def span(k: Column) -> Column:
+        return F.struct((F.element_at("__marks", k + 1) + upto(k) + k).cast("int").alias("start"), F.element_at("__drawn", k + 1).alias("len"))
+
+    def counting(n: Column) -> Column:
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    free = F.size(ids) - protect
+    budget = F.greatest(F.lit(0), F.least(F.lit(most * longest), F.floor(F.lit(ratio) * free + 1e-9).cast("int")))
+    k = F.sequence(F.lit(0), F.lit(most - 1))
+    rows = df.withColumn("__drawn", F.transform(k, lambda i: F.floor(draw("length", i) * longest).cast("int") + 1)).withColumn("__budget", budget)
+    within = F.filter(F.transform(k, lambda i: F.least(F.element_at("__drawn", i + 1), F.col("__budget") - upto(i))), lambda x: x > 0)
+    rows = rows.withColumn("__drawn", within)
+    rows = rows.withColumn("__drawn", F.filter("__drawn", lambda x, i: upto(i + 1) + i <= free))
+    n = F.size("__drawn")
+    slack = free - upto(n) - (n - 1)
+    rows = rows.withColumn("__marks", F.sort_array(F.transform(counting(n), lambda i: F.floor(draw("place", i) * (slack + 1)).cast("int"))))
+    return rows.withColumn("spans", F.transform(counting(n), span)).drop("__drawn", "__budget", "__marks")
 
 
 def longest_match(plain: list[str], brackets: list[str], unk: str = "<unk>"):

@@ -3,6 +3,7 @@ seeds."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -11,8 +12,9 @@ from ..operators import compare as K
 from ..operators import loaders as L
 from ..operators import metrics as M
 from ..registry import query, table
-from ..sources.scratch import materialise
+from ..sources.scratch import materialise, scratch
 from . import sql as Q
+from .corpus import COUNTS, SCREENED, _screened
 from .metrics import PAIRS, REPORT, _pairs, _rounded
 
 REPEATS = 40
@@ -74,6 +76,29 @@ def across_seed(spark, sf):
     return K.across_seeds(d, "arm", "d", 0.0)
 
 
+@query(f"WITH {MARGIN} SELECT arm, CASE WHEN k > 0 THEN least >= -0.001 END AS unanimous FROM g")
+def unanimous(spark, sf):
+    """Whether every measured seed reaches the margin by itself; unknown without a measured seed."""
+    s = _seeds(spark, sf)
+    d = s.crossJoin(F.broadcast(s.agg(F.avg("m").alias("b")))).select("arm", F.when(~((F.col("arm") == "NF") & (F.col("seed") == 1)), F.col("m") - F.col("b")).alias("d"))
+    return K.unanimous(d, "arm", "d", -0.001)
+
+
+@query(f"""WITH {SEEDS}, g AS (SELECT arm, count(m) AS n, string_agg(seed, ',' ORDER BY seed) AS seeds, avg(m) AS mean, stddev_samp(m) AS std, min(m) >= 0.0498 AS every FROM s GROUP BY arm)
+    SELECT 0::BIGINT AS pos, '| arm | n_seeds | seeds | mean | spread | unanimous |' AS line UNION ALL SELECT 1, '|---:|---:|---:|---:|---:|---:|'
+    UNION ALL SELECT row_number() OVER (ORDER BY arm) + 1, '| ' || arm || ' | ' || n || ' | ' || seeds || ' | ' || printf('%.4f', mean) || ' | ' || CASE WHEN n > 1 THEN printf('%.4f', std) ELSE '1 seed' END || ' | ' || CASE WHEN every THEN 'yes' ELSE 'no' END || ' |' FROM g""")
+def seed_summary_md(spark, sf):
+    """A table's lines, a row an arm; the spread of one seed is said in words, never zero."""
+    s = _seeds(spark, sf)
+    every = K.unanimous(s.withColumn("d", F.col("m") - 0.0498), "arm", "d", 0.0)
+    rows = K.seed_aggregate(s, "arm", "seed", "m").join(every, "arm")
+    spread = F.when(F.col("n_seeds") > 1, _cell(F.col("std"), "double")).otherwise("1 seed")
+    cells = [F.col("arm"), F.col("n_seeds").cast("string"), F.col("seeds"), _cell(F.col("mean"), "double"), spread, _cell(F.col("unanimous"), "boolean")]
+    body = rows.select((F.row_number().over(Window.orderBy("arm")) + 1).cast("long").alias("pos"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    head = ["arm", "n_seeds", "seeds", "mean", "spread", "unanimous"]
+    return spark.createDataFrame([(0, f"| {' | '.join(head)} |"), (1, f"|{'---:|' * len(head)}")], "pos long, line string").unionByName(body)
+
+
 ARMS = "a AS (SELECT l_returnflag || l_linestatus AS arm, avg(l_discount) AS m FROM lineitem GROUP BY 1 UNION ALL SELECT 'A9', NULL)"
 
 
@@ -147,6 +172,49 @@ def matrix_md(spark, sf):
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
+@query(f"WITH {ARMS} SELECT 'arm,m,above' AS line UNION ALL SELECT arm || ',' || coalesce(printf('%.6f', m), '') || ',' || coalesce(CASE WHEN m > 0.05 THEN 'true' ELSE 'false' END, '') FROM a WHERE m IS NOT NULL UNION ALL SELECT arm || ',,' FROM a WHERE m IS NULL")
+def matrix_csv(spark, sf):
+    """The matrix written as CSV in a fixed order of columns and read back as lines; unmeasured is empty."""
+    path = scratch(spark, "matrix")
+    rows = _arms(spark, sf).select("arm", F.format_string("%.6f", "m").alias("m"), (F.col("m") > 0.05).alias("above"))
+    rows = rows.withColumn("m", F.when(F.col("above").isNotNull(), F.col("m")))
+    rows.coalesce(1).write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def _lines(one, rows):
+    """A record's rows as fixed-width lines: (label, width, format, expression) each."""
+    said = [F.concat(F.rpad(F.lit(label), width, " "), F.format_string(form, value)) for label, width, form, value in rows]
+    return one.select(F.posexplode(F.array(*said)).alias("pos", "line")).select(F.col("pos").cast("long").alias("pos"), "line")
+
+
+def _lines_sql(rows):
+    return " UNION ALL ".join(f"SELECT {i}::BIGINT AS pos, rpad('{label}', {width}, ' ') || printf('{form}', {value}) AS line FROM one" for i, (label, width, form, value) in enumerate(rows))
+
+
+CASCADE_LINES = [("generated", 26, "%10d", "n_input")] + [(label, 26, "%9.1f%%", f"{n}_rate * 100") for n, label in (("sv", "SV   valid structures"), ("tsd", "TSD  not in training"), ("dd", "DD   unique in batch"), ("pv", "PV   structural rule"))]
+CASCADE_COUNTS = [(label, 26, "%10d", f"n_{n}") for n, label in (("sv", "SV   count"), ("tsd", "TSD  count"), ("dd", "DD   count"), ("pv", "PV   count"))]
+
+
+@query(f"WITH {SCREENED}, one AS (SELECT {COUNTS} FROM s) {_lines_sql(CASCADE_LINES + CASCADE_COUNTS)}")
+def console_summary(spark, sf):
+    """The cascade as fixed-width lines: each stage's share of the raw batch, then its count."""
+    from ..operators import screen as S
+
+    rows = [(label, width, form, F.expr(value)) for label, width, form, value in CASCADE_LINES + CASCADE_COUNTS]
+    return _lines(S.cascade_counts(_screened(spark, sf)), rows)
+
+
+CONDITIONING = [("scored candidates", 34, "%10d", "n_valid"), ("no prediction (skipped)", 34, "%10d", "n_non_numeric"), ("MAE vs own target", 34, "%10.1f K", "mae"), ("RMSE", 34, "%10.1f K", "rmse")]
+
+
+@query(f"WITH {PAIRS}, one AS (SELECT {REPORT} FROM p) {_lines_sql(CONDITIONING)}")
+def conditioning_text(spark, sf):
+    """Errors against each row's own target as fixed-width lines."""
+    report = _rounded(M.regression_report(_pairs(spark, sf), F.col("target"), F.col("pred")))
+    return _lines(report, [(label, width, form, F.expr(value)) for label, width, form, value in CONDITIONING])
+
+
 @query(f"WITH {ARMS} SELECT rpad(arm, 8, ' ') || lpad(CASE WHEN m IS NULL THEN 'n/a' ELSE printf('%.4f', m) END, 10, ' ') AS line FROM a")
 def ablation_text(spark, sf):
     """Fixed-width lines."""

@@ -16,9 +16,9 @@ from ..sources import adopt, sinks
 from ..sources.scratch import scratch
 from ..streaming import jobs
 from . import sql as Q
-from .compare import ARMS, _arms
+from .compare import ARMS, GRID, _arms, _grid
 from .corpus import COUNTS, SCREENED, _screened
-from .tokens import CORRUPT, ENC, FORCED, PADDED, _corrupted, _encoded, _joined, _randomly_corrupted
+from .tokens import CORRUPT, ENC, FORCED, PADDED, RANDOM, _corrupted, _encoded, _joined, _randomly_corrupted
 
 
 # -- sinks: written to the shared folder and read back
@@ -73,21 +73,33 @@ def append_result(spark, sf):
     return spark.read.schema("run int, score int").json(path)
 
 
-@query()
+def _stored(spark, sf, name, key, value):
+    """A table's column as the lines of one text file."""
+    path = scratch(spark, name)
+    table(spark, sf, name).orderBy(key).coalesce(1).select(value).write.text(path)
+    return path
+
+
+FILES = "f AS (SELECT string_agg(n_name || chr(10), '' ORDER BY n_nationkey) AS t FROM nation UNION ALL SELECT string_agg(r_name || chr(10), '' ORDER BY r_regionkey) FROM region)"
+
+
+@query(f"WITH {FILES} SELECT strlen(t)::BIGINT AS bytes, sha256(t) AS sha256 FROM f")
 def fetch_or_adopt(spark, sf):
-    """Digests of files that are there."""
-    return adopt.file_digests(spark, [f"{sf}/region.parquet", f"{sf}/nation.parquet"])
+    """Sizes and digests of files that are there."""
+    return adopt.file_digests(spark, [_stored(spark, sf, "nation", "n_nationkey", "n_name"), _stored(spark, sf, "region", "r_regionkey", "r_name")]).select("bytes", "sha256")
 
 
-@query()
+@query("SELECT sha256(string_agg(r_name || chr(10), '' ORDER BY r_regionkey)) AS sha256 FROM region")
 def config_hash(spark, sf):
-    return adopt.file_digests(spark, [f"{sf}/region.parquet"]).select("sha256")
+    return adopt.file_digests(spark, [_stored(spark, sf, "region", "r_regionkey", "r_name")]).select("sha256")
 
 
-@query()
+@query("SELECT 'run --rows ' || count(*) AS argv, true AS has_version, true AS has_time FROM region")
 def manifest(spark, sf):
-    m = adopt.manifest(spark, ["run", sf])
-    return spark.createDataFrame([(m["spark"], " ".join(m["argv"]), m["started_utc"])], "spark string, argv string, started_utc string")
+    """A run's record: its arguments, the engine's version, the time in UTC."""
+    m = adopt.manifest(spark, ["run", "--rows", str(table(spark, sf, "region").count())])
+    row = spark.createDataFrame([(" ".join(m["argv"]), m["spark"], m["started_utc"])], "argv string, version string, started string")
+    return row.select("argv", (F.col("version") == F.split(F.version(), " ")[0]).alias("has_version"), F.col("started").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d.*\+00:00$").alias("has_time"))
 
 
 @query(f"WITH {ARMS} SELECT '| ' || arm || ' | ' || CASE WHEN m IS NULL THEN 'n/a' ELSE printf('%.4f', m) END || ' |' AS line, row_number() OVER (ORDER BY m DESC NULLS LAST, arm) AS pos FROM a")
@@ -188,7 +200,8 @@ def collate_seq2seq(spark, sf):
     return both.select("row_id", "batch", _joined(F.col("s")).alias("ids"), _joined(F.col("t")).alias("labels"))
 
 
-@query()
+@query(f"""WITH {RANDOM}, w AS (SELECT row_id // 800 AS batch, (ceil(max(len(inputs)) / 8) * 8)::BIGINT AS width FROM x GROUP BY 1)
+    SELECT row_id, batch, array_to_string(list_resize(inputs, width, 0), ' ') AS ids, array_to_string(list_transform(range(1, width + 1), lambda i: (i <= len(inputs))::INT), ' ') AS mask, array_to_string(list_resize(labels, 64, -100), ' ') AS labels FROM x JOIN w ON row_id // 800 = batch""")
 def collate_pretrain(spark, sf):
     """Corrupted rows, padded to their batch's width; labels padded with the ignored label."""
     rows = _randomly_corrupted(spark, sf).withColumn("batch", F.floor(F.col("row_id") / 800))
@@ -292,15 +305,12 @@ def generation_check(spark, sf):
     return rates.select("lang", regression_check(F.col("pv_rate") - 0.3, 0.05).alias("said"))
 
 
-@query()
+@query(f"SELECT n_nationkey AS most, forced, n, n <= n_nationkey OR forced AS passed FROM nation, (SELECT count(*) AS n FROM {GRID}), (VALUES (false), (true)) v(forced)")
 def sweep_guard(spark, sf):
-    """Grids beyond a limit are refused unless forced: whether this one (18 points) passes at 20."""
-    from .compare import _grid
-
-    n = _grid(spark).count()
-    if n > 20:
-        raise ValueError(f"the grid has {n} points")
-    return spark.createDataFrame([(n, True)], "n long, passed boolean")
+    """Grids with more points than a limit are refused unless forced."""
+    n = F.broadcast(_grid(spark).agg(F.count(F.lit(1)).alias("n")))
+    asked = table(spark, sf, "nation").select(F.col("n_nationkey").alias("most"), F.explode(F.array(F.lit(False), F.lit(True))).alias("forced"))
+    return asked.crossJoin(n).select("most", "forced", "n", ((F.col("n") <= F.col("most")) | F.col("forced")).alias("passed"))
 
 
 @query("SELECT n_nationkey AS log, 'metrics.20240101' || CASE WHEN n_nationkey > 0 THEN '.' || n_nationkey ELSE '' END || '.jsonl' AS archived FROM nation WHERE n_nationkey < 3")

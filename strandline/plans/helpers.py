@@ -59,7 +59,7 @@ def seed_from_name(spark, sf):
     return runs.select("run", F.when(~F.col("run").contains("_seed"), F.concat("run", F.lit("_seed3"))).alias("built"))
 
 
-@query()
+@query("""SELECT DISTINCT substr(sha256('{"l_linenumber":' || l_linenumber || ',"l_linestatus":"' || l_linestatus || '","l_returnflag":"' || l_returnflag || '"}'), 1, 12) AS fingerprint FROM lineitem""")
 def config_fingerprint(spark, sf):
     """Twelve hex digits of the digest of a record's JSON with sorted keys."""
     rec = F.to_json(F.struct(*sorted(["l_returnflag", "l_linestatus", "l_linenumber"])))
@@ -178,6 +178,13 @@ def to_dict(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", j.alias("record"), F.from_json(j, "o_orderkey LONG")["o_orderkey"].alias("back"))
 
 
+@query("SELECT n_nationkey, n_name AS name, n_regionkey::BIGINT AS region FROM nation")
+def from_dict(spark, sf):
+    """Typed columns from JSON records; a record that is no JSON is all null."""
+    stored = table(spark, sf, "nation").select(F.to_json(F.struct("n_nationkey", F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("record"))
+    return stored.select(F.from_json("record", "n_nationkey INT, name STRING, region LONG").alias("r")).select("r.*")
+
+
 @query("SELECT l_orderkey, l_linenumber, 'discount' AS component, l_discount AS x FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'tax', l_tax FROM lineitem WHERE l_linenumber <= 3")
 def map_components(spark, sf):
     """Each row's map of components, flattened; a component that was not measured is no key."""
@@ -208,8 +215,8 @@ def config_select(spark, sf):
     return arms.join(F.broadcast(spark.createDataFrame([("a3",), ("a1",)], "arm string")), "arm", "left_semi").orderBy("i")
 
 
-@query()
+@query(f"SELECT row_id, array_to_string(list_transform(range(0, 16), lambda i: {Q.md5_long("'3:' || row_id || ':' || i")} % 400 + 10), ' ') AS ids FROM (SELECT unnest(range(0, 64)) AS row_id)")
 def synthetic_batches(spark, sf):
     """Random identifier rows for a smoke run, a function of seed and row."""
-    ids = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (F.pmod(F.xxhash64(F.lit(3), F.col("id"), i), F.lit(400)) + 10).cast("int"))
+    ids = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: X.md5_long(F.concat(F.lit("3:"), F.col("id").cast("string"), F.lit(":"), i.cast("string"))) % 400 + 10)
     return spark.range(64).select(F.col("id").alias("row_id"), F.array_join(F.transform(ids, lambda x: x.cast("string")), " ").alias("ids"))

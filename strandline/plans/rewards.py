@@ -146,6 +146,13 @@ def sa_pass(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (F.col("n_chars").isNotNull() & (F.col("n_chars") <= 3000)).alias("passes"))
 
 
+@query("SELECT doc_id, (n_chars IS NOT NULL AND n_chars <= 3000)::INT::DOUBLE AS value, n_chars::DOUBLE AS score FROM documents")
+def sa_reward(spark, sf):
+    """The threshold as a reward of its own, beside the score that it judges; no score is no reward."""
+    passes = F.col("n_chars").isNotNull() & (F.col("n_chars") <= 3000)
+    return table(spark, sf, "documents").select("doc_id", passes.cast("double").alias("value"), F.col("n_chars").cast("double").alias("score"))
+
+
 LOGITS = "SELECT user_id AS row, event_id AS token, value / 10 AS logit FROM events"
 
 

@@ -109,6 +109,12 @@ def grouping_sets(spark, sf):
     return d.groupingSets([[F.col("lang")], [F.col("source")], []], "lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT 'parts' AS counted, count(DISTINCT l_partkey) AS exact, true AS close FROM lineitem UNION ALL SELECT 'orders', count(DISTINCT l_orderkey), true FROM lineitem")
 def approx_distinct(spark, sf):
-    return table(spark, sf, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("approx_parts"), F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey")).alias("approx_orders"))
+    """Sketched numbers of distinct keys beside the exact ones: whether they are within three standard
+    errors (5 % for the first, 1.625 % for the second sketch)."""
+    lines = table(spark, sf, "lineitem")
+    sketched = lines.agg(F.approx_count_distinct("l_partkey", 0.05).alias("parts"), F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey")).alias("orders"))
+    exact = lines.agg(F.count_distinct("l_partkey").alias("n_parts"), F.count_distinct("l_orderkey").alias("n_orders"))
+    both = sketched.crossJoin(F.broadcast(exact)).selectExpr("stack(2, 'parts', parts, n_parts, 0.05D, 'orders', orders, n_orders, 0.01625D) AS (counted, estimate, exact, error)")
+    return both.select("counted", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 3 * F.col("error") * F.col("exact")).alias("close"))

@@ -250,18 +250,32 @@ def reconstruct(spark, sf):
 
 def _randomly_corrupted(spark, sf):
     rows = _encoded(spark, sf).select("row_id", T.finish(F.col("ids")).alias("ids"))
-    rows = rows.withColumn("spans", T.random_spans(13)(F.col("row_id"), F.size("ids")))
+    rows = T.hashed_spans(rows, "row_id", "ids", 13)
     inputs, labels = T.corrupt(F.col("ids"), F.col("spans"), 1032)
     return rows.select("row_id", "ids", "spans", inputs.alias("inputs"), labels.alias("labels"))
 
 
-@query()
+def _draw(tag, k):
+    return Q.md5_unit(f"'13:{tag}:' || row_id || ':' || {k}")
+
+
+#: Spans as lists of starts s and lengths n, and the corrupted rows.
+RANDOM = f"""{CORRUPT}, b AS (SELECT row_id, ids, len(ids) - 1 AS free, least(24, floor(0.15 * (len(ids) - 1) + 1e-9))::BIGINT AS budget, list_transform(range(0, 8), lambda k: floor({_draw('length', 'k')} * 3)::BIGINT + 1) AS l FROM c),
+    d AS (SELECT row_id, ids, free, list_filter(list_transform(range(0, 8), lambda k: least(l[k + 1], budget - coalesce(list_sum(l[1:k]), 0)::BIGINT)), lambda x: x > 0) AS n FROM b),
+    m AS (SELECT row_id, ids, n, list_sort(list_transform(range(0, len(n)), lambda k: floor({_draw('place', 'k')} * (free - list_sum(n)::BIGINT - len(n) + 2))::BIGINT)) AS marks FROM d),
+    s AS (SELECT row_id, ids, n, list_transform(range(0, len(n)), lambda k: marks[k + 1] + coalesce(list_sum(n[1:k]), 0)::BIGINT + k) AS s FROM m),
+    x AS (SELECT row_id, ids, n, flatten(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN list_contains(s, i - 1) THEN [1033 - list_position(s, i - 1)] WHEN len(list_filter(range(1, len(s) + 1), lambda j: i - 1 > s[j] AND i - 1 < s[j] + n[j])) > 0 THEN [] ELSE [ids[i]] END)) AS inputs,
+        CASE WHEN len(s) > 0 THEN list_concat(flatten(list_transform(range(1, len(s) + 1), lambda j: list_concat([1033 - j], ids[s[j] + 1:s[j] + n[j]]))), [1032 - len(s), 1]) ELSE [] END AS labels FROM s)"""
+
+
+@query(f"WITH {RANDOM} SELECT row_id, array_to_string(inputs, ' ') AS inputs, coalesce(array_to_string(labels, ' '), '') AS labels FROM x")
 def span_corrupt(spark, sf):
     """Random spans, seeded by row."""
     return _randomly_corrupted(spark, sf).select("row_id", _joined(F.col("inputs")).alias("inputs"), _joined(F.col("labels")).alias("labels"))
 
 
-@query()
+@query(f"""WITH {RANDOM}, y AS (SELECT len(n) AS k, coalesce(list_sum(n), 0)::BIGINT AS masked, len(ids) AS n FROM x), z AS (SELECT *, CASE WHEN masked > 0 THEN masked / n END AS part FROM y)
+    SELECT round(avg(part), 6) AS mean_fraction, round(median(part), 6) AS median_fraction, round(avg(k) FILTER (masked > 0), 6) AS mean_spans, round(sum(masked) / sum(k), 6) AS mean_span_length, round(count_if(masked = 0) / count(*), 6) AS skipped_fraction FROM z""")
 def corruption_stats(spark, sf):
     """Masked share, span counts and lengths over the rows that have spans, and the share skipped."""
     rows = _randomly_corrupted(spark, sf).withColumn("masked", F.aggregate(F.transform("spans", lambda s: s["len"]), F.lit(0), lambda a, x: a + x)).withColumn("n", F.size("ids")).withColumn("k", F.size("spans"))
@@ -296,7 +310,8 @@ def lazy_encode(spark, sf):
     return _encoded(spark, sf).select("row_id", _joined(F.slice("ids", 1, 16)).alias("ids"))
 
 
-@query()
+@query("""WITH l AS (SELECT p_partkey, list_transform(regexp_extract_all(p_name, 'part|the|er|on|th|an|.'), lambda x: CASE WHEN regexp_full_match(x, 'part|the|er|on|th|an|[aeio #0-9]') THEN x ELSE '<unk>' END) AS l FROM part)
+    SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: NOT (x = '<unk>' AND i > 1 AND l[i - 1] = '<unk>')), '|') AS tokens FROM l""")
 def tokenize_longest_match(spark, sf):
     """Left-to-right longest match over part names."""
     plain = ["a", "e", "i", "o", "er", "on", "th", "the", "an", "part", " ", "#"] + [str(d) for d in range(10)]

@@ -84,3 +84,11 @@ def test_times(spark):
     assert one(spark, X.eta(F.lit(3661.0))) == "01:01:01" and one(spark, X.eta(F.lit(-1.0))) == "--:--:--"
     assert one(spark, X.eta(F.lit(1e6))) == "277:46:40"
     assert one(spark, X.bytes_text(F.lit(8140000000))) == "8.14 GB"
+
+
+def test_blake64_is_the_standard_digest(spark):
+    """BLAKE2b of eight bytes; the first is that of the empty string."""
+    from strandline.functions.text import blake64
+
+    got = [r.h for r in spark.createDataFrame([("",), ("abc",), (None,)], "s string").select(blake64("s").alias("h")).collect()]
+    assert got[0] == got[2] == int.from_bytes(bytes.fromhex("e4a6a0577479b2b4"), "big", signed=True) and got[1] != got[0]

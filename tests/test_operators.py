@@ -127,7 +127,7 @@ def test_span_corruption_round_trip(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [int(x) for x in rng.integers(5, 500, rng.integers(0, 120))] + [1]) for i in range(120)]
     df = spark.createDataFrame(rows, "row_id long, ids array<int>")
-    df = df.withColumn("spans", T.random_spans(7)(F.col("row_id"), F.size("ids")))
+    df = T.hashed_spans(df, "row_id", "ids", 7)
     inputs, labels = T.corrupt(F.col("ids"), F.col("spans"), 1032)
     out = df.withColumn("inputs", inputs).withColumn("labels", labels)
     out = out.withColumn("back", T.reconstruct(F.col("inputs"), F.col("labels"), 1032, 1000)).collect()
