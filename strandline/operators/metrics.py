@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,3 +162,9 @@ def nearest_of(queries: DataFrame, reference: DataFrame, key: str, vector: str,
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.float64())], ["key", "nearest"])
 
     return queries.select(key, vector).mapInArrow(run, f"key {kind}, nearest double").withColumnRenamed("key", key)
+
+
+def reference_fingerprints(df: DataFrame, text: Column, fingerprint: Callable[[Column], Column]) -> DataFrame:
+    """text, bits: the distinct texts of a reference with their fingerprints; texts that have none (null)
+    are left out. ``fingerprint`` is injected, for instance ``chemistry.morgan_bits()``."""
+    return df.select(text.alias("text")).where("text IS NOT NULL").distinct().withColumn("bits", fingerprint(F.col("text"))).where("bits IS NOT NULL")

@@ -139,6 +139,17 @@ def checkpoint_resume(spark, sf):
     return spark.read.parquet(f"{out}/out").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_distinct"))
 
 
+@query("SELECT 3::BIGINT AS n_batches, 2::BIGINT AS most_files, count(*) AS n, count(DISTINCT event_id) AS n_distinct FROM events")
+def backpressure(spark, sf):
+    """Six files in batches of two at most: the batches, their files and all rows."""
+    source, out = scratch(spark, "files"), scratch(spark, "bounded")
+    table(spark, sf, "events").select("event_id").repartition(6).write.parquet(source)
+    stream = jobs.tail_parquet(spark, source, "event_id long", files_a_trigger=2).select("event_id", F.col("_metadata.file_name").alias("file"))
+    jobs.run_bounded(stream, f"{out}/out", f"{out}/state")
+    batches = spark.read.parquet(f"{out}/out").groupBy("chunk").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("d"))
+    return batches.agg(F.count(F.lit(1)).alias("n_batches"), F.max("files").alias("most_files"), F.sum("n").alias("n"), F.sum("d").alias("n_distinct"))
+
+
 @query("SELECT event_id, event_type, value FROM events WHERE event_type = 'error'")
 def tail_metrics(spark, sf):
     return _drained(spark, _stream(spark, sf).where("event_type = 'error'").select("event_id", "event_type", "value"), "tail")

@@ -281,3 +281,18 @@ def sweep_point(spark, sf):
     rows = _screened(spark, sf)
     length = rows.groupBy("source", "lang").agg(F.round(F.avg("n_chars"), 4).alias("mean_length"))
     return cascade_counts(rows, ["source", "lang"]).join(length, ["source", "lang"])
+
+
+@query(f"""WITH t AS (SELECT DISTINCT l_shipdate::DATE::VARCHAR || l_returnflag AS text FROM lineitem UNION SELECT DISTINCT p_brand FROM part)
+    SELECT text, array_to_string(list_sort(list_distinct(list_transform(range(1, length(text) - 1), lambda i: {Q.md5_long('substr(text, i, 3)')} % 2048))), ' ') AS bits FROM t WHERE length(text) >= 10""")
+def reference_fps(spark, sf):
+    """Fingerprints of a reference's texts (here bits of hashed trigrams); short texts have none."""
+
+    def trigrams(c):
+        at = F.sequence(F.lit(1), F.length(c) - 2)
+        return F.when(F.length(c) >= 10, F.sort_array(F.array_distinct(F.transform(at, lambda i: X.md5_long(c.substr(i, F.lit(3))) % 2048))))
+
+    dated = table(spark, sf, "lineitem").select(F.concat(F.col("l_shipdate").cast("date").cast("string"), "l_returnflag").alias("t"))
+    texts = dated.unionByName(table(spark, sf, "part").select(F.col("p_brand").alias("t")))
+    fps = M.reference_fingerprints(texts, F.col("t"), trigrams)
+    return fps.select("text", F.array_join(F.transform("bits", lambda b: b.cast("string")), " ").alias("bits"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.sinks import append_chunk
+
 
 def tail_json(spark: SparkSession, folder: str, schema: T.StructType | str, files_a_trigger: int = 100) -> DataFrame:
     """Rows of JSON-lines files as they arrive; a partial or malformed line is skipped."""
@@ -64,3 +66,9 @@ def stalls(stream: DataFrame, key: str, time: str, limit_s: float) -> DataFrame:
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Processes all that is there, then stops; run again, it takes up where it stopped."""
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+
+
+def run_bounded(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """As ``run_once``, a batch at a time: the source's own bound (files a trigger) says how much is in
+    flight, and each batch is a chunk that a repeated batch overwrites, so no row is doubled."""
+    stream.writeStream.foreachBatch(lambda batch, k: append_chunk(batch, path, k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

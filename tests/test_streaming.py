@@ -53,3 +53,15 @@ def test_tail_skips_broken_lines(spark, tmp_path):
     (tmp_path / "log" / "m.jsonl").write_text('{"step": 1, "loss": 0.5}\n{"step": 2, "lo')
     got = run(spark, J.tail_json(spark, str(tmp_path / "log"), "step long, loss double"), tmp_path)
     assert [(r.step, r.loss) for r in got] == [(1, 0.5)]
+
+
+def test_bounded_batches_take_up_where_they_stopped(spark, folder, tmp_path):
+    out, state = str(tmp_path / "out"), str(tmp_path / "check")
+    stream = lambda: J.tail_parquet(spark, folder, SCHEMA, files_a_trigger=2)
+    for n in range(5):
+        write(spark, [("a", n, n)], folder, n)
+    J.run_bounded(stream(), out, state)
+    assert sorted(r.n for r in spark.read.parquet(out).groupBy("chunk").count().withColumnRenamed("count", "n").collect()) == [1, 2, 2]
+    write(spark, [("b", 9, 9)], folder, 5)
+    J.run_bounded(stream(), out, state)
+    assert sorted(r.value for r in spark.read.parquet(out).collect()) == [0.0, 1.0, 2.0, 3.0, 4.0, 9.0]
