@@ -224,41 +224,44 @@ class Field:
 
 
 def fit(pages: list[tuple[list[Block], list[int]]], steps: int = 100, rate: float = 0.5, penalty: float = 1e-3) -> Field:
-    """Maximum likelihood by AdaGrad over all pages at once; pages are padded to one length and the
-    forward and backward passes run over all of them together."""
+    """Maximum likelihood by AdaGrad over all pages at once. Pages stand longest first, so that the
+    forward and backward passes run over a shrinking head of them, and blocks of equal features are one row."""
+    pages = sorted(pages, key=lambda page: -len(page[0]))
     index: dict[str, int] = {}
-    rows = [[[index.setdefault(f, len(index)) for f in path_features(b.path) + text_features(b)] for b in blocks] for blocks, _ in pages]
-    n, length = len(pages), max(len(r) for r in rows)
-    flat = np.array([f for r in rows for fs in r for f in fs])
-    place = np.array([k * length + i for k, r in enumerate(rows) for i, fs in enumerate(r) for _ in fs])
-    sizes = np.array([len(r) for r in rows])
+    kinds: dict[tuple[str, ...], int] = {}
+    of_path = lru_cache(maxsize=None)(path_features)
+    kind = np.array([kinds.setdefault((*of_path(b.path), *text_features(b)), len(kinds)) for blocks, _ in pages for b in blocks])
+    rows = [[index.setdefault(f, len(index)) for f in fs] for fs in kinds]
+    flat = np.array([f for r in rows for f in r])
+    place = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    sizes = np.array([len(blocks) for blocks, _ in pages])
+    n, length = len(pages), int(sizes[0])
+    heads = (sizes[:, None] > np.arange(length)).sum(0).tolist()  # pages that have a block i
     real = np.arange(length)[None] < sizes[:, None]
-    gold = np.zeros((n, length), int)
-    for k, (_, y) in enumerate(pages):
-        gold[k, : len(y)] = y
+    onehot = np.zeros((n, length, 2))
+    onehot[real] = np.eye(2)[np.concatenate([np.asarray(y, int) for _, y in pages])]
+    pairs = np.einsum("kia,kib->ab", onehot[:, :-1], onehot[:, 1:])
+    last = np.arange(n), sizes - 1
     w, moves = np.zeros((len(index), 2)), np.zeros((3, 2))
     sw, sm = np.full_like(w, 1e-8), np.full_like(moves, 1e-8)
-    onehot = np.eye(2)[gold] * real[..., None]
-    pairs = np.einsum("kia,kib->ab", onehot[:, :-1], onehot[:, 1:])
+    e, fwd, bwd = np.zeros((n, length, 2)), np.zeros((n, length, 2)), np.zeros((n, length, 2))
     for _ in range(steps):
-        e = np.stack([np.bincount(place, w[flat, y], n * length).reshape(n, length) for y in (0, 1)], -1)
-        fwd, bwd = np.zeros((n, length, 2)), np.zeros((n, length, 2))
+        e[real] = np.stack([np.bincount(place, w[flat, y], len(rows)) for y in (0, 1)], -1)[kind]
         fwd[:, 0] = moves[2] + e[:, 0]
         for i in range(1, length):
-            x = np.logaddexp(fwd[:, i - 1, :1] + moves[0], fwd[:, i - 1, 1:] + moves[1]) + e[:, i]
-            fwd[:, i] = np.where(real[:, i, None], x, fwd[:, i - 1])
+            h = heads[i]
+            fwd[:h, i] = np.logaddexp(fwd[:h, i - 1, :1] + moves[0], fwd[:h, i - 1, 1:] + moves[1]) + e[:h, i]
         for i in range(length - 2, -1, -1):
-            nxt = bwd[:, i + 1] + e[:, i + 1]
-            x = np.stack([np.logaddexp(nxt[:, 0] + moves[a, 0], nxt[:, 1] + moves[a, 1]) for a in (0, 1)], -1)
-            bwd[:, i] = np.where(real[:, i + 1, None], x, 0)
-        z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
+            h = heads[i + 1]
+            nxt = bwd[:h, i + 1] + e[:h, i + 1]
+            bwd[:h, i] = np.logaddexp(nxt[:, :1] + moves[:2, 0], nxt[:, 1:] + moves[:2, 1])
+        z = np.logaddexp(fwd[last][:, 0], fwd[last][:, 1])
         p = np.exp(np.clip(fwd + bwd - z[:, None, None], -60, 0)) * real[..., None]
-        joint = np.zeros((2, 2))
-        for i in range(1, length):
-            q = fwd[:, i - 1, :, None] + moves[None, :2] + (e[:, i] + bwd[:, i])[:, None, :] - z[:, None, None]
-            joint += (np.exp(np.clip(q, -60, 0)) * real[:, i, None, None]).sum(0)
-        r = (onehot - p).reshape(-1, 2)
-        gw = np.stack([np.bincount(flat, r[place, y], len(index)) for y in (0, 1)], -1) / n - penalty * w
+        q = (fwd[:, :-1, :, None] + moves[None, None, :2] + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None])[real[:, 1:]]
+        joint = np.exp(np.clip(q, -60, 0)).sum(0)
+        r = (onehot - p)[real]
+        by_kind = [np.bincount(kind, r[:, y], len(rows)) for y in (0, 1)]
+        gw = np.stack([np.bincount(flat, x[place], len(index)) for x in by_kind], -1) / n - penalty * w
         gm = np.concatenate([pairs - joint, (onehot[:, 0] - p[:, 0]).sum(0)[None]]) / n - penalty * moves
         sw += gw**2
         sm += gm**2
