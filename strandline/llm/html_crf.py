@@ -6,7 +6,7 @@ sequence content or not, is trained on labelled pages by the gradient of its log
 backward) and decoded by Viterbi. The content blocks, in page order, are the main text.
 
 The labelled pages come from ``labelled_pages``, a seeded generator of page layouts with known
-content; training takes a second or two, happens once in a process, and its result is what tasks get.
+content; training takes some seconds, happens once in a process, and its result is what tasks get.
 
 Character references are decoded, text by text; white space inside a block becomes one space; scripts,
 styles, comments, templates and the head are never text. Attributes are read by name, and only class, id
@@ -223,7 +223,7 @@ class Field:
         return "\n".join(b.text for b, y in zip(blocks, self.label(blocks), strict=True) if y)
 
 
-def fit(pages: list[tuple[list[Block], list[int]]], steps: int = 100, rate: float = 0.5, penalty: float = 1e-3) -> Field:
+def fit(pages: list[tuple[list[Block], list[int]]], steps: int = 120, rate: float = 0.5, penalty: float = 3e-4) -> Field:
     """Maximum likelihood by AdaGrad over all pages at once. Pages stand longest first, so that the
     forward and backward passes run over a shrinking head of them, and blocks of equal features are one row."""
     pages = sorted(pages, key=lambda page: -len(page[0]))
@@ -294,14 +294,22 @@ def labelled_pages(n: int, seed: int = 0) -> list[tuple[str, str]]:
         inner = pick([lambda: "<ul>" + "".join(f"<li>{x}</li>" for x in links(3, 8)) + "</ul>", lambda: " | ".join(links(3, 8)), lambda: "".join(f"<div>{x}</div>" for x in links(2, 6))])()
         return f"<{tag}{cls}>{inner}</{tag}>"
 
+    def cells() -> str:
+        """A menu laid out as a table, across or down, without a name."""
+        items = links(3, 8)
+        rows = [items] if chance(0.5) else [[x] for x in items]
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{x}</td>" for x in row) + "</tr>" for row in rows) + "</table>"
+
     def attr(*names: str, role: str = "") -> str:
         if role and chance(0.15):
             return f' role="{role}"'
         return f' {pick(["class", "class", "id"])}="{pick(names)}"'
 
-    def aside() -> str:
-        kind = rng.randrange(11)
+    def aside(kinds: int = 12) -> str:
+        kind = rng.randrange(kinds)
         text = pick([sentence(3, 20), words(2, 8)])
+        if kind == 11:
+            return cells()
         if kind == 0:
             return menu("nav", "" if chance(0.6) else attr("main-nav", "menu", "breadcrumbs"))
         if kind == 1:
@@ -344,8 +352,9 @@ def labelled_pages(n: int, seed: int = 0) -> list[tuple[str, str]]:
         if kind == 9:
             return f"<blockquote><p>{s}</p></blockquote>", [s]
         if kind == 10:
-            cells = [words(1, 3) for _ in range(4)]
-            return "<table><tr>" + "".join(f"<td>{x}</td>" for x in cells[:2]) + "</tr><tr>" + "".join(f"<td>{x}</td>" for x in cells[2:]) + "</tr></table>", cells
+            data = [words(1, 3) for _ in range(4)]
+            told = [f'<a href="/x">{x}</a>' if chance(0.1) else x for x in data]
+            return "<table><tr>" + "".join(f"<td>{x}</td>" for x in told[:2]) + "</tr><tr>" + "".join(f"<td>{x}</td>" for x in told[2:]) + "</tr></table>", data
         return f"<div>{s}</div>" if chance(0.5) else f"<p class=\"{pick(['lead', 'text', 'intro', 'para'])}\">{s}</p>", [s]
 
     out = []
@@ -363,7 +372,7 @@ def labelled_pages(n: int, seed: int = 0) -> list[tuple[str, str]]:
             body += h
             texts += t
             if chance(inside):
-                body += aside()
+                body += aside(11)  # a table in the text is the text's
         box = pick(["article", "article", "article", "main", "main", "div", "div", "section", "td"])
         cls = attr("content", "post", "entry-content", "article", "article-body", "main", "story", "text", "post-body", role="main") if box in ("div", "section", "td") and chance(0.7) or chance(0.3) else ""
         if chance(0.15):  # a byline above, tags below
@@ -373,7 +382,8 @@ def labelled_pages(n: int, seed: int = 0) -> list[tuple[str, str]]:
         if chance(0.4 if bare else 0.08):  # nothing around the text but the body itself
             shell = body
         elif box == "td":
-            shell = f"<table><tr>{shell}</tr></table>"
+            beside = f"<td>{cells()}</td>" if not bare and chance(0.4) else ""
+            shell = f"<table><tr>{beside}{shell}</tr></table>"
         if chance(0.3):
             shell = f"<div{attr('container', 'wrapper', 'page', 'row')}>{shell}{aside() if chance(0.4) else ''}</div>"
         before = after = ""
@@ -406,7 +416,7 @@ def gold_labels(blocks: list[Block], main: str) -> list[int]:
 
 
 @lru_cache(maxsize=1)
-def standard_field(n: int = 900, seed: int = 11) -> Field:
+def standard_field(n: int = 1400, seed: int = 11) -> Field:
     """The field trained on the generated pages; fitted once in a process."""
     pages = []
     for page, main in labelled_pages(n, seed):

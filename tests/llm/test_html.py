@@ -83,6 +83,21 @@ def test_notices_and_menus_within_the_main_element():
     assert H.standard_field().text(page.format(SENTENCES[0])).split("\n")[0] == SENTENCES[0]
 
 
+@pytest.mark.parametrize("down", [False, True])
+@pytest.mark.parametrize("page", ["<body>{menu}<article>{text}</article></body>", "<body>{menu}<div>{text}</div></body>", "<table><tr><td>{menu}</td><td>{text}</td></tr></table>", "<body>{menu}<main>{text}</main>{menu}</body>"])
+def test_menus_laid_out_as_tables(page, down):
+    links = [f'<td><a href="/{x}">{x}</a></td>' for x in ("Home", "News", "About us", "Contact")]
+    menu = "<table>" + ("".join(f"<tr>{x}</tr>" for x in links) if down else f"<tr>{''.join(links)}</tr>") + "</table>"
+    assert H.standard_field().text(page.format(menu=menu, text=f"<p>{SENTENCES[0]}</p><p>{SENTENCES[1]}</p>")) == "\n".join(SENTENCES[:2])
+
+
+def test_tables_of_the_text_stay():
+    cells = "<table><tr><td><a href=x>Berlin</a></td><td>3.6</td></tr><tr><td><a href=y>Paris</a></td><td>2.1</td></tr></table>"
+    for box in ("article", "main"):
+        page = f"<{box}><p>{SENTENCES[0]}</p>{cells}<p>{SENTENCES[1]}</p></{box}>"
+        assert H.standard_field().text(page).split("\n") == [SENTENCES[0], "Berlin", "3.6", "Paris", "2.1", SENTENCES[1]]
+
+
 def test_attributes_are_read_by_name_and_references_text_by_text():
     text = H.standard_field().text
     for box in ('<div title="the hidden cost">', '<div class="w-full hidden md:block">', '<div data-note="was hidden once">', "<div hidden>", "<div aria-hidden=true>", '<div style="display:none">', '<div alt="class=nav">'):
