@@ -30,8 +30,9 @@ from .shared import filled, free_names, map_rows, materialise
 
 #: Hex digits of the MD5 that make a uniform number: 52 bits, exact in a double.
 DIGITS = 13
-#: So many sources are broadcast; for more the join is left to Catalyst, with the same result.
-BROADCAST_SOURCES = 10_000
+#: So many sources, with so many thresholds in all (8 bytes each), are broadcast; beyond either the join is
+#: left to Catalyst, with the same result.
+BROADCAST_SOURCES, BROADCAST_THRESHOLDS = 10_000, 2_000_000
 
 
 def poisson_thresholds(mean: float) -> list[float]:
@@ -97,6 +98,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
         return one
 
     tables = materialise(map_rows(counts, make, "s string, least long, thresholds array<double>"), "mixing-draws")
+    few = sources <= BROADCAST_SOURCES and (tables.agg(F.sum(F.size("thresholds"))).first()[0] or 0) <= BROADCAST_THRESHOLDS
     doc = F.col("doc")
     text = filled(doc[text_col]) if text_col in docs.columns else F.to_json(doc)
     key = F.coalesce(doc[id_col].cast("string"), F.concat(F.lit("text:"), F.md5(text)))
@@ -104,7 +106,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key, F.lit(":"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
     drawn = (
         rows.withColumn("s", filled(doc[source_col]))
-        .join(F.broadcast(tables) if sources <= BROADCAST_SOURCES else tables, "s")
+        .join(F.broadcast(tables) if few else tables, "s")
         .withColumn("unit", unit)
         .withColumn("copies", F.col("least") + F.size(F.filter("thresholds", lambda t: t <= F.col("unit"))).cast("long"))
         .where("copies > 0")

@@ -89,3 +89,10 @@ def test_a_small_source_may_be_repeated_thousands_of_times(spark):
     df = spark.createDataFrame([(i, "b" if i else "a", "t") for i in range(2000)], "doc_id long, source string, text string")
     got = Counter(r.source for r in M.mix_sources(df, exponent=0.0).collect())
     assert abs(got["a"] - 1000) < 5 * math.sqrt(1000) and abs(got["b"] - 1000) < 5 * math.sqrt(1000)
+
+
+def test_the_join_without_a_broadcast_draws_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else None, f"t{i}") for i in range(300)], "doc_id long, source string, text string")
+    want = sorted((r.doc_id, r["__copy"]) for r in M.mix_sources(df, seed=2).collect())
+    monkeypatch.setattr(M, "BROADCAST_THRESHOLDS", 0)
+    assert sorted((r.doc_id, r["__copy"]) for r in M.mix_sources(df, seed=2).collect()) == want
