@@ -15,7 +15,9 @@ def test_workers_find_the_package_from_any_folder(tmp_path):
         spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
         from strandline.functions.text import format_property
         from strandline.ship import ship
-        ship(spark), ship(spark)
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(ship, [spark] * 8))
         print(spark.range(1).select(format_property(F.lit(0.25)).alias("x")).first().x)
         spark.stop()
     """
