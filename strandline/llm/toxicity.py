@@ -192,11 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n1 or not n0:
         return None
     n = n1 + n0
-    counts = sample.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.count_if("y").alias("a"), F.count_if(~F.col("y")).alias("b")).where("a + b >= 3")
+    counts = sample.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.count_if("y").alias("a"), F.count_if(~F.col("y")).alias("b"))
     total = F.col("a") + F.col("b")
     gap = F.col("a") * F.lit(float(n0)) - F.col("b") * F.lit(float(n1))
     chi2 = F.lit(float(n)) * gap * gap / (F.lit(float(n1)) * F.lit(float(n0)) * total * F.greatest(F.lit(float(n)) - total, F.lit(1.0)))
-    best = counts.withColumn("x", chi2).orderBy(F.desc("x"), "f").limit(max_features).select("f", "x", (gap > 0).alias("sign")).collect()
+    ranked = counts.withColumn("x", chi2).orderBy(F.desc("x"), "f").select("f", "x", (gap > 0).alias("sign"), total.alias("n"))
+    best = ranked.where("n >= 3").limit(max_features).collect() or ranked.limit(WEAK_FEATURES).collect()  # without any frequent feature, rare ones
     chosen = [r for r in best if r["x"] >= max(LEAST_CHI2, LEAST_PHI2 * n)] or best[:WEAK_FEATURES]
     vocabulary = {r["f"]: k for k, r in enumerate(chosen)}
     signs = np.array([k for k, r in enumerate(chosen) if r["sign"]], np.int64)
