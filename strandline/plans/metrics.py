@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.numbers import is_finite, pearson, safe_ratio, slope
 from ..operators import metrics as M
-from ..registry import query, table
+from ..registry import placed, query, table
 from ..sources.scratch import materialise
 from . import sql as Q
 from .corpus import COUNTS, SCREENED, _screened
@@ -18,8 +19,9 @@ PAIRS = """p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_return
     CASE WHEN l_linenumber < 7 THEN l_quantity * p_retailprice END AS pred, l_extendedprice AS target FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
-def _pairs(spark, sf):
-    lines, parts = table(spark, sf, "lineitem"), table(spark, sf, "part").select("p_partkey", "p_retailprice")
+def _pairs(spark, sf, lines=None):
+    lines = table(spark, sf, "lineitem") if lines is None else lines
+    parts = table(spark, sf, "part").select("p_partkey", "p_retailprice")
     value = F.col("l_quantity") * F.col("p_retailprice")
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     said = F.when(F.col("l_linenumber") == 7, F.lit("soluble")).otherwise(value.cast("string"))
@@ -107,11 +109,27 @@ LEAK = f"""{PAIRS}, m AS (SELECT l_orderkey, l_linenumber, target, unnest(range(
     g AS (SELECT l_orderkey, l_linenumber, any_value(target) AS target, avg(v) AS all_mean, avg(v) FILTER (clean) AS clean_mean, stddev_pop(v) AS sigma, count_if(clean)::BIGINT AS n_clean FROM v GROUP BY 1, 2)"""
 
 
-def _leak(spark, sf):
-    rows = _pairs(spark, sf).where("pred IS NOT NULL").select("l_orderkey", "l_linenumber", "target", "pred")
+def _members(rows):
     members = rows.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    v = members.withColumn("v", F.col("pred") * (F.lit(1) + (F.col("member") - 2) * 0.01)).withColumn("clean", F.col("l_orderkey") % 5 != F.col("member"))
-    return v.groupBy("l_orderkey", "l_linenumber").agg(F.first("target").alias("target"), F.avg("v").alias("all_mean"), F.avg(F.when(F.col("clean"), F.col("v"))).alias("clean_mean"), F.stddev_pop("v").alias("sigma"), F.count_if("clean").alias("n_clean"))
+    return members.withColumn("v", F.col("pred") * (F.lit(1) + (F.col("member") - 2) * 0.01)).withColumn("clean", F.col("l_orderkey") % 5 != F.col("member"))
+
+
+def _leak(spark, sf):
+    """A line number may stand in an order more than once. The target is that of its first row in the table, and
+    sums run in the table's order, so neither joins nor shuffles nor spills change a result."""
+    keys = ["l_orderkey", "l_linenumber"]
+    rows = _pairs(spark, sf, placed(table(spark, sf, "lineitem"))).where("pred IS NOT NULL").select(*keys, "target", "pred", "__file", "__row")
+    ordered = Window.partitionBy(*keys).orderBy("__file", "__row", "member")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    made = {
+        "target": F.first("target", ignorenulls=True),
+        "all_mean": F.avg("v"),
+        "clean_mean": F.avg(F.when(F.col("clean"), F.col("v"))),
+        "sigma": F.stddev_pop("v"),
+        "n_clean": F.count_if("clean"),
+    }
+    v = _members(rows.repartition(*keys)).select(*keys, *[c.over(whole).alias(n) for n, c in made.items()], F.row_number().over(ordered).alias("__n"))
+    return v.where("__n = 1").drop("__n")
 
 
 @query(f"""WITH {LEAK} SELECT round(avg(abs(all_mean - target)), 3) AS contaminated_mae, round(avg(abs(clean_mean - target)), 3) AS honest_mae, round(avg(abs(clean_mean - target)) - avg(abs(all_mean - target)), 3) AS optimism,
@@ -126,7 +144,8 @@ def ensemble_leakage(spark, sf):
 @query(f"WITH {LEAK} SELECT n_clean, count(*) AS n FROM g GROUP BY n_clean")
 def clean_mask_join(spark, sf):
     """Histogram of how many members are clean for a row."""
-    return _leak(spark, sf).groupBy("n_clean").agg(F.count(F.lit(1)).alias("n"))
+    members = _members(_pairs(spark, sf).where("pred IS NOT NULL").select("l_orderkey", "l_linenumber", "pred"))
+    return members.groupBy("l_orderkey", "l_linenumber").agg(F.count_if("clean").alias("n_clean")).groupBy("n_clean").agg(F.count(F.lit(1)).alias("n"))
 
 
 RES = f"{PAIRS}, r AS (SELECT l_returnflag, abs(pred - target) AS r, l_orderkey FROM p WHERE pred IS NOT NULL)"

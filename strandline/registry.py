@@ -7,6 +7,7 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ship import ship
 
@@ -54,6 +55,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """A table with the place of each row, file by file: __file, __row."""
+    path = F.col("_metadata.file_path") if len(df.inputFiles()) > 1 else F.lit("")
+    return df.select("*", path.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
+
 def _load() -> None:
     for m in MODULES:
         importlib.import_module(f"strandline.plans.{m}")
