@@ -35,7 +35,7 @@ def test_query(spark, con, name):
     assert oracle.rows(got) == oracle.rows(want)
 
 
-@pytest.mark.parametrize("name", ["accuracy", "ensemble_leakage"])
+@pytest.mark.parametrize("name", ["accuracy", "ensemble_leakage", "tg_reward"])
 def test_repeated_lines_in_the_order_of_the_table(spark, tmp_path, name):
     """Several rows of a line, in two files, met by a join that shuffles: the first row's target counts."""
     rng = random.Random(3)
