@@ -16,9 +16,9 @@ Components come from alternating large-star and small-star rounds over the links
 written table in the shared folder, until nothing changes or so few links are left that one task can
 finish them.
 
-Similar texts (``similar_links``) are searched otherwise: radii that fit a similarity of 0.8 let no tree
-leave out a branch. Sorted bands of minimum hashes, wide fingerprints and rare shingles find the pairs
-there, and the exact similarity of the shingle sets decides.
+Similar texts (``similar_links``) are linked by fingerprints and trees first. Radii that fit a similarity of
+0.8 let no tree leave out a branch, so the pairs beyond a small radius are found by sorted bands of minimum
+hashes, wide fingerprints and rare shingles. The exact similarity of the shingle sets decides for all.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked
 like any other; a text of fewer words than a shingle is one shingle; a text is read whole, however long,
@@ -267,6 +267,8 @@ def _pairs(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], kind), pa.array([x[1] for x in found], kind)], ["a", "b"])
 
 
+#: Bits within which BK-trees link the fingerprints of similar texts.
+RADIUS = 3
 #: Minimum hashes that name a band.
 FIRST_KEYS = 2
 #: Minimum hashes by which the candidates of one band are ordered.
@@ -277,13 +279,18 @@ BLOCK_BYTES = 32 << 20
 BUCKETS = 1 << 17
 
 
-def similar_links(prints: DataFrame, shingled: Callable[[DataFrame], DataFrame], similarity: float = 0.8, words: int = 16, shard_rows: int = 1000, bands: int = 8) -> tuple[DataFrame, DataFrame]:
+def similar_links(prints: DataFrame, shingled: Callable[[DataFrame], DataFrame], similarity: float = 0.8, words: int = 16, shard_rows: int = 1000, bands: int = 8, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, label) and links (a > b, of labels): their components are those of all pairs of the
-    similarity or more that share a band.
+    similarity or more that are linked by a BK-tree or share a band.
+
+    First come SimHash fingerprints of 64 bits, links within ``radius`` by BK-trees in shards and their components,
+    as in ``links``. A component is sorted by minimum hashes and the shingles of neighbours decide, block by block;
+    what is linked there gets one label, and pass 3 compares what blocks part. Pairs of the similarity differ in
+    some 10 bits, so the trees alone would miss most of them.
 
     A band is two minimum hashes of the shingles: texts of Jaccard similarity j share one of ``bands``
-    with probability 1 - (1 - j^2)^bands, 0.9997 at 0.8. Texts that share none with any other go no
-    further; the rest are candidates. Two passes find most links at little cost, a third loses none:
+    with probability 1 - (1 - j^2)^bands, 0.9997 at 0.8. Texts that share none with any other and
+    have no link by a tree go no further; the rest are candidates. Two passes find most links at little cost, a third loses none:
 
     1. Candidates are sorted by the first band and further minimum hashes and searched in blocks of
        neighbours. What is linked there gets one label.
@@ -305,13 +312,16 @@ def similar_links(prints: DataFrame, shingled: Callable[[DataFrame], DataFrame],
     names = [F.xxhash64(F.lit(k), *[F.col("keys")[FIRST_KEYS * k + i] for i in range(FIRST_KEYS)]) for k in range(bands)]
     dealt = prints.select("id", F.explode(F.array(*names)).alias("shard"))
     shared = dealt.groupBy("shard").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("shard")
-    rows = materialise(dealt.join(shared, "shard", "left_semi").select("id").distinct(), "simhash-shared")
+    tree = materialise(_tree_groups(prints, radius, shard_rows), "simhash-tree")
+    rows = materialise(dealt.join(shared, "shard", "left_semi").select("id").unionByName(tree.select("id")).distinct(), "simhash-shared")
     sketch = materialise(shingled(prints.join(rows, "id", "left_semi")), "simhash-candidates")
 
     search = _searcher(similarity, words, shard_rows)
     order = [F.col("keys")[FIRST_KEYS * bands - 1 - i].alias(f"k{i}") for i in range(min(ORDER_KEYS, FIRST_KEYS * bands))]
-    made = materialise(_neighbours(sketch.select(names[0].alias("shard"), F.col("id").alias("label"), "fp", "shingles", *order, "id"), search, shard_rows), "simhash-first")
-    labelled = materialise(sketch.select("id", "keys").join(made, F.col("id") == F.col("a"), "left").select("id", "keys", F.coalesce("b", "id").alias("label")), "simhash-labelled")
+    linked = tree.join(sketch, "id").select("shard", F.col("id").alias("label"), "fp", "shingles", *order, "id")
+    labelled = _relabelled(sketch.select("id", F.col("id").alias("label")), _neighbours(linked, search, shard_rows))
+    made = materialise(_neighbours(labelled.join(sketch, "id").select(names[0].alias("shard"), "label", "fp", "shingles", *order, "id"), search, shard_rows), "simhash-first")
+    labelled = _relabelled(labelled, made).join(sketch.select("id", "keys"), "id")
     found = made
     if bands > 1:
         one = labelled.select("id", "label", F.explode(F.array(*names[1:])).alias("shard")).groupBy("shard", "label").agg(F.min("id").alias("id"))
@@ -330,6 +340,22 @@ def similar_links(prints: DataFrame, shingled: Callable[[DataFrame], DataFrame],
     return nodes, materialise(_grouped(units, search), "simhash-links")
 
 
+def _tree_groups(prints: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """shard, id: the components, of more than one row, of the links within the radius of 64-bit fingerprints
+    (the first 64 bits of fp), found by BK-trees. Equal fingerprints of different sets are linked too."""
+    prints = materialise(prints.select("id", F.conv(F.hex(F.substring("fp", 1, BITS // 8)), 16, -10).cast("long").alias("fp")), "simhash-prints")
+    roots = stars(links(prints.select("fp").distinct(), radius, shard_rows), "simhash-tree-stars")
+    groups = prints.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("shard"), "id")
+    several = groups.groupBy("shard").count().where("count > 1").select("shard")
+    return groups.join(several, "shard", "left_semi")
+
+
+def _relabelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Nodes (id, label) with one label for those that the links found among labels join."""
+    roots = stars(found, "simhash-relabelled")
+    return materialise(nodes.join(roots, F.col("label") == F.col("node"), "left").select("id", F.coalesce("root", "label").alias("label")), "simhash-labelled")
+
+
 def _mixed(dealt: DataFrame) -> DataFrame:
     """The rows of shards with several labels; of shards with the same members one."""
     sign = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"x{k}") for k in range(2)]

@@ -277,3 +277,19 @@ def test_copies_make_fewer_links_than_rows(spark):
     nodes, found = S.similar_links(prints, lambda some: S.with_shingles(some.join(df, some.id == df.i), 5), shard_rows=50)
     labels = {r.label for r in nodes.collect()}
     assert found.distinct().count() <= len(labels) <= len(rows)
+
+
+def test_similar_links_start_from_trees(spark):
+    """Texts near by SimHash are linked although they share no band, far ones and dissimilar ones are not."""
+    rng = random.Random(11)
+    words = [rng.choice(["%03d" % k for k in range(900)]) for _ in range(400)]
+    texts = [" ".join(words), " ".join(words[:-2] + ["end"] * 2), " ".join(rng.sample(words, 400)), " ".join(rng.sample(words, 400))]
+    prints = [int.from_bytes(S.majority(S.mixed(S.shingle_set(t, 5), 0)), "big") for t in texts]
+    assert 0 < (prints[0] ^ prints[1]).bit_count() <= S.RADIUS < (prints[0] ^ prints[2]).bit_count()
+    df = spark.createDataFrame([(k, t, 0, 0) for k, t in enumerate(texts)], "i long, t string, t0 long, t1 long")
+    apart = S.sketches(df).selectExpr("i id", "CASE WHEN i = 3 THEN X'" + "00" * 128 + "' ELSE fp END AS fp", "transform(keys, x -> i) AS keys")
+    tree = {(r.shard, r.id) for r in S._tree_groups(apart, S.RADIUS, 1000).collect()}
+    assert {i for _, i in tree} == {0, 1} and len({s for s, _ in tree}) == 1
+    nodes, found = S.similar_links(apart, lambda some: S.with_shingles(some.join(df, some.id == df.i), 5))
+    labels = {r.id: r.label for r in nodes.collect()}
+    assert labels == {0: 0, 1: 0} and found.isEmpty()
