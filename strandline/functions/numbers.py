@@ -24,9 +24,10 @@ def share(condition: Column) -> Column:
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Aggregate: correlation, null for a constant side or fewer than two rows."""
-    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
-    return F.when((F.count(F.lit(1)) >= 2) & (sx > 0) & (sy > 0), F.covar_pop(x, y) / (sx * sy))
+    """Aggregate: correlation over the rows that have both sides, null for a constant side or fewer than two of them."""
+    both = x.isNotNull() & y.isNotNull()
+    sx, sy = F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))
+    return F.when((F.count_if(both) >= 2) & (sx > 0) & (sy > 0), F.covar_pop(x, y) / (sx * sy))
 
 
 def slope(y: Column, x: Column) -> tuple[Column, Column]:

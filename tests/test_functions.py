@@ -52,6 +52,12 @@ def test_guards(spark):
         N.learning_rate("nope", F.lit(1), 10, 1)
 
 
+def test_pearson_takes_rows_with_both_sides(spark):
+    df = spark.createDataFrame([(1.0, None), (None, 9.0), (2.0, 3.0), (4.0, 5.0), (5.0, 4.0)], "x double, y double")
+    assert math.isclose(df.agg(N.pearson(F.col("x"), F.col("y")).alias("r")).first().r, 0.6546536707079772)
+    assert df.where("x IS NULL OR y IS NULL OR x = 2").agg(N.pearson(F.col("x"), F.col("y")).alias("r")).first().r is None
+
+
 def test_target_reward(spark):
     r = N.target_reward(F.lit(450.0), F.lit(0.0), F.lit(500.0), F.lit(1), 5)
     got = spark.range(1).select(*[c.alias(k) for k, c in r.items()]).first()

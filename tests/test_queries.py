@@ -61,6 +61,34 @@ def test_repeated_lines_in_the_order_of_the_table(spark, tmp_path, name):
     assert oracle.rows(got) == oracle.rows(con.execute(registry.oracle_sql()[name]).df())
 
 
+def _odd_lines(spark, folder, name, files, n=400, targets=lambda x: x, numbers=range(1, 8)):
+    """The query over lines with odd values in files of these names, and its SQL on one thread."""
+    rng = random.Random(9)
+    pq.write_table(pa.table({"p_partkey": list(range(50)), "p_retailprice": [900.0 + 7.25 * k for k in range(50)]}), folder / "part.parquet")
+    (folder / "lineitem.parquet").mkdir()
+    for file in files:
+        rows = {"l_orderkey": [rng.randrange(80) for _ in range(n)], "l_partkey": [rng.randrange(50) for _ in range(n)], "l_suppkey": [1] * n}
+        rows |= {"l_linenumber": pa.array([rng.choice(numbers) for _ in range(n)], "int32"), "l_quantity": [float(rng.randint(1, 50)) for _ in range(n)]}
+        rows |= {"l_extendedprice": [targets(rng.randint(100000, 9000000) / 100) for _ in range(n)], "l_returnflag": ["R"] * n, "l_linestatus": ["F"] * n, "l_shipdate": [datetime(2000, 1, 1)] * n}
+        pq.write_table(pa.table(rows), folder / "lineitem.parquet" / f"{file}.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    return oracle.rows(registry.queries()[name](spark, str(folder)).toPandas()), oracle.rows(con.execute(registry.oracle_sql()[name]).df())
+
+
+@pytest.mark.parametrize("name", ["ensemble_leakage", "tg_reward"])
+def test_line_numbers_without_a_prediction(spark, tmp_path, name):
+    got, want = _odd_lines(spark, tmp_path, name, ["a"], numbers=[None, *range(10)])
+    assert got == want
+
+
+def test_leakage_over_lines_without_a_target(spark, tmp_path):
+    got, want = _odd_lines(spark, tmp_path, "ensemble_leakage", ["a"], targets=lambda x: None if int(x) % 3 == 0 else x)
+    assert got == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
