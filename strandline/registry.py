@@ -56,8 +56,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def placed(df: DataFrame) -> DataFrame:
-    """A table with the place of each row, file by file: __file, __row."""
-    path = F.col("_metadata.file_path") if len(df.inputFiles()) > 1 else F.lit("")
+    """A table with the place of each row, file by file: __file, __row. Files are in the order of their names; Spark
+    gives paths with escapes, which sort in another."""
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = plain if len(df.inputFiles()) > 1 else F.lit("")
     return df.select("*", path.alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
 

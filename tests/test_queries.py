@@ -89,6 +89,13 @@ def test_leakage_over_lines_without_a_target(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["ensemble_leakage", "tg_reward"])
+def test_repeated_lines_in_the_order_of_file_names(spark, tmp_path, name):
+    """A blank comes before an exclamation mark, its escape behind it."""
+    got, want = _odd_lines(spark, tmp_path, name, ["x!y", "x y", "p+q", "z%20", "z 1"])
+    assert got == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
